@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference is a single batch job; it has no stream source, watermark, window
+or state. Nothing here is needed to reproduce it (see README, "Not built").
+"""
