@@ -38,7 +38,8 @@ def presence_matrix(seqs: DataFrame, tmap: DataFrame, broadcast_rows: int = BROA
     """Per (name set, series) that has a row for one of its shapelets:
     shapelets with positions, shapelets marked absent, and the two verdicts
     `found` (presence) and `complete` (every shapelet has positions, none absent;
-    necessary for an ordered match)."""
+    necessary for an ordered match). Only fixed-width aggregates: the group-by
+    stays a hash aggregation with a map-side partial step."""
     items = set_items(distinct_sets(seqs))
     cells = tmap.select("S_class", "S_name", "T_name", "class_d", "present", "vetoed")
     joined = join_bounded(cells, items, ["S_class", "S_name"], ["T_name"], broadcast_rows)
@@ -130,20 +131,83 @@ def first_entries(seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, own_class
     )
 
 
-def presence_tas(seqs: DataFrame, matrix: DataFrame, tmap: DataFrame) -> DataFrame:
+def _lead_key(x: F.Column) -> F.Column:
+    # "o_p" texts compare first on "o_" ('_' sorts after every digit).
+    return F.concat(x["ord"].cast("string"), F.lit("_"))
+
+
+def variant_leads(seqs: DataFrame) -> DataFrame:
+    """Distinct variants with their lead shapelets: those whose order text is the
+    smallest, i.e. whose positions open the sorted window when present."""
+    variants = seqs.select(*SET_KEY, "names", "ords", "steps").dropDuplicates(["S_class", "names", "ords"])
+    lead = F.array_min(F.transform("steps", _lead_key))
+    return variants.select(
+        *SET_KEY, "names", "ords", F.filter("steps", lambda x: _lead_key(x) == lead).alias("leads")
+    )
+
+
+def _first_position_max(pairs: DataFrame, items: DataFrame, tmap: DataFrame, broadcast_rows: int) -> DataFrame:
+    """General path: per variant, max over `pairs` of the first window position."""
+    steps = join_bounded(pairs, items, SET_KEY, ["T_name"], broadcast_rows)
+    cells = tmap.filter("present = 1").select("S_class", "S_name", "T_name", "pmin_text")
+    firsts = (
+        steps.join(cells, ["S_class", "S_name", "T_name"])
+        .groupBy("S_class", "names", "ords", "T_name")
+        .agg(F.min(window_entry(F.col("ord"), F.col("pmin_text"))).alias("first_entry"))
+    )
+    return firsts.groupBy("S_class", "names", "ords").agg(F.max(entry_position(F.col("first_entry"))).alias("tas_p"))
+
+
+def presence_tas(
+    seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """A9 (presence): TAS of a variant = [max over matched own-class series of the
-    first window position]; one element, as the reference's live branch gives."""
-    firsts = first_entries(seqs, matrix, tmap, own_class_only=True)
-    return firsts.groupBy("S_class", "names", "ords").agg(
-        F.max(entry_position(F.col("first_entry"))).alias("tas_p")
+    first window position]; one element, as the reference's live branch gives.
+
+    Where every shapelet of the set is present in the series and the variant has
+    a single lead shapelet, the first window position is that shapelet's
+    smallest position-as-text, so the max only depends on (set, lead): it is
+    computed once per (set, shapelet) from the matrix cells and joined to the
+    variants. Tied leads and partly present series take the general path."""
+    own = matrix.filter(F.col("found") & (F.col("class_d") == F.col("S_class")))
+    complete = own.filter("complete").select(*SET_KEY, "T_name")
+    lead_cells = join_bounded(complete, set_items(distinct_sets(seqs)).drop("set_size"), SET_KEY, ["T_name"], broadcast_rows)
+    per_item = (
+        lead_cells.join(tmap.select("S_class", "S_name", "T_name", "pmin_text"), ["S_class", "S_name", "T_name"])
+        .groupBy(*SET_KEY, "S_name")
+        .agg(F.max(F.col("pmin_text").cast("int")).alias("tas_p"))
+    )
+    leads = variant_leads(seqs)
+    single = leads.filter(F.size("leads") == 1).select(
+        *SET_KEY, "names", "ords", F.col("leads")[0]["S_name"].alias("S_name")
+    )
+    by_lead = single.join(per_item, [*SET_KEY, "S_name"]).select("S_class", "names", "ords", "tas_p")
+
+    items = variant_items(seqs)
+    tied = leads.filter(F.size("leads") > 1).select("S_class", "names", "ords")
+    pairs = own.select(*SET_KEY, "T_name")
+    partial = _first_position_max(own.filter(~F.col("complete")).select(*SET_KEY, "T_name"), items, tmap, broadcast_rows)
+    tied_all = _first_position_max(pairs, items.join(tied, ["S_class", "names", "ords"], "left_semi"), tmap, broadcast_rows)
+    return (
+        by_lead.unionByName(partial)
+        .unionByName(tied_all)
+        .groupBy("S_class", "names", "ords")
+        .agg(F.max("tas_p").alias("tas_p"))
     )
 
 
-def verdict_presence(seqs: DataFrame, dataset: DataFrame, tmap: DataFrame, broadcast_rows: int = BROADCAST_ROWS):
+def verdict_presence(
+    seqs: DataFrame,
+    dataset: DataFrame,
+    tmap: DataFrame,
+    broadcast_rows: int = BROADCAST_ROWS,
+    matrix: DataFrame | None = None,
+) -> DataFrame:
     """One verdict per (S_class, source series, subset): counts, accuracy, TAS."""
-    matrix = presence_matrix(seqs, tmap, broadcast_rows)
+    if matrix is None:
+        matrix = presence_matrix(seqs, tmap, broadcast_rows)
     conf = presence_confusion(seqs, matrix, dataset)
-    tas = presence_tas(seqs, matrix, tmap)
+    tas = presence_tas(seqs, matrix, tmap, broadcast_rows)
     return (
         seqs.select(*SET_KEY, "sid", "T_name", "names", "ords", "n_steps")
         .join(conf, SET_KEY)
@@ -182,17 +246,32 @@ def ordered_match(
     seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Per (ordered sequence, series holding all its shapelets): the greedy
-    chain; `found` and the chain positions `tas` (one per step)."""
+    chain; `found` and the chain positions `tas` (one per step).
+
+    Positions are gathered once per (name set, series) - at most one entry per
+    shapelet of the set - and every order of that set is then evaluated on the
+    gathered array with higher-order functions, without another shuffle."""
     pairs = matrix.filter("complete").select(*SET_KEY, "T_name", "class_d")
-    steps = join_bounded(pairs, ordered_items(ordered_sequences(seqs)), SET_KEY, ["T_name"], broadcast_rows)
+    items = set_items(distinct_sets(seqs)).drop("set_size")
     cells = tmap.filter("present = 1 AND vetoed = 0").select("S_class", "S_name", "T_name", "pos")
     gathered = (
-        steps.join(cells, ["S_class", "S_name", "T_name"])
-        .groupBy("S_class", "names", "n_steps", "T_name", "class_d")
-        .agg(F.array_sort(F.collect_list(F.struct("step", "pos"))).alias("chain_in"))
+        join_bounded(pairs, items, SET_KEY, ["T_name"], broadcast_rows)
+        .join(cells, ["S_class", "S_name", "T_name"])
+        .groupBy(*SET_KEY, "T_name", "class_d")
+        .agg(F.collect_list(F.struct("S_name", "pos")).alias("cells"))
+    )
+    orders = ordered_sequences(seqs).select(
+        *SET_KEY, "names", "n_steps", F.transform("steps", lambda x: x["S_name"]).alias("order")
     )
-    chain = ordered_chain(F.col("chain_in"))
-    return gathered.select(
+    per_order = join_bounded(gathered, orders, SET_KEY, ["T_name"], broadcast_rows)
+    chain_in = F.transform(
+        "order",
+        lambda n, i: F.struct(
+            i.alias("step"), F.get(F.filter("cells", lambda c: c["S_name"] == n), 0)["pos"].alias("pos")
+        ),
+    )
+    chain = ordered_chain(chain_in)
+    return per_order.select(
         "S_class",
         "names",
         "n_steps",
@@ -217,9 +296,16 @@ def combine_tas(matches: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def verdict_ordered(seqs: DataFrame, dataset: DataFrame, tmap: DataFrame, broadcast_rows: int = BROADCAST_ROWS):
+def verdict_ordered(
+    seqs: DataFrame,
+    dataset: DataFrame,
+    tmap: DataFrame,
+    broadcast_rows: int = BROADCAST_ROWS,
+    matrix: DataFrame | None = None,
+) -> DataFrame:
     """One verdict per (S_class, ordered names)."""
-    matrix = presence_matrix(seqs, tmap, broadcast_rows)
+    if matrix is None:
+        matrix = presence_matrix(seqs, tmap, broadcast_rows)
     matches = ordered_match(seqs, matrix, tmap, broadcast_rows)
     keys = ["S_class", "names"]
     oseqs = ordered_sequences(seqs).select(*keys, "n_steps")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,17 +51,27 @@ class Mining:
 
     @cached_property
     def tmap(self) -> DataFrame:
-        return encode.shapelet_series_map(self.occ, self.dataset)
+        # Read by the matrix, the TAS and the chain: kept (memory, then disk) so
+        # the occurrence table is scanned and grouped once per query.
+        return encode.shapelet_series_map(self.occ, self.dataset).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return evaluate.presence_matrix(self.seqs, self.tmap, self.broadcast_rows)
+        return evaluate.presence_matrix(self.seqs, self.tmap, self.broadcast_rows).persist(
+            StorageLevel.MEMORY_AND_DISK
+        )
+
+    def close(self) -> None:
+        """Release the persisted intermediates."""
+        for name in ("tmap", "matrix"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
 
     def verdict_presence(self) -> DataFrame:
-        return evaluate.verdict_presence(self.seqs, self.dataset, self.tmap, self.broadcast_rows)
+        return evaluate.verdict_presence(self.seqs, self.dataset, self.tmap, self.broadcast_rows, self.matrix)
 
     def verdict_ordered(self) -> DataFrame:
-        return evaluate.verdict_ordered(self.seqs, self.dataset, self.tmap, self.broadcast_rows)
+        return evaluate.verdict_ordered(self.seqs, self.dataset, self.tmap, self.broadcast_rows, self.matrix)
 
     def ordered_matches(self) -> DataFrame:
         return evaluate.ordered_match(self.seqs, self.matrix, self.tmap, self.broadcast_rows)
