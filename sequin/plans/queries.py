@@ -31,11 +31,22 @@ PREVIEW_ROWS = 20
 class Mining:
     """The shared pieces of the pipeline for one scale-factor folder (lazy plans)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROWS):
+    def __init__(self, spark: SparkSession, sf_dir: str | None, broadcast_rows: int = BROADCAST_ROWS):
         self.spark = spark
         self.sf_dir = sf_dir
         self.broadcast_rows = broadcast_rows
-        self.dataset, self.occ = fixture(spark, sf_dir)
+        if sf_dir is not None:
+            self.dataset, self.occ = fixture(spark, sf_dir)
+
+    @classmethod
+    def from_tables(
+        cls, dataset: DataFrame, occ: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    ) -> "Mining":
+        """Any catalogue (T_name, class_d) and typed occurrence table (with `ix`),
+        e.g. from `sources.read_dataset` / `sources.read_occurrences`."""
+        m = cls(dataset.sparkSession, None, broadcast_rows)
+        m.dataset, m.occ = dataset, occ
+        return m
 
     @cached_property
     def occurring(self) -> DataFrame:
