@@ -3,10 +3,11 @@ per-shapelet collections, one shapelet per dimension (P1, F1, J1, A1, A2, V1).""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import first_index, min_as_text
+from ..sources.fixture import POSITION_BLOCK
 
 OCC_KEY = ["S_class", "S_dimension", "S_name"]
 
@@ -43,24 +44,50 @@ def encode_series(occurring: DataFrame) -> DataFrame:
 
 
 def shapelet_series_map(occ: DataFrame, dataset: DataFrame) -> DataFrame:
-    """A2 in long form: one row per (shapelet, catalogued series).
-
-    Duplicate rows of a pair are merged: `vetoed` = some row lists no position
-    (the reference's "x" marker), `present` = some row lists positions, `pos` =
-    all positions (sorted, distinct), `pmin_text` = smallest position compared as
-    text. Series missing from the catalogue drop out (the reference's NULL key).
+    """A2 in long form: one row per (shapelet, catalogued series), fixed width.
+
+    Duplicate rows of a pair (and the position blocks of one pair) are merged:
+    `vetoed` = some row lists no position (the reference's "x" marker),
+    `present` = some row lists positions, `n_pos` = positions listed, `pmin` /
+    `pmax` = smallest / largest position, `pmin_text` = smallest position
+    compared as text. Series missing from the catalogue drop out (the
+    reference's NULL key). The positions themselves stay in
+    `position_blocks`, so no row grows with the length of a series.
     """
     joined = occ.select(*OCC_KEY, "T_name", "ix").join(dataset.select("T_name", "class_d"), "T_name")
-    return (
-        joined.groupBy(*OCC_KEY, "T_name", "class_d")
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.max((F.size("ix") == 0).cast("int")).alias("vetoed"),
-            F.max((F.size("ix") > 0).cast("int")).alias("present"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("ix")))).alias("pos"),
-        )
-        .withColumn("pmin_text", min_as_text("pos"))
+    return joined.groupBy(*OCC_KEY, "T_name", "class_d").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max((F.size("ix") == 0).cast("int")).alias("vetoed"),
+        F.max((F.size("ix") > 0).cast("int")).alias("present"),
+        F.sum(F.size("ix")).cast("bigint").alias("n_pos"),
+        F.min(F.array_min("ix")).alias("pmin"),
+        F.max(F.array_max("ix")).alias("pmax"),
+        F.min(min_as_text("ix")).alias("pmin_text"),
+    )
+
+
+def position_blocks(occ: DataFrame, dataset: DataFrame, block: int = POSITION_BLOCK) -> DataFrame:
+    """Positions of each (shapelet, catalogued series) in dense blocks of `block`
+    consecutive positions: (S_class, S_name, T_name, blk, pos, after), where
+    `pos` holds the block's positions (sorted, distinct, at most `block`) and
+    `after` is the smallest position in any later block. Blocks 0..last exist
+    even when empty, so "smallest position >= p" is one lookup at block p div
+    `block`: min of `pos` >= p, else `after`."""
+    key = ["S_class", "S_name", "T_name"]
+    listed = occ.filter(F.size("ix") > 0).select(*key, F.explode("ix").alias("p"))
+    listed = listed.join(dataset.select("T_name"), "T_name", "left_semi")
+    blocks = listed.groupBy(*key, F.floor(F.col("p") / block).cast("int").alias("blk")).agg(
+        F.array_sort(F.array_distinct(F.collect_list("p"))).alias("pos")
+    )
+    dense = (
+        blocks.groupBy(*key)
+        .agg(F.max("blk").alias("last"))
+        .select(*key, F.explode(F.sequence(F.lit(0), F.col("last"))).alias("blk"))
+        .join(blocks, [*key, "blk"], "left")
+        .withColumn("pos", F.coalesce("pos", F.array().cast("array<int>")))
     )
+    later = Window.partitionBy(*key).orderBy("blk").rowsBetween(1, Window.unboundedFollowing)
+    return dense.withColumn("after", F.min(F.array_min("pos")).over(later))
 
 
 def shapelet_name_order(occurring: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import entry_position, join_ints, ordered_chain, prefix_indices, window_entry
+from ..functions import entry_position, join_ints, prefix_indices, window_entry
+from ..sources.fixture import POSITION_BLOCK
 from .joins import BROADCAST_ROWS, join_bounded
 
 SET_KEY = ["S_class", "set_key"]
@@ -94,40 +95,44 @@ def variant_items(seqs: DataFrame) -> DataFrame:
     )
 
 
-def presence_windows(
-    seqs: DataFrame,
-    matrix: DataFrame,
-    tmap: DataFrame,
-    own_class_only: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Per (variant, series where its set is found): the time window,
-    i.e. every position p of every shapelet as the text "order_p" (order = the
-    shapelet's first position in the source series), sorted as text."""
+def _found_pairs(matrix: DataFrame, own_class_only: bool) -> DataFrame:
     pairs = matrix.filter("found")
     if own_class_only:
         pairs = pairs.filter(F.col("class_d") == F.col("S_class"))
-    pairs = pairs.select(*SET_KEY, "T_name", "class_d")
-    steps = join_bounded(pairs, variant_items(seqs), SET_KEY, ["T_name"], broadcast_rows)
-    cells = tmap.filter("present = 1").select("S_class", "S_name", "T_name", "pos", "pmin_text")
-    return steps.join(cells, ["S_class", "S_name", "T_name"])
+    return pairs.select(*SET_KEY, "T_name", "class_d")
 
 
-def sequence_profile(seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, own_class_only: bool = True) -> DataFrame:
-    """Shapelet count and sorted prefixed window per (variant, series)."""
-    w = presence_windows(seqs, matrix, tmap, own_class_only)
+def sequence_profile(
+    seqs: DataFrame,
+    matrix: DataFrame,
+    blocks: DataFrame,
+    own_class_only: bool = True,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Per (variant, series where its set is found): the number of
+    shapelets with positions and the time window, i.e. every position p of every
+    shapelet as the text "order_p" (order = the shapelet's first position in the
+    source series), sorted as text. The window lists every position of the
+    sequence's shapelets in the series: its length is that of the data it shows."""
+    steps = join_bounded(_found_pairs(matrix, own_class_only), variant_items(seqs), SET_KEY, ["T_name"], broadcast_rows)
+    w = steps.join(blocks.select("S_class", "S_name", "T_name", "pos"), ["S_class", "S_name", "T_name"])
     return w.groupBy("S_class", "names", "ords", "T_name").agg(
-        F.count(F.lit(1)).alias("n_shapelets"),
+        F.countDistinct("S_name").alias("n_shapelets"),
         F.array_sort(F.flatten(F.collect_list(prefix_indices(F.col("ord"), F.col("pos"))))).alias("window"),
     )
 
 
-def first_entries(seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, own_class_only: bool) -> DataFrame:
+def first_entries(
+    seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, own_class_only: bool, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """The smallest "order_p" text per (variant, series), computed from
     each shapelet's smallest position-as-text (no window is materialised)."""
-    w = presence_windows(seqs, matrix, tmap, own_class_only)
-    return w.groupBy("S_class", "names", "ords", "T_name").agg(
-        F.min(window_entry(F.col("ord"), F.col("pmin_text"))).alias("first_entry")
+    steps = join_bounded(_found_pairs(matrix, own_class_only), variant_items(seqs), SET_KEY, ["T_name"], broadcast_rows)
+    cells = tmap.filter("present = 1").select("S_class", "S_name", "T_name", "pmin_text")
+    return (
+        steps.join(cells, ["S_class", "S_name", "T_name"])
+        .groupBy("S_class", "names", "ords", "T_name")
+        .agg(F.min(window_entry(F.col("ord"), F.col("pmin_text"))).alias("first_entry"))
     )
 
 
@@ -243,43 +248,63 @@ def ordered_items(oseqs: DataFrame) -> DataFrame:
 
 
 def ordered_match(
-    seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    seqs: DataFrame,
+    matrix: DataFrame,
+    tmap: DataFrame,
+    blocks: DataFrame,
+    broadcast_rows: int = BROADCAST_ROWS,
+    block: int = POSITION_BLOCK,
+    checkpoint_every: int = 4,
 ) -> DataFrame:
-    """Per (ordered sequence, series holding all its shapelets): the greedy
-    chain; `found` and the chain positions `tas` (one per step).
-
-    Positions are gathered once per (name set, series) - at most one entry per
-    shapelet of the set - and every order of that set is then evaluated on the
-    gathered array with higher-order functions, without another shuffle."""
+    """The ordered sequences found in each series, with their chain `tas`.
+
+    A state is (ordered sequence, series, position reached). It starts at the
+    first shapelet's smallest position and advances one step per round: a join
+    on (shapelet of the step, series, block of the current position) with
+    `position_blocks` gives the smallest position >= the current one, from the
+    block's positions or from `after`. A state that finds none is dropped (not
+    found); a state past its last step is a match. Only series holding every
+    shapelet of the set are tried. Rounds = longest sequence (<= dimensions);
+    the state table is checkpointed every few rounds to keep the lineage short.
+    """
     pairs = matrix.filter("complete").select(*SET_KEY, "T_name", "class_d")
-    items = set_items(distinct_sets(seqs)).drop("set_size")
-    cells = tmap.filter("present = 1 AND vetoed = 0").select("S_class", "S_name", "T_name", "pos")
-    gathered = (
-        join_bounded(pairs, items, SET_KEY, ["T_name"], broadcast_rows)
-        .join(cells, ["S_class", "S_name", "T_name"])
-        .groupBy(*SET_KEY, "T_name", "class_d")
-        .agg(F.collect_list(F.struct("S_name", "pos")).alias("cells"))
-    )
     orders = ordered_sequences(seqs).select(
         *SET_KEY, "names", "n_steps", F.transform("steps", lambda x: x["S_name"]).alias("order")
     )
-    per_order = join_bounded(gathered, orders, SET_KEY, ["T_name"], broadcast_rows)
-    chain_in = F.transform(
-        "order",
-        lambda n, i: F.struct(
-            i.alias("step"), F.get(F.filter("cells", lambda c: c["S_name"] == n), 0)["pos"].alias("pos")
-        ),
-    )
-    chain = ordered_chain(chain_in)
-    return per_order.select(
-        "S_class",
-        "names",
-        "n_steps",
-        "T_name",
-        "class_d",
-        (chain["ok"] & (F.size(chain["tas"]) == F.col("n_steps"))).alias("found"),
-        chain["tas"].alias("tas"),
+    rounds = orders.agg(F.max("n_steps")).first()[0] or 0
+    starts = tmap.select("S_class", F.col("S_name").alias("_n"), "T_name", F.col("pmin").alias("cur"))
+    lookup = blocks.select("S_class", F.col("S_name").alias("_n"), "T_name", "blk", "pos", "after")
+    keep = ["S_class", "names", "n_steps", "order", "T_name", "class_d", "cur", "tas"]
+
+    alive = (
+        join_bounded(pairs, orders, SET_KEY, ["T_name"], broadcast_rows)
+        .withColumn("_n", F.col("order")[0])
+        .join(starts, ["S_class", "_n", "T_name"])
+        .withColumn("tas", F.array("cur"))
+        .select(*keep)
     )
+    done = [alive.filter(F.col("n_steps") == 1)]
+    alive = alive.filter(F.col("n_steps") > 1)
+    for k in range(1, rounds):
+        if checkpoint_every and k % checkpoint_every == 0:
+            alive = alive.checkpoint()
+        probe = alive.withColumn("_n", F.col("order")[k]).withColumn(
+            "blk", F.floor(F.col("cur") / block).cast("int")
+        )
+        nxt = F.coalesce(F.array_min(F.filter("pos", lambda p: p >= F.col("cur"))), F.col("after"))
+        stepped = (
+            probe.join(lookup, ["S_class", "_n", "T_name", "blk"])
+            .withColumn("cur", nxt)
+            .filter(F.col("cur").isNotNull())
+            .withColumn("tas", F.concat("tas", F.array("cur")))
+            .select(*keep)
+        )
+        done.append(stepped.filter(F.col("n_steps") == k + 1))
+        alive = stepped.filter(F.col("n_steps") > k + 1)
+    matches = done[0]
+    for part in done[1:]:
+        matches = matches.unionByName(part)
+    return matches.select("S_class", "names", "n_steps", "T_name", "class_d", F.lit(True).alias("found"), "tas")
 
 
 def combine_tas(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -300,13 +325,14 @@ def verdict_ordered(
     seqs: DataFrame,
     dataset: DataFrame,
     tmap: DataFrame,
+    blocks: DataFrame,
     broadcast_rows: int = BROADCAST_ROWS,
     matrix: DataFrame | None = None,
 ) -> DataFrame:
     """One verdict per (S_class, ordered names)."""
     if matrix is None:
         matrix = presence_matrix(seqs, tmap, broadcast_rows)
-    matches = ordered_match(seqs, matrix, tmap, broadcast_rows)
+    matches = ordered_match(seqs, matrix, tmap, blocks, broadcast_rows)
     keys = ["S_class", "names"]
     oseqs = ordered_sequences(seqs).select(*keys, "n_steps")
     counts = oseqs.join(hit_counts(matches, keys, "found"), keys, "left").fillna(0, ["tp", "n_found"])

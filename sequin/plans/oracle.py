@@ -37,7 +37,7 @@ dataset AS (
 ),
 pos_grp AS (
   SELECT T_name, S_dimension, band, list(pos ORDER BY pos) AS ix
-  FROM ev WHERE band BETWEEN 1 AND 4 GROUP BY T_name, S_dimension, band
+  FROM ev WHERE band BETWEEN 1 AND 4 GROUP BY T_name, S_dimension, band, floor(pos / 65536)
 ),
 occ AS (
   SELECT s.S_name, 'events' AS S_origin, s.S_dimension, s.S_class, d.T_name,
@@ -212,9 +212,12 @@ BODIES: dict[str, str] = {
                           ORDER BY S_dimension, T_indice, gain, S_name, S_class) AS shapelets
         FROM occ_nn GROUP BY S_class, T_name""",
     "shapelet_series_map": """
-        SELECT S_class, S_dimension, S_name, T_name, class_d, CAST(n_rows AS BIGINT) AS n_rows,
-               vetoed, present, coalesce(array_to_string(pos, ','), '') AS pos, pmin_text
-        FROM tmapx""",
+        SELECT t.S_class, t.S_dimension, t.S_name, t.T_name, t.class_d, CAST(t.n_rows AS BIGINT) AS n_rows,
+               t.vetoed, t.present, CAST(sum(len(o.ix)) AS BIGINT) AS n_pos,
+               list_min(t.pos) AS pmin, list_max(t.pos) AS pmax, t.pmin_text
+        FROM tmapx t JOIN occ o
+          ON o.S_class = t.S_class AND o.S_name = t.S_name AND o.S_dimension = t.S_dimension AND o.T_name = t.T_name
+        GROUP BY ALL""",
     "pick_per_dimension": "SELECT S_class, T_name, S_dimension, S_name, ord, T_indice FROM pick",
     "enumerate_sequences": "SELECT S_class, T_name, mask, sid, n_steps, names, ords, set_key FROM seq",
     "order_sequence": """

@@ -66,6 +66,10 @@ class Mining:
         # the occurrence table is scanned and grouped once per query.
         return encode.shapelet_series_map(self.occ, self.dataset).persist(StorageLevel.MEMORY_AND_DISK)
 
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return encode.position_blocks(self.occ, self.dataset).persist(StorageLevel.MEMORY_AND_DISK)
+
     @cached_property
     def matrix(self) -> DataFrame:
         return evaluate.presence_matrix(self.seqs, self.tmap, self.broadcast_rows).persist(
@@ -74,7 +78,7 @@ class Mining:
 
     def close(self) -> None:
         """Release the persisted intermediates."""
-        for name in ("tmap", "matrix"):
+        for name in ("tmap", "blocks", "matrix"):
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
 
@@ -82,10 +86,12 @@ class Mining:
         return evaluate.verdict_presence(self.seqs, self.dataset, self.tmap, self.broadcast_rows, self.matrix)
 
     def verdict_ordered(self) -> DataFrame:
-        return evaluate.verdict_ordered(self.seqs, self.dataset, self.tmap, self.broadcast_rows, self.matrix)
+        return evaluate.verdict_ordered(
+            self.seqs, self.dataset, self.tmap, self.blocks, self.broadcast_rows, self.matrix
+        )
 
     def ordered_matches(self) -> DataFrame:
-        return evaluate.ordered_match(self.seqs, self.matrix, self.tmap, self.broadcast_rows)
+        return evaluate.ordered_match(self.seqs, self.matrix, self.tmap, self.blocks, self.broadcast_rows)
 
 
 def _text(df: DataFrame, col: str = "tas") -> DataFrame:
@@ -172,7 +178,9 @@ def q_shapelet_series_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_rows").cast("bigint"),
         "vetoed",
         "present",
-        join_ints("pos").alias("pos"),
+        "n_pos",
+        "pmin",
+        "pmax",
         "pmin_text",
     )
 
@@ -262,7 +270,7 @@ def q_sequence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_sequence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Mining(spark, sf_dir)
-    prof = evaluate.sequence_profile(m.seqs, m.matrix, m.tmap)
+    prof = evaluate.sequence_profile(m.seqs, m.matrix, m.blocks)
     return prof.select(
         "S_class", "names", "ords", "T_name", F.col("n_shapelets").cast("bigint"), F.array_join("window", ",").alias("window")
     )
@@ -270,7 +278,7 @@ def q_sequence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rerank_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Mining(spark, sf_dir)
-    prof = evaluate.sequence_profile(m.seqs, m.matrix, m.tmap)
+    prof = evaluate.sequence_profile(m.seqs, m.matrix, m.blocks)
     return prof.select("S_class", "names", "ords", "T_name", F.array_join(rerank(F.col("window")), ",").alias("window"))
 
 

@@ -13,6 +13,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 # Fixed values of the fixture (they must match the oracle's SQL):
 #   dimensions (event types): click, error, purchase, signup, view
 #   value band: floor(value / 50)
@@ -25,6 +27,9 @@ BAND_WIDTH = 50
 BAND_CLASS = {1: "abnormal", 2: "normal", 3: "normal", 4: "abnormal"}
 PLANTED_BAND = 2
 PLANTED_TYPES = ["click", "view"]
+# Positions of one (shapelet, series) are split into rows per block of this many
+# consecutive positions, so no row holds an unbounded list.
+POSITION_BLOCK = 65536
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +44,40 @@ def _band() -> F.Column:
     return F.floor(F.col("value") / BAND_WIDTH).cast("int")
 
 
+def rank_within(df: DataFrame, key: str, order: list[str], chunks: int | None = None) -> DataFrame:
+    """Adds `_rank` (1-based) = row_number() over (partition by key order by order),
+    computed without sending one key's rows to one task.
+
+    Rows are range-partitioned on (key, *order), so a key holding a large share of
+    the rows is spread over several chunks; the chunk id is pinned by a reliable
+    checkpoint (range bounds come from a sample and must not change on recompute).
+    Each row's rank = its rank within (key, chunk) + the sizes of the key's
+    earlier chunks (a per-key running sum over at most `chunks` rows)."""
+    spark = df.sparkSession
+    shared_dir(spark)  # the checkpoint goes to the shared folder
+    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, key, *order).withColumn("_chunk", F.spark_partition_id()).checkpoint()
+    local = ranged.withColumn(
+        "_local", F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(*order))
+    )
+    sizes = ranged.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(key, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    return local.join(offsets, [key, "_chunk"]).select(
+        *df.columns, (F.col("_off") + F.col("_local")).alias("_rank")
+    )
+
+
 def event_positions(events: DataFrame) -> DataFrame:
-    """(T_name, S_dimension, band, pos): one row per event."""
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select(
+    """(T_name, S_dimension, band, pos): one row per event; pos = 0-based rank of
+    the event among its user's events by (ts, event_id)."""
+    cols = events.select("user_id", "ts", "event_id", "event_type", "value")
+    ranked = rank_within(cols, "user_id", ["ts", "event_id"])
+    return ranked.select(
         _series_name("user_id").alias("T_name"),
         F.col("event_type").alias("S_dimension"),
         _band().alias("band"),
-        (F.row_number().over(by_user) - 1).cast("int").alias("pos"),
+        (F.col("_rank") - 1).cast("int").alias("pos"),
     )
 
 
@@ -86,12 +117,13 @@ def shapelet_catalogue() -> F.Column:
 
 
 def occurrences(events: DataFrame, dataset: DataFrame) -> DataFrame:
-    """One row per (shapelet, series in the catalogue); `ix` = sorted positions, [] if none."""
+    """One row per (shapelet, series in the catalogue, block of positions);
+    `ix` = sorted positions, [] (one row) if the shapelet never occurs there."""
     bands = sorted(BAND_CLASS)
     positions = (
         event_positions(events)
         .filter(F.col("band").between(bands[0], bands[-1]))
-        .groupBy("T_name", "S_dimension", "band")
+        .groupBy("T_name", "S_dimension", "band", F.floor(F.col("pos") / POSITION_BLOCK).alias("blk"))
         .agg(F.array_sort(F.collect_list("pos")).alias("ix"))
     )
     pairs = dataset.select("T_name", F.explode(shapelet_catalogue()).alias("s")).select("T_name", "s.*")

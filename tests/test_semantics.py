@@ -162,3 +162,22 @@ def test_presence_matrix_flags(spark):
     assert rows[("s1", "t1")] == (True, True)
     assert rows[("s1+s3", "t3")] == (True, False)  # R8: s3 has no row in t3
     assert evaluate is not None
+
+
+def test_chain_across_small_blocks(spark):
+    # blocks of 4 positions: lookups must fall through empty blocks via `after`
+    from sequin.operators import encode
+
+    dataset, occ = random_case(11)
+    occ = [dict(r, ix=[p * 3 for p in r["ix"]]) for r in occ]  # spread positions over many blocks
+    ds, oc = frames(spark, dataset, occ)
+    m = Mining.from_tables(ds, oc)
+    blocks = encode.position_blocks(m.occ, m.dataset, block=4)
+    got = evaluate.ordered_match(m.seqs, m.matrix, m.tmap, blocks, block=4, checkpoint_every=1)
+    got = {(r.S_class, r.names, r.T_name): list(r.tas) for r in got.collect()}
+    want = model.verdict_ordered(dataset, occ)
+    assert {(c, n) for c, n, _ in got} <= set(want)
+    for (c, n), v in want.items():
+        own = [t for (c2, n2, t) in got if (c2, n2) == (c, n) and dataset[t] == c]
+        other = [t for (c2, n2, t) in got if (c2, n2) == (c, n) and dataset[t] != c]
+        assert (len(own), len(other)) == (v[0], v[2])
