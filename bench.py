@@ -17,14 +17,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from sequin.plans.queries import QUERIES  # noqa: E402
 from sequin.session import local_session  # noqa: E402
 
+# The two verdicts and the pipeline stages they are built from.
 HEADLINE = [
     "verdict_presence",
     "verdict_ordered",
     "enumerate_sequences",
+    "shapelet_series_map",
     "presence_matrix",
     "ordered_match",
-    "shapelet_series_map",
-    "sequence_profile",
+    "tas_combine",
 ]
 
 

@@ -15,6 +15,7 @@ Both evaluate each distinct name set / ordered sequence once and join back.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,7 +118,7 @@ def sequence_profile(
     steps = join_bounded(_found_pairs(matrix, own_class_only), variant_items(seqs), SET_KEY, ["T_name"], broadcast_rows)
     w = steps.join(blocks.select("S_class", "S_name", "T_name", "pos"), ["S_class", "S_name", "T_name"])
     return w.groupBy("S_class", "names", "ords", "T_name").agg(
-        F.countDistinct("S_name").alias("n_shapelets"),
+        F.size(F.collect_set("S_name")).cast("bigint").alias("n_shapelets"),
         F.array_sort(F.flatten(F.collect_list(prefix_indices(F.col("ord"), F.col("pos"))))).alias("window"),
     )
 
@@ -332,7 +333,8 @@ def verdict_ordered(
     """One verdict per (S_class, ordered names)."""
     if matrix is None:
         matrix = presence_matrix(seqs, tmap, broadcast_rows)
-    matches = ordered_match(seqs, matrix, tmap, blocks, broadcast_rows)
+    # read twice (counts and TAS): kept so the chain rounds run once
+    matches = ordered_match(seqs, matrix, tmap, blocks, broadcast_rows).persist(StorageLevel.DISK_ONLY)
     keys = ["S_class", "names"]
     oseqs = ordered_sequences(seqs).select(*keys, "n_steps")
     counts = oseqs.join(hit_counts(matches, keys, "found"), keys, "left").fillna(0, ["tp", "n_found"])

@@ -10,7 +10,6 @@ once per salt, which spreads every key over `salts` tasks.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +31,11 @@ def join_bounded(
 ) -> DataFrame:
     """Inner join of `large` and `small` on `keys`.
 
-    `small` is persisted and counted first (a cheap job: it is bounded by the
-    number of sequences, not by the data); that count decides the strategy.
-    `spread_by` are columns of `large` that spread one key over many rows
-    (e.g. the series name) and feed the salt.
+    `small` is counted first (a cheap job: it is bounded by the number of
+    sequences, not by the data, and derived from persisted tables); that count
+    decides the strategy. `spread_by` are columns of `large` that spread one key
+    over many rows (e.g. the series name) and feed the salt.
     """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
     if small.count() <= broadcast_rows:
         return large.join(F.broadcast(small), keys)
     n = salts or _salts(large)

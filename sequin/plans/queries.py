@@ -36,7 +36,11 @@ class Mining:
         self.sf_dir = sf_dir
         self.broadcast_rows = broadcast_rows
         if sf_dir is not None:
-            self.dataset, self.occ = fixture(spark, sf_dir)
+            dataset, occ = fixture(spark, sf_dir)
+            # The two inputs feed every later step (enumeration, map, blocks,
+            # class totals): kept once instead of being derived again each time.
+            self.dataset = dataset.persist(StorageLevel.DISK_ONLY)
+            self.occ = occ.persist(StorageLevel.DISK_ONLY)
 
     @classmethod
     def from_tables(
@@ -58,27 +62,28 @@ class Mining:
 
     @cached_property
     def seqs(self) -> DataFrame:
-        return sequences.enumerate_sequences(self.picks)
+        # Read by the set, variant and order dedupes and by the final joins.
+        return sequences.enumerate_sequences(self.picks).persist(StorageLevel.DISK_ONLY)
 
     @cached_property
     def tmap(self) -> DataFrame:
-        # Read by the matrix, the TAS and the chain: kept (memory, then disk) so
+        # Read by the matrix, the TAS and the chain: kept (on disk) so
         # the occurrence table is scanned and grouped once per query.
-        return encode.shapelet_series_map(self.occ, self.dataset).persist(StorageLevel.MEMORY_AND_DISK)
+        return encode.shapelet_series_map(self.occ, self.dataset).persist(StorageLevel.DISK_ONLY)
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return encode.position_blocks(self.occ, self.dataset).persist(StorageLevel.MEMORY_AND_DISK)
+        return encode.position_blocks(self.occ, self.dataset).persist(StorageLevel.DISK_ONLY)
 
     @cached_property
     def matrix(self) -> DataFrame:
         return evaluate.presence_matrix(self.seqs, self.tmap, self.broadcast_rows).persist(
-            StorageLevel.MEMORY_AND_DISK
+            StorageLevel.DISK_ONLY
         )
 
     def close(self) -> None:
         """Release the persisted intermediates."""
-        for name in ("tmap", "blocks", "matrix"):
+        for name in ("seqs", "tmap", "blocks", "matrix"):
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
 

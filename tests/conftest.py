@@ -17,6 +17,7 @@ def spark():
         SparkSession.builder.master("local[*]")
         .appName("sequin-tests")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
