@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import entry_position, join_ints, prefix_indices, window_entry
+from ..functions import entry_position, join_ints, ordered_chain, prefix_indices, window_entry
 from ..sources.fixture import POSITION_BLOCK
 from .joins import BROADCAST_ROWS, join_bounded
 
@@ -43,11 +43,15 @@ def presence_matrix(seqs: DataFrame, tmap: DataFrame, broadcast_rows: int = BROA
     necessary for an ordered match). Only fixed-width aggregates: the group-by
     stays a hash aggregation with a map-side partial step."""
     items = set_items(distinct_sets(seqs))
-    cells = tmap.select("S_class", "S_name", "T_name", "class_d", "present", "vetoed")
+    cells = tmap.select("S_class", "S_name", "T_name", "class_d", "present", "vetoed", "n_pos")
     joined = join_bounded(cells, items, ["S_class", "S_name"], ["T_name"], broadcast_rows)
     return (
         joined.groupBy(*SET_KEY, "set_size", "T_name", "class_d")
-        .agg(F.sum("present").cast("int").alias("n_present"), F.max("vetoed").alias("any_veto"))
+        .agg(
+            F.sum("present").cast("int").alias("n_present"),
+            F.max("vetoed").alias("any_veto"),
+            F.sum("n_pos").cast("bigint").alias("set_pos"),
+        )
         .withColumn("found", (F.col("any_veto") == 0) & (F.col("n_present") >= 1))
         .withColumn("complete", (F.col("any_veto") == 0) & (F.col("n_present") == F.col("set_size")))
     )
@@ -248,50 +252,77 @@ def ordered_items(oseqs: DataFrame) -> DataFrame:
     )
 
 
-def ordered_match(
+# A (set, series) pair whose shapelets list at most this many positions in the
+# series is matched on its gathered positions; larger pairs advance step by step.
+GATHER_POSITIONS = 65536
+
+
+def _orders(seqs: DataFrame) -> DataFrame:
+    return ordered_sequences(seqs).select(
+        *SET_KEY, "names", "n_steps", F.transform("steps", lambda x: x["S_name"]).alias("order")
+    )
+
+
+def _chain_gathered(
+    pairs: DataFrame, seqs: DataFrame, blocks: DataFrame, broadcast_rows: int
+) -> DataFrame:
+    """Pairs with few positions: positions gathered once per (set, series), then
+    every order of the set is run through the `aggregate` fold on that array."""
+    items = set_items(distinct_sets(seqs)).drop("set_size")
+    gathered = (
+        join_bounded(pairs, items, SET_KEY, ["T_name"], broadcast_rows)
+        .join(blocks.select("S_class", "S_name", "T_name", "pos"), ["S_class", "S_name", "T_name"])
+        .groupBy(*SET_KEY, "T_name", "class_d")
+        .agg(F.collect_list(F.struct("S_name", "pos")).alias("cells"))
+    )
+    per_order = join_bounded(gathered, _orders(seqs), SET_KEY, ["T_name"], broadcast_rows)
+
+    def positions(n: F.Column) -> F.Column:
+        own = F.filter("cells", lambda c: c["S_name"] == n)
+        return F.array_sort(F.flatten(F.transform(own, lambda c: c["pos"])))
+
+    chain = ordered_chain(F.transform("order", lambda n, i: F.struct(i.alias("step"), positions(n).alias("pos"))))
+    return per_order.filter(chain["ok"] & (F.size(chain["tas"]) == F.col("n_steps"))).select(
+        "S_class", "names", "n_steps", "T_name", "class_d", chain["tas"].alias("tas")
+    )
+
+
+def _chain_rounds(
+    pairs: DataFrame,
     seqs: DataFrame,
-    matrix: DataFrame,
     tmap: DataFrame,
     blocks: DataFrame,
-    broadcast_rows: int = BROADCAST_ROWS,
-    block: int = POSITION_BLOCK,
-    checkpoint_every: int = 4,
+    broadcast_rows: int,
+    block: int,
+    checkpoint_every: int,
 ) -> DataFrame:
-    """The ordered sequences found in each series, with their chain `tas`.
-
-    A state is (ordered sequence, series, position reached). It starts at the
-    first shapelet's smallest position and advances one step per round: a join
-    on (shapelet of the step, series, block of the current position) with
-    `position_blocks` gives the smallest position >= the current one, from the
-    block's positions or from `after`. A state that finds none is dropped (not
-    found); a state past its last step is a match. Only series holding every
-    shapelet of the set are tried. Rounds = longest sequence (<= dimensions);
-    the state table is checkpointed every few rounds to keep the lineage short.
-    """
-    pairs = matrix.filter("complete").select(*SET_KEY, "T_name", "class_d")
-    orders = ordered_sequences(seqs).select(
-        *SET_KEY, "names", "n_steps", F.transform("steps", lambda x: x["S_name"]).alias("order")
-    )
+    """Pairs with many positions: a state (ordered sequence, series, position
+    reached) starts at the first shapelet's smallest position and advances one
+    step per round by a join on (shapelet of the step, series, block of the
+    current position) with `position_blocks`: the smallest position >= the
+    current one is in that block or is its `after`. No series' positions are
+    ever gathered in one row or task."""
+    orders = _orders(seqs)
     rounds = orders.agg(F.max("n_steps")).first()[0] or 0
     starts = tmap.select("S_class", F.col("S_name").alias("_n"), "T_name", F.col("pmin").alias("cur"))
     lookup = blocks.select("S_class", F.col("S_name").alias("_n"), "T_name", "blk", "pos", "after")
     keep = ["S_class", "names", "n_steps", "order", "T_name", "class_d", "cur", "tas"]
-
-    alive = (
+    # Each round's states feed two branches (finished / still going): kept on
+    # disk so a round runs once.
+    state = (
         join_bounded(pairs, orders, SET_KEY, ["T_name"], broadcast_rows)
         .withColumn("_n", F.col("order")[0])
         .join(starts, ["S_class", "_n", "T_name"])
         .withColumn("tas", F.array("cur"))
         .select(*keep)
+        .persist(StorageLevel.DISK_ONLY)
     )
-    done = [alive.filter(F.col("n_steps") == 1)]
-    alive = alive.filter(F.col("n_steps") > 1)
+    done = [state.filter(F.col("n_steps") == 1)]
+    alive = state.filter(F.col("n_steps") > 1)
     for k in range(1, rounds):
         if checkpoint_every and k % checkpoint_every == 0:
             alive = alive.checkpoint()
-        probe = alive.withColumn("_n", F.col("order")[k]).withColumn(
-            "blk", F.floor(F.col("cur") / block).cast("int")
-        )
+        probe = alive.withColumn("_n", F.col("order")[k]).withColumn("blk", F.floor(F.col("cur") / block).cast("int"))
         nxt = F.coalesce(F.array_min(F.filter("pos", lambda p: p >= F.col("cur"))), F.col("after"))
         stepped = (
             probe.join(lookup, ["S_class", "_n", "T_name", "blk"])
@@ -299,13 +330,40 @@ def ordered_match(
             .filter(F.col("cur").isNotNull())
             .withColumn("tas", F.concat("tas", F.array("cur")))
             .select(*keep)
+            .persist(StorageLevel.DISK_ONLY)
         )
         done.append(stepped.filter(F.col("n_steps") == k + 1))
         alive = stepped.filter(F.col("n_steps") > k + 1)
     matches = done[0]
     for part in done[1:]:
         matches = matches.unionByName(part)
-    return matches.select("S_class", "names", "n_steps", "T_name", "class_d", F.lit(True).alias("found"), "tas")
+    return matches.select("S_class", "names", "n_steps", "T_name", "class_d", "tas")
+
+
+def ordered_match(
+    seqs: DataFrame,
+    matrix: DataFrame,
+    tmap: DataFrame,
+    blocks: DataFrame,
+    broadcast_rows: int = BROADCAST_ROWS,
+    block: int = POSITION_BLOCK,
+    checkpoint_every: int = 4,
+    gather_positions: int = GATHER_POSITIONS,
+) -> DataFrame:
+    """The ordered sequences found in each series, with their chain `tas`
+    (step 1 = smallest position, each later step = smallest position >= the
+    previous one). Only series holding every shapelet of the set are tried.
+    Pairs are split by how many positions their shapelets list: the small ones
+    are gathered, the large ones advance by rounds; both are exact."""
+    pairs = matrix.filter("complete").select(*SET_KEY, "T_name", "class_d", "set_pos")
+    small = pairs.filter(F.col("set_pos") <= gather_positions).drop("set_pos")
+    large = pairs.filter(F.col("set_pos") > gather_positions).drop("set_pos")
+    matches = _chain_gathered(small, seqs, blocks, broadcast_rows)
+    if not large.isEmpty():
+        matches = matches.unionByName(
+            _chain_rounds(large, seqs, tmap, blocks, broadcast_rows, block, checkpoint_every)
+        )
+    return matches.withColumn("found", F.lit(True))
 
 
 def combine_tas(matches: DataFrame, keys: list[str]) -> DataFrame:

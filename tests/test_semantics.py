@@ -165,7 +165,8 @@ def test_presence_matrix_flags(spark):
 
 
 def test_chain_across_small_blocks(spark):
-    # blocks of 4 positions: lookups must fall through empty blocks via `after`
+    # every pair takes the round path, with blocks of 4 positions: lookups must
+    # fall through empty blocks via `after`
     from sequin.operators import encode
 
     dataset, occ = random_case(11)
@@ -173,7 +174,9 @@ def test_chain_across_small_blocks(spark):
     ds, oc = frames(spark, dataset, occ)
     m = Mining.from_tables(ds, oc)
     blocks = encode.position_blocks(m.occ, m.dataset, block=4)
-    got = evaluate.ordered_match(m.seqs, m.matrix, m.tmap, blocks, block=4, checkpoint_every=1)
+    got = evaluate.ordered_match(
+        m.seqs, m.matrix, m.tmap, blocks, block=4, checkpoint_every=1, gather_positions=-1
+    )
     got = {(r.S_class, r.names, r.T_name): list(r.tas) for r in got.collect()}
     want = model.verdict_ordered(dataset, occ)
     assert {(c, n) for c, n, _ in got} <= set(want)
