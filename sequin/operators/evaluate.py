@@ -195,15 +195,17 @@ def presence_tas(
 
     items = variant_items(seqs)
     tied = leads.filter(F.size("leads") > 1).select("S_class", "names", "ords")
-    pairs = own.select(*SET_KEY, "T_name")
-    partial = _first_position_max(own.filter(~F.col("complete")).select(*SET_KEY, "T_name"), items, tmap, broadcast_rows)
-    tied_all = _first_position_max(pairs, items.join(tied, ["S_class", "names", "ords"], "left_semi"), tmap, broadcast_rows)
-    return (
-        by_lead.unionByName(partial)
-        .unionByName(tied_all)
-        .groupBy("S_class", "names", "ords")
-        .agg(F.max("tas_p").alias("tas_p"))
-    )
+    partly = own.filter(~F.col("complete")).select(*SET_KEY, "T_name")
+    parts = [by_lead]
+    if not partly.isEmpty():
+        parts.append(_first_position_max(partly, items, tmap, broadcast_rows))
+    if not tied.isEmpty():
+        tied_items = items.join(tied, ["S_class", "names", "ords"], "left_semi")
+        parts.append(_first_position_max(own.select(*SET_KEY, "T_name"), tied_items, tmap, broadcast_rows))
+    tas = parts[0]
+    for part in parts[1:]:
+        tas = tas.unionByName(part)
+    return tas.groupBy("S_class", "names", "ords").agg(F.max("tas_p").alias("tas_p"))
 
 
 def verdict_presence(
@@ -264,14 +266,15 @@ def _orders(seqs: DataFrame) -> DataFrame:
 
 
 def _chain_gathered(
-    pairs: DataFrame, seqs: DataFrame, blocks: DataFrame, broadcast_rows: int
+    pairs: DataFrame, seqs: DataFrame, positions: DataFrame, broadcast_rows: int
 ) -> DataFrame:
     """Pairs with few positions: positions gathered once per (set, series), then
-    every order of the set is run through the `aggregate` fold on that array."""
+    every order of the set is run through the `aggregate` fold on that array.
+    `positions`: (S_class, S_name, T_name, pos) rows, several per pair allowed."""
     items = set_items(distinct_sets(seqs)).drop("set_size")
     gathered = (
         join_bounded(pairs, items, SET_KEY, ["T_name"], broadcast_rows)
-        .join(blocks.select("S_class", "S_name", "T_name", "pos"), ["S_class", "S_name", "T_name"])
+        .join(positions.select("S_class", "S_name", "T_name", "pos"), ["S_class", "S_name", "T_name"])
         .groupBy(*SET_KEY, "T_name", "class_d")
         .agg(F.collect_list(F.struct("S_name", "pos")).alias("cells"))
     )
@@ -349,6 +352,7 @@ def ordered_match(
     block: int = POSITION_BLOCK,
     checkpoint_every: int = 4,
     gather_positions: int = GATHER_POSITIONS,
+    positions: DataFrame | None = None,
 ) -> DataFrame:
     """The ordered sequences found in each series, with their chain `tas`
     (step 1 = smallest position, each later step = smallest position >= the
@@ -358,7 +362,7 @@ def ordered_match(
     pairs = matrix.filter("complete").select(*SET_KEY, "T_name", "class_d", "set_pos")
     small = pairs.filter(F.col("set_pos") <= gather_positions).drop("set_pos")
     large = pairs.filter(F.col("set_pos") > gather_positions).drop("set_pos")
-    matches = _chain_gathered(small, seqs, blocks, broadcast_rows)
+    matches = _chain_gathered(small, seqs, blocks if positions is None else positions, broadcast_rows)
     if not large.isEmpty():
         matches = matches.unionByName(
             _chain_rounds(large, seqs, tmap, blocks, broadcast_rows, block, checkpoint_every)
@@ -387,12 +391,15 @@ def verdict_ordered(
     blocks: DataFrame,
     broadcast_rows: int = BROADCAST_ROWS,
     matrix: DataFrame | None = None,
+    positions: DataFrame | None = None,
 ) -> DataFrame:
     """One verdict per (S_class, ordered names)."""
     if matrix is None:
         matrix = presence_matrix(seqs, tmap, broadcast_rows)
-    # read twice (counts and TAS): kept so the chain rounds run once
-    matches = ordered_match(seqs, matrix, tmap, blocks, broadcast_rows).persist(StorageLevel.DISK_ONLY)
+    # read twice (counts and TAS): kept so the chain runs once
+    matches = ordered_match(seqs, matrix, tmap, blocks, broadcast_rows, positions=positions).persist(
+        StorageLevel.DISK_ONLY
+    )
     keys = ["S_class", "names"]
     oseqs = ordered_sequences(seqs).select(*keys, "n_steps")
     counts = oseqs.join(hit_counts(matches, keys, "found"), keys, "left").fillna(0, ["tp", "n_found"])

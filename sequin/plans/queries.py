@@ -81,6 +81,11 @@ class Mining:
             StorageLevel.DISK_ONLY
         )
 
+    @cached_property
+    def positions(self) -> DataFrame:
+        """(S_class, S_name, T_name, pos): the listed position rows (bounded each)."""
+        return self.occ.filter(F.size("ix") > 0).select("S_class", "S_name", "T_name", F.col("ix").alias("pos"))
+
     def close(self) -> None:
         """Release the persisted intermediates."""
         for name in ("seqs", "tmap", "blocks", "matrix"):
@@ -92,11 +97,13 @@ class Mining:
 
     def verdict_ordered(self) -> DataFrame:
         return evaluate.verdict_ordered(
-            self.seqs, self.dataset, self.tmap, self.blocks, self.broadcast_rows, self.matrix
+            self.seqs, self.dataset, self.tmap, self.blocks, self.broadcast_rows, self.matrix, self.positions
         )
 
     def ordered_matches(self) -> DataFrame:
-        return evaluate.ordered_match(self.seqs, self.matrix, self.tmap, self.blocks, self.broadcast_rows)
+        return evaluate.ordered_match(
+            self.seqs, self.matrix, self.tmap, self.blocks, self.broadcast_rows, positions=self.positions
+        )
 
 
 def _text(df: DataFrame, col: str = "tas") -> DataFrame:
