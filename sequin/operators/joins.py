@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 
 # Rows of the item side that may be broadcast (each row is a few short strings).
 BROADCAST_ROWS = 200_000
-
-
-def _salts(large: DataFrame) -> int:
-    return int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+# Upper bound on how many copies of the item side the salted join makes.
+MAX_SALTS = 64
 
 
 def join_bounded(
@@ -31,14 +29,19 @@ def join_bounded(
 ) -> DataFrame:
     """Inner join of `large` and `small` on `keys`.
 
-    `small` is counted first (a cheap job: it is bounded by the number of
-    sequences, not by the data, and derived from persisted tables); that count
-    decides the strategy. `spread_by` are columns of `large` that spread one key
-    over many rows (e.g. the series name) and feed the salt.
+    `small` is measured first (one cheap job: it is bounded by the number of
+    sequences, not by the data, and derived from persisted tables): its row
+    count decides the strategy, its number of distinct keys the salt count
+    (about shuffle partitions / keys, so every key gets its share of tasks,
+    at most `MAX_SALTS` copies). `spread_by` are columns of `large` that spread
+    one key over many rows (e.g. the series name) and feed the salt.
     """
-    if small.count() <= broadcast_rows:
+    stats = small.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*keys).alias("k")).first()
+    if stats["n"] <= broadcast_rows:
         return large.join(F.broadcast(small), keys)
-    n = salts or _salts(large)
-    salted_large = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(n)).cast("int"))
-    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if salts is None:
+        partitions = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = max(1, min(MAX_SALTS, -(-partitions // max(stats["k"], 1))))
+    salted_large = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_large.join(salted_small, [*keys, "_salt"]).drop("_salt")

@@ -184,3 +184,20 @@ def test_chain_across_small_blocks(spark):
         own = [t for (c2, n2, t) in got if (c2, n2) == (c, n) and dataset[t] == c]
         other = [t for (c2, n2, t) in got if (c2, n2) == (c, n) and dataset[t] != c]
         assert (len(own), len(other)) == (v[0], v[2])
+
+
+def test_rank_within_hot_key(spark):
+    # one key holds most rows: the distributed rank equals row_number()
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from sequin.sources.fixture import rank_within
+
+    df = spark.range(0, 5000).select(
+        F.when(F.col("id") % 10 < 8, F.lit(1)).otherwise(F.col("id") % 7).alias("k"),
+        (F.col("id") * 7919 % 5000).alias("t"),
+        F.col("id").alias("e"),
+    )
+    got = rank_within(df, "k", ["t", "e"], chunks=16)
+    want = df.withColumn("_rank", F.row_number().over(Window.partitionBy("k").orderBy("t", "e")))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
