@@ -16,7 +16,7 @@ Both evaluate each distinct name set / ordered sequence once and join back.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import entry_position, join_ints, ordered_chain, prefix_indices, window_entry
@@ -107,6 +107,10 @@ def _found_pairs(matrix: DataFrame, own_class_only: bool) -> DataFrame:
     return pairs.select(*SET_KEY, "T_name", "class_d")
 
 
+def _window_steps(seqs, matrix, own_class_only, broadcast_rows) -> DataFrame:
+    return join_bounded(_found_pairs(matrix, own_class_only), variant_items(seqs), SET_KEY, ["T_name"], broadcast_rows)
+
+
 def sequence_profile(
     seqs: DataFrame,
     matrix: DataFrame,
@@ -114,19 +118,53 @@ def sequence_profile(
     own_class_only: bool = True,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Per (variant, series where its set is found): the number of
-    shapelets with positions and the time window, i.e. every position p of every
-    shapelet as the text "order_p" (order = the shapelet's first position in the
-    source series), sorted as text. The window lists every position of the
-    sequence's shapelets in the series: its length is that of the data it shows."""
-    steps = join_bounded(_found_pairs(matrix, own_class_only), variant_items(seqs), SET_KEY, ["T_name"], broadcast_rows)
-    w = steps.join(blocks.select("S_class", "S_name", "T_name", "pos"), ["S_class", "S_name", "T_name"])
-    return w.groupBy("S_class", "names", "ords", "T_name").agg(
-        F.size(F.collect_set("S_name")).cast("bigint").alias("n_shapelets"),
+    """The time window of a (variant, series where its set is
+    found), one row per block of positions: every position p of every shapelet
+    as the text "order_p" (order = the shapelet's first position in the source
+    series), sorted as text, and the number of shapelets listed in the block.
+    A block holds at most `POSITION_BLOCK` positions per shapelet."""
+    w = _window_steps(seqs, matrix, own_class_only, broadcast_rows).join(
+        blocks.filter(F.size("pos") > 0).select("S_class", "S_name", "T_name", "blk", "pos"),
+        ["S_class", "S_name", "T_name"],
+    )
+    return w.groupBy("S_class", "names", "ords", "T_name", "blk").agg(
+        F.count(F.lit(1)).alias("n_shapelets"),
         F.array_sort(F.flatten(F.collect_list(prefix_indices(F.col("ord"), F.col("pos"))))).alias("window"),
     )
 
 
+def reranked_windows(
+    seqs: DataFrame,
+    matrix: DataFrame,
+    tmap: DataFrame,
+    blocks: DataFrame,
+    own_class_only: bool = True,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """The window with each order replaced by its dense rank (0-based, text
+    order) among the orders of the shapelets present in the series; ranks come
+    from a window over the (at most one per dimension) shapelets of a
+    (variant, series); entries keep the order of the "order_p" texts."""
+    steps = _window_steps(seqs, matrix, own_class_only, broadcast_rows).join(
+        tmap.filter("present = 1").select("S_class", "S_name", "T_name"), ["S_class", "S_name", "T_name"]
+    )
+    per_window = Window.partitionBy("S_class", "names", "ords", "T_name").orderBy(F.col("ord").cast("string"))
+    ranked = steps.withColumn("rank", (F.dense_rank().over(per_window) - 1).cast("string"))
+    w = ranked.join(
+        blocks.filter(F.size("pos") > 0).select("S_class", "S_name", "T_name", "blk", "pos"),
+        ["S_class", "S_name", "T_name"],
+    )
+    entries = F.transform(
+        "pos",
+        lambda p: F.struct(
+            window_entry(F.col("ord"), p).alias("e"), F.concat_ws("_", F.col("rank"), p.cast("string")).alias("r")
+        ),
+    )
+    return w.groupBy("S_class", "names", "ords", "T_name", "blk").agg(
+        F.transform(F.array_sort(F.flatten(F.collect_list(entries))), lambda x: x["r"]).alias("window")
+    )
+
+
 def first_entries(
     seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, own_class_only: bool, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

@@ -259,23 +259,24 @@ BODIES: dict[str, str] = {
                CAST(count_if(present = 1 AND class_d = 'normal') AS BIGINT) AS normal
         FROM tmap GROUP BY S_class, S_name""",
     "sequence_profile": """
-        SELECT S_class, names, ords, T_name, CAST(count(DISTINCT S_name) AS BIGINT) AS n_shapelets,
+        SELECT S_class, names, ords, T_name, blk, CAST(count(DISTINCT S_name) AS BIGINT) AS n_shapelets,
                string_agg(e, ',' ORDER BY e) AS window
-        FROM (SELECT S_class, names, ords, T_name, S_name,
-                     CAST(ord AS VARCHAR) || '_' || CAST(unnest(pos) AS VARCHAR) AS e
-              FROM win WHERE class_d = S_class) q
-        GROUP BY S_class, names, ords, T_name""",
+        FROM (SELECT S_class, names, ords, T_name, S_name, CAST(floor(p / 65536) AS INTEGER) AS blk,
+                     CAST(ord AS VARCHAR) || '_' || CAST(p AS VARCHAR) AS e
+              FROM (SELECT *, unnest(pos) AS p FROM win WHERE class_d = S_class) u) q
+        GROUP BY S_class, names, ords, T_name, blk""",
     "sequence_hits": "SELECT S_class, set_key, T_name, class_d FROM hit WHERE found",
     "rerank_window": """
-        SELECT S_class, names, ords, T_name,
-               string_agg(CAST(rk AS VARCHAR) || '_' || p, ',' ORDER BY e) AS window
+        SELECT S_class, names, ords, T_name, blk,
+               string_agg(CAST(rk AS VARCHAR) || '_' || CAST(p AS VARCHAR), ',' ORDER BY o || '_' || CAST(p AS VARCHAR)) AS window
         FROM (
-          SELECT S_class, names, ords, T_name, o || '_' || p AS e, p,
-                 dense_rank() OVER (PARTITION BY S_class, names, ords, T_name ORDER BY o) - 1 AS rk
-          FROM (SELECT S_class, names, ords, T_name, CAST(ord AS VARCHAR) AS o,
-                       CAST(unnest(pos) AS VARCHAR) AS p FROM win WHERE class_d = S_class) q
-        ) q2
-        GROUP BY S_class, names, ords, T_name""",
+          SELECT S_class, names, ords, T_name, o, rk, p, CAST(floor(p / 65536) AS INTEGER) AS blk
+          FROM (SELECT S_class, names, ords, T_name, pos, CAST(ord AS VARCHAR) AS o,
+                       dense_rank() OVER (PARTITION BY S_class, names, ords, T_name ORDER BY CAST(ord AS VARCHAR)) - 1 AS rk
+                FROM win WHERE class_d = S_class) r,
+               unnest(r.pos) AS u(p)
+        ) q
+        GROUP BY S_class, names, ords, T_name, blk""",
     "tas_first_index": """
         SELECT S_class, names, ords, T_name, CAST(split_part(first_entry, '_', 2) AS INTEGER) AS tas_first
         FROM first_entry WHERE class_d = S_class""",

@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import entry_position, first_index, first_token, join_ints, parse_indices, render_indices, rerank
+from ..functions import entry_position, first_index, first_token, join_ints, parse_indices, render_indices
 from ..operators import encode, evaluate, sequences
 from ..operators.joins import BROADCAST_ROWS
 from ..session import scratch_path
@@ -284,14 +284,20 @@ def q_sequence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Mining(spark, sf_dir)
     prof = evaluate.sequence_profile(m.seqs, m.matrix, m.blocks)
     return prof.select(
-        "S_class", "names", "ords", "T_name", F.col("n_shapelets").cast("bigint"), F.array_join("window", ",").alias("window")
+        "S_class",
+        "names",
+        "ords",
+        "T_name",
+        "blk",
+        F.col("n_shapelets").cast("bigint"),
+        F.array_join("window", ",").alias("window"),
     )
 
 
 def q_rerank_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Mining(spark, sf_dir)
-    prof = evaluate.sequence_profile(m.seqs, m.matrix, m.blocks)
-    return prof.select("S_class", "names", "ords", "T_name", F.array_join(rerank(F.col("window")), ",").alias("window"))
+    win = evaluate.reranked_windows(m.seqs, m.matrix, m.tmap, m.blocks)
+    return win.select("S_class", "names", "ords", "T_name", "blk", F.array_join("window", ",").alias("window"))
 
 
 def q_tas_first_index(spark: SparkSession, sf_dir: str) -> DataFrame:
