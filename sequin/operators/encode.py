@@ -32,12 +32,19 @@ def join_class_left(occ: DataFrame, dataset: DataFrame) -> DataFrame:
 
 
 def encode_series(occurring: DataFrame) -> DataFrame:
-    """A1: per (S_class, T_name), the occurring shapelet tuples, sorted.
-
-    One list per series and class; its length is the number of shapelets of that
-    class occurring in the series, independent of the number of series."""
-    item = F.struct("S_dimension", "T_indice", "gain", "S_name", "S_class")
-    return occurring.groupBy("S_class", "T_name").agg(
+    """A1: per (S_class, T_name), the occurring shapelets, sorted.
+
+    Rows of one shapelet (duplicates, position blocks) are first reduced to one
+    tuple (dimension, name, first position, rows, positions listed), so the
+    list per series is bounded by the number of shapelets of the class, not by
+    the length of the series."""
+    per_shapelet = occurring.groupBy("S_class", "T_name", "S_dimension", "S_name").agg(
+        F.min(first_index("ix")).alias("first"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.size("ix")).cast("bigint").alias("n_pos"),
+    )
+    item = F.struct("S_dimension", "S_name", "first", "n_rows", "n_pos")
+    return per_shapelet.groupBy("S_class", "T_name").agg(
         F.count(F.lit(1)).alias("n_shapelets"),
         F.array_sort(F.collect_list(item)).alias("shapelets"),
     )

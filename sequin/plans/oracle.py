@@ -208,9 +208,13 @@ BODIES: dict[str, str] = {
         FROM occ o LEFT JOIN dataset d ON d.T_name = o.T_name""",
     "encode_series": """
         SELECT S_class, T_name, CAST(count(*) AS BIGINT) AS n_shapelets,
-               string_agg(S_dimension || ':' || S_name || ':' || T_indice, ';'
-                          ORDER BY S_dimension, T_indice, gain, S_name, S_class) AS shapelets
-        FROM occ_nn GROUP BY S_class, T_name""",
+               string_agg(S_dimension || ':' || S_name || ':' || CAST(first AS VARCHAR) || ':'
+                          || CAST(n_rows AS VARCHAR) || ':' || CAST(n_pos AS VARCHAR), ';'
+                          ORDER BY S_dimension, S_name) AS shapelets
+        FROM (SELECT S_class, T_name, S_dimension, S_name, min(ix[1]) AS first,
+                     count(*) AS n_rows, sum(len(ix)) AS n_pos
+              FROM occ_nn GROUP BY S_class, T_name, S_dimension, S_name) q
+        GROUP BY S_class, T_name""",
     "shapelet_series_map": """
         SELECT t.S_class, t.S_dimension, t.S_name, t.T_name, t.class_d, CAST(t.n_rows AS BIGINT) AS n_rows,
                t.vetoed, t.present, CAST(sum(len(o.ix)) AS BIGINT) AS n_pos,

@@ -174,7 +174,12 @@ def q_join_class_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_encode_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     enc = encode.encode_series(Mining(spark, sf_dir).occurring)
-    text = F.transform("shapelets", lambda x: F.concat_ws(":", x["S_dimension"], x["S_name"], x["T_indice"]))
+    text = F.transform(
+        "shapelets",
+        lambda x: F.concat_ws(
+            ":", x["S_dimension"], x["S_name"], x["first"].cast("string"), x["n_rows"].cast("string"), x["n_pos"].cast("string")
+        ),
+    )
     return enc.select(
         "S_class", "T_name", F.col("n_shapelets").cast("bigint"), F.array_join(text, ";").alias("shapelets")
     )
