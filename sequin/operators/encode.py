@@ -17,6 +17,21 @@ def project_occurrence(occ: DataFrame) -> DataFrame:
     return occ.select("S_dimension", "S_name", "S_class", "T_name", "T_indice", "ix")
 
 
+def project_occurrence_sql(occ: DataFrame) -> DataFrame:
+    """S4 + P1 through SQL text: the occurrence table is bound as a view and
+    queried with `spark.sql` (Spark parses, analyses and optimises it)."""
+    return occ.sparkSession.sql(
+        "SELECT S_dimension, S_name, S_class, T_name, T_indice FROM {occ}", occ=occ
+    )
+
+
+def occurring_only_sql(occ: DataFrame) -> DataFrame:
+    """S4 + F1 through SQL text: `T_indice != '[]'` on a view of the table."""
+    return occ.sparkSession.sql(
+        "SELECT S_dimension, S_name, S_class, T_name, T_indice FROM {occ} WHERE T_indice != '[]'", occ=occ
+    )
+
+
 def occurring_only(occ: DataFrame) -> DataFrame:
     """rows whose position list is not empty (`T_indice != '[]'`)."""
     return occ.filter(F.size("ix") > 0)

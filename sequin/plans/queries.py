@@ -158,13 +158,13 @@ def q_parse_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_project_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.project_occurrence(Mining(spark, sf_dir).occ).drop("ix")
+    """P1 via the SQL text path."""
+    return encode.project_occurrence_sql(Mining(spark, sf_dir).occ)
 
 
 def q_occurring_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.occurring_only(Mining(spark, sf_dir).occ).select(
-        "S_dimension", "S_name", "S_class", "T_name", "T_indice"
-    )
+    """F1 via the SQL text path."""
+    return encode.occurring_only_sql(Mining(spark, sf_dir).occ)
 
 
 def q_join_class_left(spark: SparkSession, sf_dir: str) -> DataFrame:
