@@ -45,7 +45,8 @@ def row(name, dim, cls, t, ix):
     return {"S_name": name, "S_dimension": dim, "S_class": cls, "T_name": t, "ix": ix}
 
 
-EDGE_DATASET = {"t1": "c_a", "t2": "c_a", "t3": "c_b", "t4": "c_b", "t5": "c_a"}
+# t6 is catalogued but has no shapelet row at all
+EDGE_DATASET = {"t1": "c_a", "t2": "c_a", "t3": "c_b", "t4": "c_b", "t5": "c_a", "t6": "c_b"}
 EDGE_OCC = [
     # s1 occurs twice in t1 (duplicate rows), and in t2 next to an empty row
     row("s1", "d1", "c_a", "t1", [3]),
