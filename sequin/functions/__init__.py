@@ -1,6 +1,6 @@
 """Column-level building blocks; every one is a native Spark expression."""
 
-from .chain import elementwise_max, ordered_chain
+from .chain import ordered_chain
 from .indices import (
     first_index,
     first_token,
@@ -14,7 +14,6 @@ from .indices import (
 from .window import entry_position, first_of_window, prefix_indices, rerank, window_entry
 
 __all__ = [
-    "elementwise_max",
     "entry_position",
     "first_index",
     "first_of_window",

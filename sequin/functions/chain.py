@@ -30,8 +30,3 @@ def ordered_chain(steps: Column) -> Column:
         ).otherwise(F.struct(F.lit(False).alias("ok"), acc["cur"].alias("cur"), acc["tas"].alias("tas")))
 
     return F.aggregate(steps, start, step)
-
-
-def elementwise_max(a: Column, b: Column) -> Column:
-    """Position-wise max of two equally long int arrays (TAS combine, order kept)."""
-    return F.zip_with(a, b, lambda x, y: F.greatest(x, y))

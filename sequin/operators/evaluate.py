@@ -458,7 +458,3 @@ def verdict_ordered(
             F.coalesce("tas", F.array().cast("array<int>")).alias("tas"),
         )
     )
-
-
-def tas_text(col: str = "tas") -> F.Column:
-    return join_ints(F.col(col)).alias(col)

@@ -371,12 +371,13 @@ def q_preview_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_verdict_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference's final projection."""
     v = Mining(spark, sf_dir).verdict_presence()
-    return v.select(
+    pair = v.withColumn("Accuracy_TAS", F.struct(F.col("accuracy").alias("_1"), F.col("tas").alias("_2")))
+    return pair.select(
         F.col("sid").alias("sequence_id"),
         "S_class",
         F.col("n_steps").alias("n_shapelets"),
-        F.col("accuracy").alias("Accuracy"),
-        join_ints(F.col("tas")).alias("TAS"),
+        F.col("Accuracy_TAS._1").alias("Accuracy"),
+        join_ints(F.col("Accuracy_TAS._2")).alias("TAS"),
     )
 
 
