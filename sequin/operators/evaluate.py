@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import entry_position, join_ints, ordered_chain, prefix_indices, window_entry
+from ..functions import entry_position, ordered_chain, prefix_indices, window_entry
 from ..sources.fixture import POSITION_BLOCK
 from .joins import BROADCAST_ROWS, join_bounded
 
