@@ -29,19 +29,19 @@ def join_bounded(
 ) -> DataFrame:
     """Inner join of `large` and `small` on `keys`.
 
-    `small` is measured first (one cheap job: it is bounded by the number of
+    `small` is measured first (a cheap job: it is bounded by the number of
     sequences, not by the data, and derived from persisted tables): its row
-    count decides the strategy, its number of distinct keys the salt count
-    (about shuffle partitions / keys, so every key gets its share of tasks,
-    at most `MAX_SALTS` copies). `spread_by` are columns of `large` that spread
+    count decides the strategy; beyond the limit its number of distinct keys
+    sets the salt count (about shuffle partitions / keys, so every key gets its
+    share of tasks, at most `MAX_SALTS` copies). `spread_by` are columns of `large` that spread
     one key over many rows (e.g. the series name) and feed the salt.
     """
-    stats = small.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*keys).alias("k")).first()
-    if stats["n"] <= broadcast_rows:
+    if small.count() <= broadcast_rows:
         return large.join(F.broadcast(small), keys)
     if salts is None:
         partitions = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salts = max(1, min(MAX_SALTS, -(-partitions // max(stats["k"], 1))))
+        n_keys = small.select(*keys).distinct().count()
+        salts = max(1, min(MAX_SALTS, -(-partitions // max(n_keys, 1))))
     salted_large = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_large.join(salted_small, [*keys, "_salt"]).drop("_salt")
