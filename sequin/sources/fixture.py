@@ -52,10 +52,13 @@ def rank_within(df: DataFrame, key: str, order: list[str], chunks: int | None =
     the rows is spread over several chunks; the chunk id is pinned by a reliable
     checkpoint (range bounds come from a sample and must not change on recompute).
     Each row's rank = its rank within (key, chunk) + the sizes of the key's
-    earlier chunks (a per-key running sum over at most `chunks` rows)."""
+    earlier chunks (a per-key running sum over at most `chunks` rows). Chunks
+    default to max(shuffle partitions, input splits)."""
     spark = df.sparkSession
     shared_dir(spark)  # the checkpoint goes to the shared folder
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # At least one chunk per input split (planning only, no job), so a chunk
+    # stays near `spark.sql.files.maxPartitionBytes` however large the table.
+    n = chunks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     ranged = df.repartitionByRange(n, key, *order).withColumn("_chunk", F.spark_partition_id()).checkpoint()
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(*order))
