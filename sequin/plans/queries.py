@@ -19,7 +19,15 @@ from ..functions import entry_position, first_index, first_token, join_ints, par
 from ..operators import encode, evaluate, sequences
 from ..operators.joins import BROADCAST_ROWS
 from ..session import scratch_path
-from ..sources import fixture, read_dataset, read_occurrences, write_dataset_text, write_occurrences_text
+from ..sources import (
+    occurrences,
+    read_dataset,
+    read_occurrences,
+    read_table,
+    series_catalogue,
+    write_dataset_text,
+    write_occurrences_text,
+)
 from ..sources.fixture import BAND_CLASS
 from ..sources.sink import write_table
 
@@ -36,11 +44,15 @@ class Mining:
         self.sf_dir = sf_dir
         self.broadcast_rows = broadcast_rows
         if sf_dir is not None:
-            dataset, occ = fixture(spark, sf_dir)
+            self.events = read_table(spark, sf_dir, "events")
             # The two inputs feed every later step (enumeration, map, blocks,
             # class totals): kept once instead of being derived again each time.
-            self.dataset = dataset.persist(StorageLevel.DISK_ONLY)
-            self.occ = occ.persist(StorageLevel.DISK_ONLY)
+            self.dataset = series_catalogue(self.events).persist(StorageLevel.DISK_ONLY)
+
+    @cached_property
+    def occ(self) -> DataFrame:
+        # Derived on first use: queries on the catalogue alone skip the ranking.
+        return occurrences(self.events, self.dataset).persist(StorageLevel.DISK_ONLY)
 
     @classmethod
     def from_tables(
@@ -49,7 +61,8 @@ class Mining:
         """Any catalogue (T_name, class_d) and typed occurrence table (with `ix`),
         e.g. from `sources.read_dataset` / `sources.read_occurrences`."""
         m = cls(dataset.sparkSession, None, broadcast_rows)
-        m.dataset, m.occ = dataset, occ
+        m.dataset = dataset
+        m.__dict__["occ"] = occ
         return m
 
     @cached_property
