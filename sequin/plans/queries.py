@@ -101,9 +101,12 @@ class Mining:
 
     def close(self) -> None:
         """Release the persisted intermediates."""
-        for name in ("seqs", "tmap", "blocks", "matrix"):
+        owned = ("occ",) if self.sf_dir is not None else ()
+        for name in ("seqs", "tmap", "blocks", "matrix", *owned):
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
+        if self.sf_dir is not None:
+            self.dataset.unpersist()
 
     def verdict_presence(self) -> DataFrame:
         return evaluate.verdict_presence(self.seqs, self.dataset, self.tmap, self.broadcast_rows, self.matrix)
