@@ -38,7 +38,8 @@ def _run(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, partitions=max(8, 2 * int(cpus) if cpus.isdigit() else 16), app="sequin-bench")
+    # one shuffle partition per core (AQE coalesces further)
+    spark = local_session(cpus, partitions=int(cpus) if cpus.isdigit() else 8, app="sequin-bench")
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):
         for name in HEADLINE:
