@@ -7,14 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import first_index, min_as_text
-from ..sources.fixture import POSITION_BLOCK
-
-OCC_KEY = ["S_class", "S_dimension", "S_name"]
 
+# Positions of a (shapelet, series) pair are looked up in blocks of this many.
+POSITION_BLOCK = 65536
 
-def project_occurrence(occ: DataFrame) -> DataFrame:
-    """The five columns the mining uses."""
-    return occ.select("S_dimension", "S_name", "S_class", "T_name", "T_indice", "ix")
+OCC_KEY = ["S_class", "S_dimension", "S_name"]
 
 
 def project_occurrence_sql(occ: DataFrame) -> DataFrame:
@@ -49,7 +46,7 @@ def join_class_left(occ: DataFrame, dataset: DataFrame) -> DataFrame:
 def encode_series(occurring: DataFrame) -> DataFrame:
     """A1: per (S_class, T_name), the occurring shapelets, sorted.
 
-    Rows of one shapelet (duplicates, position blocks) are first reduced to one
+    Duplicate rows of one shapelet are first reduced to one
     tuple (dimension, name, first position, rows, positions listed), so the
     list per series is bounded by the number of shapelets of the class, not by
     the length of the series."""
@@ -68,7 +65,7 @@ def encode_series(occurring: DataFrame) -> DataFrame:
 def shapelet_series_map(occ: DataFrame, dataset: DataFrame) -> DataFrame:
     """A2 in long form: one row per (shapelet, catalogued series), fixed width.
 
-    Duplicate rows of a pair (and the position blocks of one pair) are merged:
+    Duplicate rows of a pair are merged:
     `vetoed` = some row lists no position (the reference's "x" marker),
     `present` = some row lists positions, `n_pos` = positions listed, `pmin` /
     `pmax` = smallest / largest position, `pmin_text` = smallest position
@@ -98,15 +95,15 @@ def position_blocks(occ: DataFrame, dataset: DataFrame, block: int = POSITION_BL
     key = ["S_class", "S_name", "T_name"]
     listed = occ.filter(F.size("ix") > 0).select(*key, F.explode("ix").alias("p"))
     listed = listed.join(dataset.select("T_name"), "T_name", "left_semi")
-    blocks = listed.groupBy(*key, F.floor(F.col("p") / block).cast("int").alias("blk")).agg(
+    blocks = listed.groupBy(*key, F.floor(F.col("p") / block).alias("blk")).agg(
         F.array_sort(F.array_distinct(F.collect_list("p"))).alias("pos")
     )
     dense = (
         blocks.groupBy(*key)
         .agg(F.max("blk").alias("last"))
-        .select(*key, F.explode(F.sequence(F.lit(0), F.col("last"))).alias("blk"))
+        .select(*key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("blk"))
         .join(blocks, [*key, "blk"], "left")
-        .withColumn("pos", F.coalesce("pos", F.array().cast("array<int>")))
+        .withColumn("pos", F.coalesce("pos", F.array().cast("array<bigint>")))
     )
     later = Window.partitionBy(*key).orderBy("blk").rowsBetween(1, Window.unboundedFollowing)
     return dense.withColumn("after", F.min(F.array_min("pos")).over(later))

@@ -15,13 +15,14 @@ Both evaluate each distinct name set / ordered sequence once and join back.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import entry_position, ordered_chain, prefix_indices, window_entry
-from ..sources.fixture import POSITION_BLOCK
-from .joins import BROADCAST_ROWS, join_bounded
+from ..functions import entry_position, prefix_indices, window_entry
+from ..functions.identity import LIST
+from ..session import keep
+from .encode import POSITION_BLOCK
+from .joins import join_bounded
 
 SET_KEY = ["S_class", "set_key"]
 
@@ -36,7 +37,7 @@ def set_items(sets: DataFrame) -> DataFrame:
     return sets.select(*SET_KEY, "set_size", F.explode("set_names").alias("S_name"))
 
 
-def presence_matrix(seqs: DataFrame, tmap: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def presence_matrix(seqs: DataFrame, tmap: DataFrame, salts: int | None = None) -> DataFrame:
     """Per (name set, series) that has a row for one of its shapelets:
     shapelets with positions, shapelets marked absent, and the two verdicts
     `found` (presence) and `complete` (every shapelet has positions, none absent;
@@ -44,7 +45,7 @@ def presence_matrix(seqs: DataFrame, tmap: DataFrame, broadcast_rows: int = BROA
     stays a hash aggregation with a map-side partial step."""
     items = set_items(distinct_sets(seqs))
     cells = tmap.select("S_class", "S_name", "T_name", "class_d", "present", "vetoed", "n_pos")
-    joined = join_bounded(cells, items, ["S_class", "S_name"], ["T_name"], broadcast_rows)
+    joined = join_bounded(cells, items, ["S_class", "S_name"], ["T_name"], salts)
     return (
         joined.groupBy(*SET_KEY, "set_size", "T_name", "class_d")
         .agg(
@@ -94,9 +95,9 @@ def presence_confusion(seqs: DataFrame, matrix: DataFrame, dataset: DataFrame) -
 
 def variant_items(seqs: DataFrame) -> DataFrame:
     """Distinct (names, orders) variants, one row per step."""
-    variants = seqs.select(*SET_KEY, "names", "ords", "steps").dropDuplicates(["S_class", "names", "ords"])
-    return variants.select(*SET_KEY, "names", "ords", F.explode("steps").alias("s")).select(
-        *SET_KEY, "names", "ords", "s.S_name", "s.ord"
+    variants = seqs.select(*SET_KEY, "names", "ords", "n_steps", "steps").dropDuplicates(["S_class", "names", "ords"])
+    return variants.select(*SET_KEY, "names", "ords", "n_steps", F.explode("steps").alias("s")).select(
+        *SET_KEY, "names", "ords", "n_steps", "s.S_name", "s.ord"
     )
 
 
@@ -107,28 +108,28 @@ def _found_pairs(matrix: DataFrame, own_class_only: bool) -> DataFrame:
     return pairs.select(*SET_KEY, "T_name", "class_d")
 
 
-def _window_steps(seqs, matrix, own_class_only, broadcast_rows) -> DataFrame:
-    return join_bounded(_found_pairs(matrix, own_class_only), variant_items(seqs), SET_KEY, ["T_name"], broadcast_rows)
+def _window_steps(seqs, matrix, own_class_only, salts) -> DataFrame:
+    return join_bounded(_found_pairs(matrix, own_class_only), variant_items(seqs), SET_KEY, ["T_name"], salts)
 
 
 def sequence_profile(
     seqs: DataFrame,
     matrix: DataFrame,
     blocks: DataFrame,
-    own_class_only: bool = True,
-    broadcast_rows: int = BROADCAST_ROWS,
+    own_class_only: bool = False,
+    salts: int | None = None,
 ) -> DataFrame:
     """The time window of a (variant, series where its set is
-    found), one row per block of positions: every position p of every shapelet
-    as the text "order_p" (order = the shapelet's first position in the source
-    series), sorted as text, and the number of shapelets listed in the block.
-    A block holds at most `POSITION_BLOCK` positions per shapelet."""
-    w = _window_steps(seqs, matrix, own_class_only, broadcast_rows).join(
+    found): every position p of every shapelet as the text "order_p" (order = the
+    shapelet's first position in the source series), sorted as text, and the
+    number of shapelets of the sequence. As in the reference, a window is one
+    array: it grows with what the sequence's shapelets list in one series."""
+    w = _window_steps(seqs, matrix, own_class_only, salts).join(
         blocks.filter(F.size("pos") > 0).select("S_class", "S_name", "T_name", "blk", "pos"),
         ["S_class", "S_name", "T_name"],
     )
-    return w.groupBy("S_class", "names", "ords", "T_name", "blk").agg(
-        F.count(F.lit(1)).alias("n_shapelets"),
+    return w.groupBy("S_class", "names", "ords", "T_name").agg(
+        F.max("n_steps").alias("n_shapelets"),
         F.array_sort(F.flatten(F.collect_list(prefix_indices(F.col("ord"), F.col("pos"))))).alias("window"),
     )
 
@@ -138,18 +139,19 @@ def reranked_windows(
     matrix: DataFrame,
     tmap: DataFrame,
     blocks: DataFrame,
-    own_class_only: bool = True,
-    broadcast_rows: int = BROADCAST_ROWS,
+    own_class_only: bool = False,
+    salts: int | None = None,
 ) -> DataFrame:
-    """The window with each order replaced by its dense rank (0-based, text
-    order) among the orders of the shapelets present in the series; ranks come
-    from a window over the (at most one per dimension) shapelets of a
-    (variant, series); entries keep the order of the "order_p" texts."""
-    steps = _window_steps(seqs, matrix, own_class_only, broadcast_rows).join(
+    """The window with each order replaced by its rank (0-based, text order,
+    equal orders of different shapelets by name) among the shapelets present in
+    the series; ranks come from a window over the (at most one per dimension)
+    shapelets of a (variant, series); entries keep the order of the "order_p"
+    texts."""
+    steps = _window_steps(seqs, matrix, own_class_only, salts).join(
         tmap.filter("present = 1").select("S_class", "S_name", "T_name"), ["S_class", "S_name", "T_name"]
     )
-    per_window = Window.partitionBy("S_class", "names", "ords", "T_name").orderBy(F.col("ord").cast("string"))
-    ranked = steps.withColumn("rank", (F.dense_rank().over(per_window) - 1).cast("string"))
+    per_window = Window.partitionBy("S_class", "names", "ords", "T_name").orderBy(F.col("ord").cast("string"), "S_name")
+    ranked = steps.withColumn("rank", (F.row_number().over(per_window) - 1).cast("string"))
     w = ranked.join(
         blocks.filter(F.size("pos") > 0).select("S_class", "S_name", "T_name", "blk", "pos"),
         ["S_class", "S_name", "T_name"],
@@ -157,20 +159,22 @@ def reranked_windows(
     entries = F.transform(
         "pos",
         lambda p: F.struct(
-            window_entry(F.col("ord"), p).alias("e"), F.concat_ws("_", F.col("rank"), p.cast("string")).alias("r")
+            window_entry(F.col("ord"), p).alias("e"),
+            F.col("rank").cast("int").alias("k"),
+            F.concat_ws("_", F.col("rank"), p.cast("string")).alias("r"),
         ),
     )
-    return w.groupBy("S_class", "names", "ords", "T_name", "blk").agg(
+    return w.groupBy("S_class", "names", "ords", "T_name").agg(
         F.transform(F.array_sort(F.flatten(F.collect_list(entries))), lambda x: x["r"]).alias("window")
     )
 
 
 def first_entries(
-    seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, own_class_only: bool, broadcast_rows: int = BROADCAST_ROWS
+    seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, own_class_only: bool = False, salts: int | None = None
 ) -> DataFrame:
     """The smallest "order_p" text per (variant, series), computed from
     each shapelet's smallest position-as-text (no window is materialised)."""
-    steps = join_bounded(_found_pairs(matrix, own_class_only), variant_items(seqs), SET_KEY, ["T_name"], broadcast_rows)
+    steps = join_bounded(_found_pairs(matrix, own_class_only), variant_items(seqs), SET_KEY, ["T_name"], salts)
     cells = tmap.filter("present = 1").select("S_class", "S_name", "T_name", "pmin_text")
     return (
         steps.join(cells, ["S_class", "S_name", "T_name"])
@@ -194,9 +198,9 @@ def variant_leads(seqs: DataFrame) -> DataFrame:
     )
 
 
-def _first_position_max(pairs: DataFrame, items: DataFrame, tmap: DataFrame, broadcast_rows: int) -> DataFrame:
+def _first_position_max(pairs: DataFrame, items: DataFrame, tmap: DataFrame, salts: int | None) -> DataFrame:
     """General path: per variant, max over `pairs` of the first window position."""
-    steps = join_bounded(pairs, items, SET_KEY, ["T_name"], broadcast_rows)
+    steps = join_bounded(pairs, items, SET_KEY, ["T_name"], salts)
     cells = tmap.filter("present = 1").select("S_class", "S_name", "T_name", "pmin_text")
     firsts = (
         steps.join(cells, ["S_class", "S_name", "T_name"])
@@ -207,7 +211,7 @@ def _first_position_max(pairs: DataFrame, items: DataFrame, tmap: DataFrame, bro
 
 
 def presence_tas(
-    seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, salts: int | None = None
 ) -> DataFrame:
     """A9 (presence): TAS of a variant = [max over matched own-class series of the
     first window position]; one element, as the reference's live branch gives.
@@ -219,11 +223,11 @@ def presence_tas(
     variants. Tied leads and partly present series take the general path."""
     own = matrix.filter(F.col("found") & (F.col("class_d") == F.col("S_class")))
     complete = own.filter("complete").select(*SET_KEY, "T_name")
-    lead_cells = join_bounded(complete, set_items(distinct_sets(seqs)).drop("set_size"), SET_KEY, ["T_name"], broadcast_rows)
+    lead_cells = join_bounded(complete, set_items(distinct_sets(seqs)).drop("set_size"), SET_KEY, ["T_name"], salts)
     per_item = (
         lead_cells.join(tmap.select("S_class", "S_name", "T_name", "pmin_text"), ["S_class", "S_name", "T_name"])
         .groupBy(*SET_KEY, "S_name")
-        .agg(F.max(F.col("pmin_text").cast("int")).alias("tas_p"))
+        .agg(F.max(F.col("pmin_text").cast("bigint")).alias("tas_p"))
     )
     leads = variant_leads(seqs)
     single = leads.filter(F.size("leads") == 1).select(
@@ -234,15 +238,11 @@ def presence_tas(
     items = variant_items(seqs)
     tied = leads.filter(F.size("leads") > 1).select("S_class", "names", "ords")
     partly = own.filter(~F.col("complete")).select(*SET_KEY, "T_name")
-    parts = [by_lead]
-    if not partly.isEmpty():
-        parts.append(_first_position_max(partly, items, tmap, broadcast_rows))
-    if not tied.isEmpty():
-        tied_items = items.join(tied, ["S_class", "names", "ords"], "left_semi")
-        parts.append(_first_position_max(own.select(*SET_KEY, "T_name"), tied_items, tmap, broadcast_rows))
-    tas = parts[0]
-    for part in parts[1:]:
-        tas = tas.unionByName(part)
+    tied_items = items.join(tied, ["S_class", "names", "ords"], "left_semi")
+    # the two general branches are empty in most data; an empty branch costs little
+    tas = by_lead.unionByName(_first_position_max(partly, items, tmap, salts)).unionByName(
+        _first_position_max(own.select(*SET_KEY, "T_name"), tied_items, tmap, salts)
+    )
     return tas.groupBy("S_class", "names", "ords").agg(F.max("tas_p").alias("tas_p"))
 
 
@@ -250,14 +250,14 @@ def verdict_presence(
     seqs: DataFrame,
     dataset: DataFrame,
     tmap: DataFrame,
-    broadcast_rows: int = BROADCAST_ROWS,
+    salts: int | None = None,
     matrix: DataFrame | None = None,
 ) -> DataFrame:
     """One verdict per (S_class, source series, subset): counts, accuracy, TAS."""
     if matrix is None:
-        matrix = presence_matrix(seqs, tmap, broadcast_rows)
+        matrix = presence_matrix(seqs, tmap, salts)
     conf = presence_confusion(seqs, matrix, dataset)
-    tas = presence_tas(seqs, matrix, tmap, broadcast_rows)
+    tas = presence_tas(seqs, matrix, tmap, salts)
     return (
         seqs.select(*SET_KEY, "sid", "T_name", "names", "ords", "n_steps")
         .join(conf, SET_KEY)
@@ -271,7 +271,7 @@ def verdict_presence(
             "fp",
             "tn",
             "accuracy",
-            F.when(F.col("tas_p").isNull(), F.array().cast("array<int>"))
+            F.when(F.col("tas_p").isNull(), F.array().cast("array<bigint>"))
             .otherwise(F.array(F.col("tas_p")))
             .alias("tas"),
         )
@@ -286,126 +286,59 @@ def ordered_sequences(seqs: DataFrame) -> DataFrame:
     return seqs.select(*SET_KEY, "names", "n_steps", "steps").dropDuplicates(["S_class", "names"])
 
 
-def ordered_items(oseqs: DataFrame) -> DataFrame:
-    return oseqs.select(*SET_KEY, "names", "n_steps", F.posexplode("steps").alias("step", "s")).select(
-        *SET_KEY, "names", "n_steps", F.col("step").cast("int").alias("step"), "s.S_name"
-    )
-
-
-# A (set, series) pair whose shapelets list at most this many positions in the
-# series is matched on its gathered positions; larger pairs advance step by step.
-GATHER_POSITIONS = 65536
-
-
-def _orders(seqs: DataFrame) -> DataFrame:
-    return ordered_sequences(seqs).select(
-        *SET_KEY, "names", "n_steps", F.transform("steps", lambda x: x["S_name"]).alias("order")
-    )
-
-
-def _chain_gathered(
-    pairs: DataFrame, seqs: DataFrame, positions: DataFrame, broadcast_rows: int
-) -> DataFrame:
-    """Pairs with few positions: positions gathered once per (set, series), then
-    every order of the set is run through the `aggregate` fold on that array.
-    `positions`: (S_class, S_name, T_name, pos) rows, several per pair allowed."""
-    items = set_items(distinct_sets(seqs)).drop("set_size")
-    gathered = (
-        join_bounded(pairs, items, SET_KEY, ["T_name"], broadcast_rows)
-        .join(positions.select("S_class", "S_name", "T_name", "pos"), ["S_class", "S_name", "T_name"])
-        .groupBy(*SET_KEY, "T_name", "class_d")
-        .agg(F.collect_list(F.struct("S_name", "pos")).alias("cells"))
-    )
-    per_order = join_bounded(gathered, _orders(seqs), SET_KEY, ["T_name"], broadcast_rows)
-
-    def positions(n: F.Column) -> F.Column:
-        own = F.filter("cells", lambda c: c["S_name"] == n)
-        return F.array_sort(F.flatten(F.transform(own, lambda c: c["pos"])))
-
-    chain = ordered_chain(F.transform("order", lambda n, i: F.struct(i.alias("step"), positions(n).alias("pos"))))
-    return per_order.filter(chain["ok"] & (F.size(chain["tas"]) == F.col("n_steps"))).select(
-        "S_class", "names", "n_steps", "T_name", "class_d", chain["tas"].alias("tas")
-    )
-
-
-def _chain_rounds(
-    pairs: DataFrame,
-    seqs: DataFrame,
-    tmap: DataFrame,
-    blocks: DataFrame,
-    broadcast_rows: int,
-    block: int,
-    checkpoint_every: int,
-) -> DataFrame:
-    """Pairs with many positions: a state (ordered sequence, series, position
-    reached) starts at the first shapelet's smallest position and advances one
-    step per round by a join on (shapelet of the step, series, block of the
-    current position) with `position_blocks`: the smallest position >= the
-    current one is in that block or is its `after`. No series' positions are
-    ever gathered in one row or task."""
-    orders = _orders(seqs)
-    rounds = orders.agg(F.max("n_steps")).first()[0] or 0
-    starts = tmap.select("S_class", F.col("S_name").alias("_n"), "T_name", F.col("pmin").alias("cur"))
-    lookup = blocks.select("S_class", F.col("S_name").alias("_n"), "T_name", "blk", "pos", "after")
-    keep = ["S_class", "names", "n_steps", "order", "T_name", "class_d", "cur", "tas"]
-    # Each round's states feed two branches (finished / still going): kept on
-    # disk so a round runs once.
-    state = (
-        join_bounded(pairs, orders, SET_KEY, ["T_name"], broadcast_rows)
-        .withColumn("_n", F.col("order")[0])
-        .join(starts, ["S_class", "_n", "T_name"])
-        .withColumn("tas", F.array("cur"))
-        .select(*keep)
-        .persist(StorageLevel.DISK_ONLY)
-    )
-    done = [state.filter(F.col("n_steps") == 1)]
-    alive = state.filter(F.col("n_steps") > 1)
-    for k in range(1, rounds):
-        if checkpoint_every and k % checkpoint_every == 0:
-            alive = alive.checkpoint()
-        probe = alive.withColumn("_n", F.col("order")[k]).withColumn("blk", F.floor(F.col("cur") / block).cast("int"))
-        nxt = F.coalesce(F.array_min(F.filter("pos", lambda p: p >= F.col("cur"))), F.col("after"))
-        stepped = (
-            probe.join(lookup, ["S_class", "_n", "T_name", "blk"])
-            .withColumn("cur", nxt)
-            .filter(F.col("cur").isNotNull())
-            .withColumn("tas", F.concat("tas", F.array("cur")))
-            .select(*keep)
-            .persist(StorageLevel.DISK_ONLY)
-        )
-        done.append(stepped.filter(F.col("n_steps") == k + 1))
-        alive = stepped.filter(F.col("n_steps") > k + 1)
-    matches = done[0]
-    for part in done[1:]:
-        matches = matches.unionByName(part)
-    return matches.select("S_class", "names", "n_steps", "T_name", "class_d", "tas")
-
-
 def ordered_match(
     seqs: DataFrame,
-    matrix: DataFrame,
     tmap: DataFrame,
     blocks: DataFrame,
-    broadcast_rows: int = BROADCAST_ROWS,
+    salts: int | None = None,
     block: int = POSITION_BLOCK,
-    checkpoint_every: int = 4,
-    gather_positions: int = GATHER_POSITIONS,
-    positions: DataFrame | None = None,
+    checkpoint_every: int = 8,
 ) -> DataFrame:
     """The ordered sequences found in each series, with their chain `tas`
     (step 1 = smallest position, each later step = smallest position >= the
-    previous one). Only series holding every shapelet of the set are tried.
-    Pairs are split by how many positions their shapelets list: the small ones
-    are gathered, the large ones advance by rounds; both are exact."""
-    pairs = matrix.filter("complete").select(*SET_KEY, "T_name", "class_d", "set_pos")
-    small = pairs.filter(F.col("set_pos") <= gather_positions).drop("set_pos")
-    large = pairs.filter(F.col("set_pos") > gather_positions).drop("set_pos")
-    matches = _chain_gathered(small, seqs, blocks if positions is None else positions, broadcast_rows)
-    if not large.isEmpty():
-        matches = matches.unionByName(
-            _chain_rounds(large, seqs, tmap, blocks, broadcast_rows, block, checkpoint_every)
+    previous one).
+
+    Every prefix of an enumerated sequence is one itself, so the matches of
+    length k are the states from which those of length k + 1 grow: each match
+    meets the sequences that add one shapelet, and the added shapelet's block of
+    the position reached, which holds the smallest position >= it or names the
+    one after. Prefixes are shared, a pair that fails is never seen again, and no
+    list of positions is longer than a block. A vetoed pair has no cell."""
+    names = F.transform("steps", lambda x: x["S_name"])
+    prefix = F.array_join(F.slice(names, F.lit(1), F.size("steps") - 1), LIST)
+    orders = keep(
+        ordered_sequences(seqs).select(
+            "S_class", "names", "n_steps", prefix.alias("prefix"), F.element_at(names, -1).alias("S_name")
+        )
+    )
+    rounds = orders.agg(F.max("n_steps")).first()[0] or 0
+    cells = tmap.filter("present = 1 AND vetoed = 0").select("S_class", "S_name", "T_name", "class_d", "pmin")
+    lookup = blocks.join(cells.select("S_class", "S_name", "T_name"), ["S_class", "S_name", "T_name"], "left_semi")
+    columns = ["S_class", "names", "n_steps", "T_name", "class_d", "cur", "tas"]
+    first = orders.filter("n_steps = 1").drop("prefix")
+    state = join_bounded(cells, first, ["S_class", "S_name"], ["T_name"], salts)
+    state = keep(state.withColumn("cur", F.col("pmin")).withColumn("tas", F.array("cur")).select(*columns))
+    matches = state
+    for k in range(2, rounds + 1):
+        longer = orders.filter(F.col("n_steps") == k).select(
+            "S_class", F.col("prefix").alias("names"), F.col("names").alias("longer"), "S_name"
+        )
+        probe = join_bounded(state, longer, ["S_class", "names"], ["T_name"], salts)
+        probe = probe.withColumn("blk", F.floor(F.col("cur") / block))
+        reached = F.coalesce(F.array_min(F.filter("pos", lambda p: p >= F.col("cur"))), F.col("after"))
+        grown = (
+            probe.join(lookup, ["S_class", "S_name", "T_name", "blk"])
+            .withColumn("cur", reached)
+            .filter(F.col("cur").isNotNull())
+            .withColumn("tas", F.concat("tas", F.array("cur")))
+            .withColumn("names", F.col("longer"))
+            .withColumn("n_steps", F.lit(k))
+            .select(*columns)
         )
-    return matches.withColumn("found", F.lit(True))
+        # read by the next round and by the result; a long chain's lineage is cut in the shared folder
+        state = grown.checkpoint() if k % checkpoint_every == 0 else keep(grown)
+        matches = matches.unionByName(state)
+    return matches.drop("cur").withColumn("found", F.lit(True))
 
 
 def combine_tas(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -423,21 +356,10 @@ def combine_tas(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def verdict_ordered(
-    seqs: DataFrame,
-    dataset: DataFrame,
-    tmap: DataFrame,
-    blocks: DataFrame,
-    broadcast_rows: int = BROADCAST_ROWS,
-    matrix: DataFrame | None = None,
-    positions: DataFrame | None = None,
+    seqs: DataFrame, dataset: DataFrame, tmap: DataFrame, blocks: DataFrame, salts: int | None = None
 ) -> DataFrame:
     """One verdict per (S_class, ordered names)."""
-    if matrix is None:
-        matrix = presence_matrix(seqs, tmap, broadcast_rows)
-    # read twice (counts and TAS): kept so the chain runs once
-    matches = ordered_match(seqs, matrix, tmap, blocks, broadcast_rows, positions=positions).persist(
-        StorageLevel.DISK_ONLY
-    )
+    matches = ordered_match(seqs, tmap, blocks, salts)
     keys = ["S_class", "names"]
     oseqs = ordered_sequences(seqs).select(*keys, "n_steps")
     counts = oseqs.join(hit_counts(matches, keys, "found"), keys, "left").fillna(0, ["tp", "n_found"])
@@ -455,6 +377,11 @@ def verdict_ordered(
             "fp",
             "tn",
             "accuracy",
-            F.coalesce("tas", F.array().cast("array<int>")).alias("tas"),
+            F.coalesce("tas", F.array().cast("array<bigint>")).alias("tas"),
         )
     )
+
+
+def confusion_per_sequence(seqs: DataFrame, matrix: DataFrame, dataset: DataFrame) -> DataFrame:
+    """A7/A8 (presence): counts and accuracy per (S_class, source series, subset), without TAS."""
+    return seqs.select(*SET_KEY, "sid", "n_steps").join(presence_confusion(seqs, matrix, dataset), SET_KEY)

@@ -1,11 +1,11 @@
-"""Joining a bounded table (sequence items) to a large one (shapelet x series).
+"""Joining sequence items to the rows of shapelets or sets per series.
 
-The item side only grows with the number of distinct sequences, the other side
-with the number of series. Keys are shapelet names, so there are few distinct
-keys and a plain shuffle join would run on only as many busy tasks as there are
-shapelets. So: broadcast the item side when its measured row count is within a
-limit; beyond it, salt the large side by series and replicate the item side
-once per salt, which spreads every key over `salts` tasks.
+The items grow with the number of distinct sequences, the rows with the number
+of series; the keys are shapelets or sets, so one key may hold many rows. The
+choice between a broadcast of the items and a shuffle, and the split of a hot
+key's partition, are left to adaptive execution, which measures bytes at run
+time. Where it is off, or a key is known to be hot, ``salts`` spreads every key
+over that many tasks, with as many copies of the items.
 """
 
 from __future__ import annotations
@@ -13,35 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of the item side that may be broadcast (each row is a few short strings).
-BROADCAST_ROWS = 200_000
-# Upper bound on how many copies of the item side the salted join makes.
-MAX_SALTS = 64
-
 
 def join_bounded(
-    large: DataFrame,
-    small: DataFrame,
-    keys: list[str],
-    spread_by: list[str],
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int | None = None,
+    large: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str], salts: int | None = None
 ) -> DataFrame:
-    """Inner join of `large` and `small` on `keys`.
-
-    `small` is measured first (a cheap job: it is bounded by the number of
-    sequences, not by the data, and derived from persisted tables): its row
-    count decides the strategy; beyond the limit its number of distinct keys
-    sets the salt count (about shuffle partitions / keys, so every key gets its
-    share of tasks, at most `MAX_SALTS` copies). `spread_by` are columns of `large` that spread
-    one key over many rows (e.g. the series name) and feed the salt.
-    """
-    if small.count() <= broadcast_rows:
-        return large.join(F.broadcast(small), keys)
+    """Inner join of `large` and `small` on `keys`; `spread_by` are columns of `large`
+    that differ between the rows of a key (e.g. the series) and feed the salt."""
     if salts is None:
-        partitions = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        n_keys = small.select(*keys).distinct().count()
-        salts = max(1, min(MAX_SALTS, -(-partitions // max(n_keys, 1))))
+        return large.join(small, keys)
     salted_large = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_large.join(salted_small, [*keys, "_salt"]).drop("_salt")

@@ -7,32 +7,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import first_token
+from ..functions.identity import LIST, sequence_id
 
-# Hard guard: a (class, series) with more picked dimensions than this would emit
-# over a million subsets; the job stops with a clear error instead.
-MAX_DIMENSIONS = 20
+# Subset masks are made in two levels: high bits, spread over tasks, then this many low bits.
+LOW_BITS = 16
 
 
-def enumerate_sequences(picks: DataFrame, max_len: int | None = None, max_dims: int = MAX_DIMENSIONS) -> DataFrame:
+def enumerate_sequences(picks: DataFrame, max_len: int | None = None, low_bits: int = LOW_BITS) -> DataFrame:
     """V2/V3/V4: one row per (S_class, source T_name, subset of picks).
 
-    The picks of a series (at most one per dimension, so at most `max_dims`) are
-    gathered into a sorted array, each subset is a bit mask over it: masks stream
-    out of `explode(sequence(1, 2^d - 1))` and `filter` keeps the chosen picks, in
-    (order, name) order. `max_len` optionally keeps subsets of at most that size.
+    The picks of a series (at most one per dimension) are gathered into a sorted
+    array, each subset is a bit mask (BIGINT) over it. Masks stream out of two
+    `explode`s: the bits above `low_bits` first, whose rows are dealt out over the
+    tasks, then the low bits; `filter` keeps the chosen picks, in (order, name)
+    order. Any number of dimensions up to 62 works; `max_len` optionally keeps
+    subsets of at most that size and cuts the high level, too.
 
     Columns: S_class, T_name, mask, steps array<struct<ord, S_name, S_dimension,
-    T_indice>>, n_steps, names ('>'-joined, in order), ords, set_key (names
-    sorted, '+'-joined), sid (T_name '|' names).
+    T_indice>>, n_steps, names (shapelet keys in order), ords, set_key (keys
+    sorted), sid (series and names); see `functions.identity`.
     """
     step = F.struct("ord", "S_name", "S_dimension", "T_indice")
     per_series = picks.groupBy("S_class", "T_name").agg(F.array_sort(F.collect_list(step)).alias("picks"))
-    d = F.size("picks")
-    masks = F.when(
-        d > max_dims,
-        F.raise_error(F.concat(F.lit(f"more than {max_dims} dimensions in series "), F.col("T_name"))),
-    ).otherwise(F.sequence(F.lit(1), F.expr("shiftleft(1, size(picks)) - 1")))
-    seqs = per_series.select("S_class", "T_name", "picks", F.explode(masks).alias("mask"))
+    high = F.expr(f"sequence(0L, shiftleft(1L, greatest(size(picks) - {low_bits}, 0)) - 1)")
+    low = F.expr(f"sequence(0L, shiftleft(1L, least(size(picks), {low_bits})) - 1)")
+    seqs = per_series.select("S_class", "T_name", "picks", F.explode(high).alias("high"))
+    if max_len is not None:
+        seqs = seqs.filter(F.bit_count("high") <= max_len)
+    seqs = seqs.repartition("S_class", "T_name", "high").withColumn("low", F.explode(low))
+    seqs = seqs.withColumn("mask", F.expr(f"shiftleft(high, {low_bits}) + low")).filter("mask > 0").drop("high", "low")
     if max_len is not None:
         seqs = seqs.filter(F.bit_count("mask") <= max_len)
     chosen = F.expr("filter(picks, (x, i) -> (shiftright(mask, i) & 1) = 1)")
@@ -44,10 +47,10 @@ def enumerate_sequences(picks: DataFrame, max_len: int | None = None, max_dims:
         "mask",
         "steps",
         F.size("steps").alias("n_steps"),
-        F.array_join(names, ">").alias("names"),
+        F.array_join(names, LIST).alias("names"),
         F.array_join(F.transform("steps", lambda x: x["ord"].cast("string")), ",").alias("ords"),
-        F.array_join(F.array_sort(names), "+").alias("set_key"),
-        F.concat_ws("|", "T_name", F.array_join(names, ">")).alias("sid"),
+        F.array_join(F.array_sort(names), LIST).alias("set_key"),
+        sequence_id(F.col("T_name"), F.array_join(names, LIST)).alias("sid"),
     )
 
 
@@ -76,7 +79,7 @@ def order_sequence(seqs: DataFrame) -> DataFrame:
         "S_class",
         "sid",
         "names",
-        F.array_join(F.transform(literal, lambda x: x["n"]), ">").alias("names_literal"),
+        F.array_join(F.transform(literal, lambda x: x["n"]), LIST).alias("names_literal"),
     )
 
 

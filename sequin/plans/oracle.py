@@ -8,25 +8,21 @@ Arrays are compared as ','-joined text, counters as BIGINT.
 
 from __future__ import annotations
 
-# Fixed values of the fixture, as in sequin.sources.fixture: event types, bands
-# 1-4 (classes 1 abnormal, 2 normal, 3 normal, 4 abnormal), band width 50,
-# planted rule click-in-band-2 and view-in-band-2.
+# Fixed values of the fixture, as in sequin.sources.fixture: band width 50, bands 2
+# and 3 normal, planted rule click-in-band-2 and view-in-band-2.
 PREFIX = r"""
 WITH RECURSIVE
 ev AS (
   SELECT 'u_' || CAST(user_id AS VARCHAR) AS T_name,
          event_type AS S_dimension,
          CAST(floor(value / 50) AS INTEGER) AS band,
-         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS pos
   FROM events
 ),
 shapelet AS (
-  SELECT 'shp-' || t.event_type || '-' || CAST(b.band AS VARCHAR) AS S_name,
-         t.event_type AS S_dimension,
-         CASE WHEN b.band IN (2, 3) THEN 'normal' ELSE 'abnormal' END AS S_class,
-         b.band AS band
-  FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) AS t(event_type),
-       (VALUES (1), (2), (3), (4)) AS b(band)
+  SELECT DISTINCT 'shp-' || S_dimension || '-' || CAST(band AS VARCHAR) AS S_name, S_dimension,
+         CASE WHEN band IN (2, 3) THEN 'normal' ELSE 'abnormal' END AS S_class, band
+  FROM ev WHERE band IS NOT NULL
 ),
 dataset AS (
   SELECT 'u_' || CAST(user_id AS VARCHAR) AS T_name,
@@ -37,12 +33,12 @@ dataset AS (
 ),
 pos_grp AS (
   SELECT T_name, S_dimension, band, list(pos ORDER BY pos) AS ix
-  FROM ev WHERE band BETWEEN 1 AND 4 GROUP BY T_name, S_dimension, band, floor(pos / 65536)
+  FROM ev GROUP BY T_name, S_dimension, band
 ),
 occ AS (
   SELECT s.S_name, 'events' AS S_origin, s.S_dimension, s.S_class, d.T_name,
          '[' || coalesce(array_to_string(p.ix, ', '), '') || ']' AS T_indice,
-         coalesce(p.ix, CAST([] AS INTEGER[])) AS ix,
+         coalesce(p.ix, CAST([] AS BIGINT[])) AS ix,
          CAST(0.0 AS DOUBLE) AS gain, s.band
   FROM dataset d CROSS JOIN shapelet s
   LEFT JOIN pos_grp p ON p.T_name = d.T_name AND p.S_dimension = s.S_dimension AND p.band = s.band
@@ -62,7 +58,7 @@ pick_rn AS (
   FROM pick
 ),
 mask AS (
-  SELECT S_class, T_name, CAST(unnest(generate_series(1, (1 << d) - 1)) AS INTEGER) AS mask
+  SELECT S_class, T_name, CAST(unnest(generate_series(1, (CAST(1 AS BIGINT) << d) - 1)) AS BIGINT) AS mask
   FROM (SELECT DISTINCT S_class, T_name, d FROM pick_rn) q
 ),
 seq_step AS (
@@ -121,9 +117,9 @@ set_verdict AS (
     ON h.S_class = s.S_class AND h.set_key = s.set_key
   LEFT JOIN cls k ON k.S_class = s.S_class
 ),
-var_item AS (SELECT DISTINCT S_class, set_key, names, ords, S_name, ord FROM seq_item),
+var_item AS (SELECT DISTINCT S_class, set_key, names, ords, n_steps, S_name, ord FROM seq_item),
 win AS (
-  SELECT v.S_class, v.names, v.ords, h.T_name, h.class_d, v.S_name, v.ord, t.pos, t.pmin_text
+  SELECT v.S_class, v.names, v.ords, v.n_steps, h.T_name, h.class_d, v.S_name, v.ord, t.pos, t.pmin_text
   FROM hit h
   JOIN var_item v ON v.S_class = h.S_class AND v.set_key = h.set_key
   JOIN tmapx t ON t.S_class = v.S_class AND t.S_name = v.S_name AND t.T_name = h.T_name
@@ -135,7 +131,7 @@ first_entry AS (
   FROM win GROUP BY S_class, names, ords, T_name, class_d
 ),
 ptas AS (
-  SELECT S_class, names, ords, max(CAST(split_part(first_entry, '_', 2) AS INTEGER)) AS tas_p
+  SELECT S_class, names, ords, max(CAST(split_part(first_entry, '_', 2) AS BIGINT)) AS tas_p
   FROM first_entry WHERE class_d = S_class GROUP BY S_class, names, ords
 ),
 vp AS (
@@ -263,27 +259,23 @@ BODIES: dict[str, str] = {
                CAST(count_if(present = 1 AND class_d = 'normal') AS BIGINT) AS normal
         FROM tmap GROUP BY S_class, S_name""",
     "sequence_profile": """
-        SELECT S_class, names, ords, T_name, blk, CAST(count(DISTINCT S_name) AS BIGINT) AS n_shapelets,
-               string_agg(e, ',' ORDER BY e) AS window
-        FROM (SELECT S_class, names, ords, T_name, S_name, CAST(floor(p / 65536) AS INTEGER) AS blk,
-                     CAST(ord AS VARCHAR) || '_' || CAST(p AS VARCHAR) AS e
-              FROM (SELECT *, unnest(pos) AS p FROM win WHERE class_d = S_class) u) q
-        GROUP BY S_class, names, ords, T_name, blk""",
+        SELECT S_class, names, ords, T_name, CAST(max(n_steps) AS BIGINT) AS n_shapelets, string_agg(e, ',' ORDER BY e) AS window
+        FROM (SELECT S_class, names, ords, n_steps, T_name,
+                     CAST(ord AS VARCHAR) || '_' || CAST(unnest(pos) AS VARCHAR) AS e FROM win) q
+        GROUP BY S_class, names, ords, T_name""",
     "sequence_hits": "SELECT S_class, set_key, T_name, class_d FROM hit WHERE found",
     "rerank_window": """
-        SELECT S_class, names, ords, T_name, blk,
-               string_agg(CAST(rk AS VARCHAR) || '_' || CAST(p AS VARCHAR), ',' ORDER BY o || '_' || CAST(p AS VARCHAR)) AS window
+        SELECT S_class, names, ords, T_name,
+               string_agg(CAST(rk AS VARCHAR) || '_' || CAST(p AS VARCHAR), ',' ORDER BY o || '_' || CAST(p AS VARCHAR), rk) AS window
         FROM (
-          SELECT S_class, names, ords, T_name, o, rk, p, CAST(floor(p / 65536) AS INTEGER) AS blk
-          FROM (SELECT S_class, names, ords, T_name, pos, CAST(ord AS VARCHAR) AS o,
-                       dense_rank() OVER (PARTITION BY S_class, names, ords, T_name ORDER BY CAST(ord AS VARCHAR)) - 1 AS rk
-                FROM win WHERE class_d = S_class) r,
-               unnest(r.pos) AS u(p)
+          SELECT S_class, names, ords, T_name, CAST(ord AS VARCHAR) AS o, unnest(pos) AS p,
+                 row_number() OVER (PARTITION BY S_class, names, ords, T_name ORDER BY CAST(ord AS VARCHAR), S_name) - 1 AS rk
+          FROM win
         ) q
-        GROUP BY S_class, names, ords, T_name, blk""",
+        GROUP BY S_class, names, ords, T_name""",
     "tas_first_index": """
-        SELECT S_class, names, ords, T_name, CAST(split_part(first_entry, '_', 2) AS INTEGER) AS tas_first
-        FROM first_entry WHERE class_d = S_class""",
+        SELECT S_class, names, ords, T_name, CAST(split_part(first_entry, '_', 2) AS BIGINT) AS tas_first
+        FROM first_entry""",
     "tas_combine": "SELECT S_class, names, CAST(n_tp AS BIGINT) AS n_tp, tas FROM otas",
     "ordered_match": """
         SELECT S_class, names, T_name, class_d, array_to_string(tas, ',') AS tas FROM omatch""",

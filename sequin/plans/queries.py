@@ -9,16 +9,16 @@ so that they compare across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, wraps
+from weakref import finalize
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import entry_position, first_index, first_token, join_ints, parse_indices, render_indices
 from ..operators import encode, evaluate, sequences
-from ..operators.joins import BROADCAST_ROWS
-from ..session import scratch_path
+from ..functions.identity import LIST, items, key_name, render_names, render_sequence_id, shapelet_key
+from ..session import keep, kept_count, kept_since, release, scratch_path
 from ..sources import (
     occurrences,
     read_dataset,
@@ -28,7 +28,7 @@ from ..sources import (
     write_dataset_text,
     write_occurrences_text,
 )
-from ..sources.fixture import BAND_CLASS
+from ..sources.fixture import CLASSES
 from ..sources.sink import write_table
 
 # The reference's declared accuracy threshold.
@@ -39,28 +39,29 @@ PREVIEW_ROWS = 20
 class Mining:
     """The shared pieces of the pipeline for one scale-factor folder (lazy plans)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str | None, broadcast_rows: int = BROADCAST_ROWS):
+    def __init__(self, spark: SparkSession, sf_dir: str | None, salts: int | None = None):
+        self.mark = kept_count()
         self.spark = spark
         self.sf_dir = sf_dir
-        self.broadcast_rows = broadcast_rows
+        self.salts = salts
         if sf_dir is not None:
             self.events = read_table(spark, sf_dir, "events")
             # The two inputs feed every later step (enumeration, map, blocks,
             # class totals): kept once instead of being derived again each time.
-            self.dataset = series_catalogue(self.events).persist(StorageLevel.DISK_ONLY)
+            self.dataset = keep(series_catalogue(self.events))
 
     @cached_property
     def occ(self) -> DataFrame:
         # Derived on first use: queries on the catalogue alone skip the ranking.
-        return occurrences(self.events, self.dataset).persist(StorageLevel.DISK_ONLY)
+        return keep(occurrences(self.events, self.dataset))
 
     @classmethod
     def from_tables(
-        cls, dataset: DataFrame, occ: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+        cls, dataset: DataFrame, occ: DataFrame, salts: int | None = None
     ) -> "Mining":
         """Any catalogue (T_name, class_d) and typed occurrence table (with `ix`),
         e.g. from `sources.read_dataset` / `sources.read_occurrences`."""
-        m = cls(dataset.sparkSession, None, broadcast_rows)
+        m = cls(dataset.sparkSession, None, salts)
         m.dataset = dataset
         m.__dict__["occ"] = occ
         return m
@@ -69,63 +70,82 @@ class Mining:
     def occurring(self) -> DataFrame:
         return encode.occurring_only(self.occ)
 
+    @cached_property
+    def keyed(self) -> DataFrame:
+        """The occurrences with `S_name` as the key of (name, dimension): two shapelets of a
+        class that share a name stay two in every later step."""
+        return self.occ.withColumn("S_name", shapelet_key(F.col("S_name"), F.col("S_dimension")))
+
     @cached_property
     def picks(self) -> DataFrame:
-        return encode.pick_per_dimension(self.occurring)
+        return encode.pick_per_dimension(encode.occurring_only(self.keyed))
 
     @cached_property
     def seqs(self) -> DataFrame:
         # Read by the set, variant and order dedupes and by the final joins.
-        return sequences.enumerate_sequences(self.picks).persist(StorageLevel.DISK_ONLY)
+        return keep(sequences.enumerate_sequences(self.picks))
 
     @cached_property
     def tmap(self) -> DataFrame:
         # Read by the matrix, the TAS and the chain: kept (on disk) so
         # the occurrence table is scanned and grouped once per query.
-        return encode.shapelet_series_map(self.occ, self.dataset).persist(StorageLevel.DISK_ONLY)
+        return keep(encode.shapelet_series_map(self.keyed, self.dataset))
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return encode.position_blocks(self.occ, self.dataset).persist(StorageLevel.DISK_ONLY)
+        return keep(encode.position_blocks(self.keyed, self.dataset))
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return evaluate.presence_matrix(self.seqs, self.tmap, self.broadcast_rows).persist(
-            StorageLevel.DISK_ONLY
-        )
+        # every (set, series) with a cell, computed on the fly
+        return evaluate.presence_matrix(self.seqs, self.tmap, self.salts)
 
     @cached_property
-    def positions(self) -> DataFrame:
-        """(S_class, S_name, T_name, pos): the listed position rows (bounded each)."""
-        return self.occ.filter(F.size("ix") > 0).select("S_class", "S_name", "T_name", F.col("ix").alias("pos"))
+    def hits(self) -> DataFrame:
+        # The matching pairs alone are kept; all verdicts read only them.
+        return keep(self.matrix.filter("found"))
 
     def close(self) -> None:
-        """Release the persisted intermediates."""
-        owned = ("occ",) if self.sf_dir is not None else ()
-        for name in ("seqs", "tmap", "blocks", "matrix", *owned):
-            if name in self.__dict__:
-                self.__dict__.pop(name).unpersist()
-        if self.sf_dir is not None:
-            self.dataset.unpersist()
+        """Release what was persisted since this object was made."""
+        release(kept_since(self.mark))
+
+    def confusion(self) -> DataFrame:
+        return plain(evaluate.confusion_per_sequence(self.seqs, self.hits, self.dataset))
 
     def verdict_presence(self) -> DataFrame:
-        return evaluate.verdict_presence(self.seqs, self.dataset, self.tmap, self.broadcast_rows, self.matrix)
+        """One row per (class, source series, subset); `items` names its shapelets exactly."""
+        v = evaluate.verdict_presence(self.seqs, self.dataset, self.tmap, self.salts, self.hits)
+        return plain(v.withColumn("items", items(F.get(F.split("sid", LIST, 2), 1))))
 
     def verdict_ordered(self) -> DataFrame:
-        return evaluate.verdict_ordered(
-            self.seqs, self.dataset, self.tmap, self.blocks, self.broadcast_rows, self.matrix, self.positions
-        )
+        v = evaluate.verdict_ordered(self.seqs, self.dataset, self.tmap, self.blocks, self.salts)
+        return plain(v.withColumn("items", items(F.col("names"))))
 
     def ordered_matches(self) -> DataFrame:
-        return evaluate.ordered_match(
-            self.seqs, self.matrix, self.tmap, self.blocks, self.broadcast_rows, positions=self.positions
-        )
+        return evaluate.ordered_match(self.seqs, self.tmap, self.blocks, self.salts)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Keys rendered as text: names alone, joined as the reference prints them."""
+    shown = {
+        "S_name": key_name,
+        "shapelet_name": key_name,
+        "names": lambda c: render_names(c, ">"),
+        "names_literal": lambda c: render_names(c, ">"),
+        "set_key": lambda c: render_names(c, "+"),
+        "sid": render_sequence_id,
+    }
+    return df.select(*[shown[c](F.col(c)).alias(c) if c in shown else F.col(c) for c in df.columns])
 
 
 def _text(df: DataFrame, col: str = "tas") -> DataFrame:
     return df.withColumn(col, join_ints(F.col(col)))
 
 
+def rendered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return wraps(query)(lambda spark, sf_dir: plain(query(spark, sf_dir)))
+
+
 # ------------------------------------------------------------ sources
 
 
@@ -201,6 +221,7 @@ def q_encode_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@rendered
 def q_shapelet_series_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mining(spark, sf_dir).tmap.select(
         "S_class",
@@ -218,6 +239,7 @@ def q_shapelet_series_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@rendered
 def q_pick_per_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mining(spark, sf_dir).picks
 
@@ -229,14 +251,17 @@ def q_shapelet_name_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ sequences (V2-V8)
 
 
+@rendered
 def q_enumerate_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mining(spark, sf_dir).seqs.select("S_class", "T_name", "mask", "sid", "n_steps", "names", "ords", "set_key")
 
 
+@rendered
 def q_order_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.order_sequence(Mining(spark, sf_dir).seqs)
 
 
+@rendered
 def q_distinct_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.distinct_sequences(Mining(spark, sf_dir).seqs)
 
@@ -249,6 +274,7 @@ def q_sequence_count_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.sequence_count_by_class(Mining(spark, sf_dir).seqs)
 
 
+@rendered
 def q_sequence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.sequence_items(Mining(spark, sf_dir).seqs)
 
@@ -256,6 +282,7 @@ def q_sequence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------- evaluation
 
 
+@rendered
 def q_join_sequence_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sequence step joined to its shapelet's series map (left join);
     the map is reduced to per-shapelet counts before the join."""
@@ -275,6 +302,7 @@ def q_join_sequence_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@rendered
 def q_presence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mining(spark, sf_dir).matrix.select(
         "S_class",
@@ -289,49 +317,55 @@ def q_presence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@rendered
 def q_pivot_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapelet x series-class pivot of the number of series holding the shapelet.
     Pivot values are the fixture's classes, given explicitly (no extra pass)."""
-    classes = sorted(set(BAND_CLASS.values()))
+    classes = CLASSES
     pivoted = Mining(spark, sf_dir).tmap.groupBy("S_class", "S_name").pivot("class_d", classes).agg(F.sum("present"))
     return pivoted.select("S_class", "S_name", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in classes])
 
 
+@rendered
 def q_sequence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mining(spark, sf_dir).matrix.filter("found").select("S_class", "set_key", "T_name", "class_d")
 
 
+@rendered
 def q_sequence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Mining(spark, sf_dir)
-    prof = evaluate.sequence_profile(m.seqs, m.matrix, m.blocks)
+    prof = evaluate.sequence_profile(m.seqs, m.hits, m.blocks)
     return prof.select(
         "S_class",
         "names",
         "ords",
         "T_name",
-        "blk",
         F.col("n_shapelets").cast("bigint"),
         F.array_join("window", ",").alias("window"),
     )
 
 
+@rendered
 def q_rerank_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Mining(spark, sf_dir)
-    win = evaluate.reranked_windows(m.seqs, m.matrix, m.tmap, m.blocks)
-    return win.select("S_class", "names", "ords", "T_name", "blk", F.array_join("window", ",").alias("window"))
+    win = evaluate.reranked_windows(m.seqs, m.hits, m.tmap, m.blocks)
+    return win.select("S_class", "names", "ords", "T_name", F.array_join("window", ",").alias("window"))
 
 
+@rendered
 def q_tas_first_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Mining(spark, sf_dir)
-    firsts = evaluate.first_entries(m.seqs, m.matrix, m.tmap, own_class_only=True)
+    firsts = evaluate.first_entries(m.seqs, m.hits, m.tmap)
     return firsts.select("S_class", "names", "ords", "T_name", entry_position(F.col("first_entry")).alias("tas_first"))
 
 
+@rendered
 def q_tas_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     combined = evaluate.combine_tas(Mining(spark, sf_dir).ordered_matches(), ["S_class", "names"])
     return _text(combined.select("S_class", "names", F.col("n_tp").cast("bigint"), "tas"))
 
 
+@rendered
 def q_ordered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = Mining(spark, sf_dir).ordered_matches().filter("found")
     return _text(matches.select("S_class", "names", "T_name", "class_d", "tas"))
@@ -364,11 +398,11 @@ def q_array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Mining(spark, sf_dir).verdict_presence().select("S_class", "sid", "tp", "fn", "fp", "tn")
+    return Mining(spark, sf_dir).confusion().select("S_class", "sid", "tp", "fn", "fp", "tn")
 
 
 def q_sequence_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Mining(spark, sf_dir).verdict_presence().select("S_class", "sid", "accuracy")
+    return Mining(spark, sf_dir).confusion().select("S_class", "sid", "accuracy")
 
 
 def q_accurate_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,13 +432,14 @@ def q_verdict_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_verdict_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text(Mining(spark, sf_dir).verdict_presence())
+    return _text(Mining(spark, sf_dir).verdict_presence().drop("items"))
 
 
 def q_verdict_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text(Mining(spark, sf_dir).verdict_ordered())
+    return _text(Mining(spark, sf_dir).verdict_ordered().drop("items"))
 
 
+@rendered
 def q_shapelet_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a class's series matched by each single shapelet (length-1 sequences)."""
     m = Mining(spark, sf_dir)
@@ -429,11 +464,24 @@ def q_shapelet_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_sink_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The presence verdict written as parquet to the shared folder, read back."""
     path = scratch_path(spark, "verdict")
-    write_table(Mining(spark, sf_dir).verdict_presence(), path)
+    write_table(Mining(spark, sf_dir).verdict_presence().drop("items"), path)
     return _text(spark.read.parquet(path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def released(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query; what it persisted is released once its result is no longer held."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        mark = kept_count()
+        df = query(spark, sf_dir)
+        finalize(df, release, kept_since(mark)).atexit = False
+        return df
+
+    return run
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src_dataset": q_src_dataset,
     "src_occurrences": q_src_occurrences,
     "parse_indices": q_parse_indices,
@@ -470,3 +518,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shapelet_support": q_shapelet_support,
     "sink_verdict": q_sink_verdict,
 }
+
+QUERIES = {name: released(query) for name, query in _QUERIES.items()}

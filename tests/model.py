@@ -30,9 +30,8 @@ def enumerate_sequences(occ):
         )  # (ord, S_name, S_dimension, T_indice)
         for size in range(1, len(picks) + 1):
             for combo in combinations(picks, size):
-                steps = [(p[1], p[0]) for p in combo]  # (name, ord), in pick order
-                names = ">".join(n for n, _ in steps)
-                seqs.append({"S_class": cls, "T_name": t, "sid": f"{t}|{names}", "names": names, "steps": steps})
+                steps = [((p[2], p[1]), p[0]) for p in combo]  # ((dimension, name), ord), in pick order
+                seqs.append({"S_class": cls, "T_name": t, "items": tuple(i for i, _ in steps), "steps": steps})
     return seqs
 
 
@@ -40,12 +39,12 @@ def _cells(occ, dataset):
     cells = defaultdict(list)
     for r in occ:
         if r["T_name"] in dataset:
-            cells[(r["S_class"], r["S_name"], r["T_name"])].append(r["ix"])
+            cells[(r["S_class"], (r["S_dimension"], r["S_name"]), r["T_name"])].append(r["ix"])
     return cells
 
 
 def verdict_presence(dataset, occ):
-    """dataset: {T_name: class}. -> {(S_class, sid): (tp, fn, fp, tn, accuracy, tas)}"""
+    """dataset: {T_name: class}. -> {(S_class, source series, items): (tp, fn, fp, tn, accuracy, tas)}"""
     cells = _cells(occ, dataset)
     out = {}
     for s in enumerate_sequences(occ):
@@ -54,8 +53,8 @@ def verdict_presence(dataset, occ):
         tas = []
         for t, tcls in dataset.items():
             entries, veto = [], False
-            for name, order in s["steps"]:
-                for ix in cells.get((cls, name, t), []):
+            for item, order in s["steps"]:
+                for ix in cells.get((cls, item, t), []):
                     if not ix:
                         veto = True
                     entries += [f"{order}_{p}" for p in ix]
@@ -72,17 +71,17 @@ def verdict_presence(dataset, occ):
             else:
                 tn += 1
         n = tp + fn + fp + tn
-        out[(cls, s["sid"])] = (tp, fn, fp, tn, (tp + tn) / n, tas)
+        out[(cls, s["T_name"], s["items"])] = (tp, fn, fp, tn, (tp + tn) / n, tas)
     return out
 
 
 def verdict_ordered(dataset, occ):
-    """-> {(S_class, names): (tp, fn, fp, tn, accuracy, tas)}"""
+    """-> {(S_class, items): (tp, fn, fp, tn, accuracy, tas)}"""
     cells = _cells(occ, dataset)
     out = {}
     seen = set()
     for s in enumerate_sequences(occ):
-        key = (s["S_class"], s["names"])
+        key = (s["S_class"], s["items"])
         if key in seen:
             continue
         seen.add(key)
@@ -91,8 +90,8 @@ def verdict_ordered(dataset, occ):
         tas = None
         for t, tcls in dataset.items():
             chain, found = [], True
-            for name, _ in s["steps"]:
-                rows = cells.get((cls, name, t), [])
+            for item, _ in s["steps"]:
+                rows = cells.get((cls, item, t), [])
                 if not rows or any(not ix for ix in rows):
                     found = False
                     break

@@ -1,10 +1,12 @@
-"""Golden case with the shape of the reference's committed job output.
-
-Built here by rule: 18 shapelets over 6 dimensions, each occurring (at
-position 0) only in its own one of 3 series, plus a second row for the first
-shapelet and series listing position 1. The file uses the wrapped line format
-`(e,(<nine fields>,None))`. Expected: 3 x (2^6 - 1) = 189 sequences; with all
-series `normal`, each sequence has TP 1, FN 2, accuracy 1/3, TAS [0].
+"""A case of our own in the wrapped line format, with expectations that follow by rule.
+
+Two classes. Of each of ``KINDS`` dimensions class ``up`` has one shapelet; it
+occurs at position 10 * dimension in the series ``ramp`` and 10 * dimension + 1 in
+``step``, and is listed as absent in ``flat``. So ``ramp`` and ``step`` each give all
+2^KINDS - 1 subsets, in dimension order; each matches exactly those two series,
+which are the two of its class: TP 2, FN 0, FP 0, TN 1, accuracy 1. The chain of a
+subset is the position of each of its dimensions in the later series, ``step``; the
+literal time window starts with the smallest order as text.
 """
 
 import os
@@ -13,46 +15,32 @@ import tempfile
 from sequin.plans.queries import Mining
 from sequin.sources import read_wrapped_occurrences
 
-DIMENSIONS = ["11", "12", "15", "6", "7", "8"]
-SERIES = ["w201_03.csv", "w200_17.csv", "w200_16.csv"]
+KINDS = 4
+CLASSES = {"ramp": "up", "step": "up", "flat": "level"}
 
 
 def golden_lines():
-    lines = []
-    k = 0
-    for dim in DIMENSIONS:
-        for origin in SERIES:
-            k += 1
-            dist = "{" + ", ".join(f"'{t}': {0.0 if t == origin else 10.0 * (i + 1)}" for i, t in enumerate(SERIES)) + "}"
-            sub = "[" + ", ".join(f"{float(v)}" for v in range(64)) + "]"
-            for t in SERIES:
-                positions = ["[0]"] if t == origin else ["[]"]
-                if k == 1 and t == origin:
-                    positions = ["[1]", "[0]"]
-                for ix in positions:
-                    fields = [f"shapelet{k}", origin, dim, "normal", t, ix, "0", sub, dist]
-                    lines.append("(e,(" + ";".join(fields) + ",None))")
-    return lines
+    for d in range(1, KINDS + 1):
+        for t, shift in (("ramp", 0), ("step", 1), ("flat", None)):
+            ix = "[]" if shift is None else f"[{10 * d + shift}]"
+            yield f"(e,(rise{d};ramp;axis{d};up;{t};{ix};0.5;[1.0, 2.0];{{'{t}': 0.0}},None))"
 
 
 def test_golden_sample(spark):
-    folder = tempfile.mkdtemp(prefix="sequin-golden-", dir="/tmp")
-    path = os.path.join(folder, "part-00000")
+    path = os.path.join(tempfile.mkdtemp(prefix="sequin-golden-", dir="/tmp"), "part-00000")
     with open(path, "w") as f:
         f.write("\n".join(golden_lines()) + "\n")
     occ = read_wrapped_occurrences(spark, path)
-    assert occ.count() == 55
-    assert occ.filter("size(ix) > 0").count() == 19
-    first = occ.filter("S_name = 'shapelet1'").orderBy("T_name").first()
-    assert len(first.sub_sequence) == 64 and len(first.distance) == 3
-
-    dataset = spark.createDataFrame([(t, "normal") for t in SERIES], "T_name string, class_d string")
+    assert occ.count() == 3 * KINDS and occ.filter("size(ix) > 0").count() == 2 * KINDS
+    dataset = spark.createDataFrame(list(CLASSES.items()), "T_name string, class_d string")
     m = Mining.from_tables(dataset, occ)
     verdicts = m.verdict_presence().collect()
-    assert len(verdicts) == 189
-    assert {(v.tp, v.fn, v.fp, v.tn, round(v.accuracy, 12), tuple(v.tas)) for v in verdicts} == {
-        (1, 2, 0, 0, round(1 / 3, 12), (0,))
-    }
+    assert len(verdicts) == 2 * (2**KINDS - 1)
+    assert {(v.tp, v.fn, v.fp, v.tn, v.accuracy) for v in verdicts} == {(2, 0, 0, 1, 1.0)}
     ordered = m.verdict_ordered().collect()
-    assert len(ordered) == 189
-    assert {(v.tp, v.fn) for v in ordered} == {(1, 2)}
+    assert len(ordered) == 2**KINDS - 1
+    for v in ordered:
+        dims = [int(i.S_name.removeprefix("rise")) for i in v["items"]]
+        assert dims == sorted(dims) and list(v.tas) == [10 * d + 1 for d in dims]
+        assert (v.tp, v.fn, v.fp, v.tn) == (2, 0, 0, 1)
+    m.close()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import types as T
 
 from sequin.operators import evaluate, sequences
-from sequin.plans.queries import Mining
+from sequin.plans.queries import Mining, plain
 from tests import model
 
 OCC_SCHEMA = T.StructType(
@@ -16,7 +16,7 @@ OCC_SCHEMA = T.StructType(
         T.StructField("S_class", T.StringType()),
         T.StructField("T_name", T.StringType()),
         T.StructField("T_indice", T.StringType()),
-        T.StructField("ix", T.ArrayType(T.IntegerType())),
+        T.StructField("ix", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -27,17 +27,22 @@ def frames(spark, dataset, occ):
     return ds, spark.createDataFrame(rows, OCC_SCHEMA)
 
 
-def spark_verdicts(spark, dataset, occ, broadcast_rows=200_000):
+def spark_verdicts(spark, dataset, occ, salts=None):
     ds, oc = frames(spark, dataset, occ)
-    m = Mining.from_tables(ds, oc, broadcast_rows)
-    pres = {
-        (r.S_class, r.sid): (r.tp, r.fn, r.fp, r.tn, r.accuracy, list(r.tas))
-        for r in m.verdict_presence().collect()
-    }
-    ordd = {
-        (r.S_class, r.names): (r.tp, r.fn, r.fp, r.tn, r.accuracy, list(r.tas))
-        for r in m.verdict_ordered().collect()
-    }
+    m = Mining.from_tables(ds, oc, salts)
+    pres = {}
+    for r in m.verdict_presence().collect():
+        things = tuple((i.S_dimension, i.S_name) for i in r["items"])
+        series = r.sid[: len(r.sid) - len("|" + ">".join(n for _, n in things))]
+        assert r.sid == series + "|" + ">".join(n for _, n in things)
+        assert (r.S_class, series, things) not in pres
+        pres[r.S_class, series, things] = (r.tp, r.fn, r.fp, r.tn, r.accuracy, list(r.tas))
+    ordd = {}
+    for r in m.verdict_ordered().collect():
+        things = tuple((i.S_dimension, i.S_name) for i in r["items"])
+        assert r.names == ">".join(n for _, n in things) and (r.S_class, things) not in ordd
+        ordd[r.S_class, things] = (r.tp, r.fn, r.fp, r.tn, r.accuracy, list(r.tas))
+    m.close()
     return pres, ordd
 
 
@@ -93,15 +98,12 @@ def test_edge_cases(spark):
     for v in list(pres.values()) + list(ordd.values()):
         assert sum(v[:4]) == n
     # an ordered match is also a presence match of the same name set
-    for (cls, names), v in ordd.items():
-        assert v[0] + v[2] <= max(
-            p[0] + p[2] for (c, sid), p in pres.items() if c == cls and sid.split("|")[1] == names
-        )
+    for (cls, things), v in ordd.items():
+        assert v[0] + v[2] <= max(p[0] + p[2] for (c, _, own), p in pres.items() if (c, own) == (cls, things))
 
 
 def test_salted_join_path(spark):
-    # broadcast disabled: the salted shuffle join must give the same verdicts
-    check(spark, EDGE_DATASET, EDGE_OCC, broadcast_rows=0)
+    check(spark, EDGE_DATASET, EDGE_OCC, salts=3)
 
 
 def test_row_order_does_not_matter(spark):
@@ -146,45 +148,99 @@ def test_subset_count(spark):
     assert per_source == {k: 2**d - 1 for k, d in picks.items()}
 
 
-def test_dimension_guard(spark):
-    occ = [row(f"s{k}", f"d{k}", "c", "t1", [k]) for k in range(4)]
+def test_mask_levels(spark):
+    occ = [row(f"s{k}", f"d{k}", "c", "t1", [k]) for k in range(6)]
+    ds, oc = frames(spark, {"t1": "c"}, occ)
+    m = Mining.from_tables(ds, oc)
+    want = {(r["mask"], r.names) for r in sequences.enumerate_sequences(m.picks).collect()}
+    assert len(want) == 63
+    assert {(r["mask"], r.names) for r in sequences.enumerate_sequences(m.picks, low_bits=2).collect()} == want
+
+
+def test_many_dimensions(spark):
+    # no limit on dimensions: 25 of them, subsets of at most two
+    occ = [row(f"s{k}", f"d{k}", "c", "t1", [k]) for k in range(25)]
     ds, oc = frames(spark, {"t1": "c"}, occ)
     m = Mining.from_tables(ds, oc)
-    with pytest.raises(Exception, match="more than 3 dimensions"):
-        sequences.enumerate_sequences(m.picks, max_dims=3).collect()
-    assert sequences.enumerate_sequences(m.picks, max_len=2).count() == 4 + 6
+    assert sequences.enumerate_sequences(m.picks, max_len=2).count() == 25 + 300
+
+
+SHARED_NAMES = [
+    row("s1", "d1", "c", "t1", [0]),
+    row("s1", "d2", "c", "t1", [2]),
+    row("s2", "d3", "c", "t1", [5]),
+    row("s1", "d1", "c", "t2", [1]),
+    row("s1", "d2", "c", "t2", [2]),
+    row("s2", "d3", "c", "t2", [8]),
+]
+
+
+def test_a_name_on_two_dimensions(spark):
+    pres, ordd = check(spark, {"t1": "c", "t2": "c"}, SHARED_NAMES)
+    d1, d2, d3 = ("d1", "s1"), ("d2", "s1"), ("d3", "s2")
+    assert ordd["c", (d1,)][0] == 2 and ordd["c", (d1, d2)] == (2, 0, 0, 0, 1.0, [1, 2])
+    assert ordd["c", (d1, d2, d3)] == (2, 0, 0, 0, 1.0, [1, 2, 8])
+
+
+def test_a_lead_that_is_absent_beside_a_shared_name(spark):
+    occ = [row("s0", "d0", "c", "t1", [0]), row("s1", "d1", "c", "t1", [1]), row("s1", "d1", "c", "t2", [2]), row("s1", "d2", "c", "t2", [3])]
+    pres, _ = check(spark, {"t1": "c", "t2": "c"}, occ)
+    assert pres["c", "t1", (("d0", "s0"), ("d1", "s1"))][5] == [2]
+
+
+def test_separators_inside_names(spark):
+    occ = [row("a+b", "d0", "c", "t1", [0]), row("a", "d1", "c", "t2", [0]), row("b", "d2", "c", "t2", [1]), row("x>y|z_", "d3", "c", "t1", [4]), row("x\x1ey\x1f\x1d", "d4", "c", "t2", [4])]
+    pres, _ = check(spark, {"t1": "c", "t2": "c"}, occ)
+    assert pres["c", "t1", (("d0", "a+b"),)][:2] == (1, 1)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_random_shared_names(spark, seed):
+    rnd = random.Random(seed)
+    dataset, occ = random_case(seed)
+    names = ["s", "s+s", "s>s", "s|_"]
+    kinds = {r["S_name"]: rnd.choice(names) for r in occ}
+    # one shapelet per (class, dimension, name); a name may come back on other dimensions
+    check(spark, dataset, [dict(r, S_name=kinds[r["S_name"]]) for r in occ])
+
+
+def test_large_positions(spark):
+    far = 3_000_000_000
+    occ = [row("s1", "d1", "c", "t1", [1]), row("s2", "d2", "c", "t1", [far])]
+    _, ordd = check(spark, {"t1": "c"}, occ)
+    assert ordd["c", (("d1", "s1"), ("d2", "s2"))][5] == [1, far]
 
 
 def test_presence_matrix_flags(spark):
     ds, oc = frames(spark, EDGE_DATASET, EDGE_OCC)
     m = Mining.from_tables(ds, oc)
-    rows = {(r.set_key, r.T_name): (r.found, r.complete) for r in m.matrix.filter("S_class = 'c_a'").collect()}
+    rows = {(r.set_key, r.T_name): (r.found, r.complete) for r in plain(m.matrix.filter("S_class = 'c_a'")).collect()}
     assert rows[("s1", "t2")] == (False, False)  # R9: an empty row vetoes
     assert rows[("s1", "t1")] == (True, True)
     assert rows[("s1+s3", "t3")] == (True, False)  # R8: s3 has no row in t3
-    assert evaluate is not None
 
 
 def test_chain_across_small_blocks(spark):
-    # every pair takes the round path, with blocks of 4 positions: lookups must
-    # fall through empty blocks via `after`
+    # blocks of 4 positions: lookups must fall through empty blocks via `after`
+    from sequin.functions.identity import items
     from sequin.operators import encode
 
     dataset, occ = random_case(11)
     occ = [dict(r, ix=[p * 3 for p in r["ix"]]) for r in occ]  # spread positions over many blocks
     ds, oc = frames(spark, dataset, occ)
     m = Mining.from_tables(ds, oc)
-    blocks = encode.position_blocks(m.occ, m.dataset, block=4)
-    got = evaluate.ordered_match(
-        m.seqs, m.matrix, m.tmap, blocks, block=4, checkpoint_every=1, gather_positions=-1
-    )
-    got = {(r.S_class, r.names, r.T_name): list(r.tas) for r in got.collect()}
+    blocks = encode.position_blocks(m.keyed, m.dataset, block=4)
+    got = evaluate.ordered_match(m.seqs, m.tmap, blocks, block=4, checkpoint_every=2)
+    got = got.withColumn("items", items(got["names"]))
+    got = {(r.S_class, tuple((i.S_dimension, i.S_name) for i in r["items"]), r.T_name): list(r.tas) for r in got.collect()}
     want = model.verdict_ordered(dataset, occ)
     assert {(c, n) for c, n, _ in got} <= set(want)
     for (c, n), v in want.items():
         own = [t for (c2, n2, t) in got if (c2, n2) == (c, n) and dataset[t] == c]
         other = [t for (c2, n2, t) in got if (c2, n2) == (c, n) and dataset[t] != c]
         assert (len(own), len(other)) == (v[0], v[2])
+        chains = [got[c, n, t] for t in own]
+        assert [max(p) for p in zip(*chains)] == v[5]
 
 
 def test_rank_within_hot_key(spark):
@@ -202,3 +258,27 @@ def test_rank_within_hot_key(spark):
     got = rank_within(df, "k", ["t", "e"], chunks=16)
     want = df.withColumn("_rank", F.row_number().over(Window.partitionBy("k").orderBy("t", "e")))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_occurrences_cover_all_events(spark):
+    from pyspark.sql import functions as F
+
+    from sequin.sources import occurrences, read_table, series_catalogue
+
+    events = read_table(spark, "/root/testdata/sf0.001", "events")
+    occ = occurrences(events, series_catalogue(events))
+    assert occ.agg(F.sum(F.size("ix"))).first()[0] == events.filter("value IS NOT NULL").count()
+
+
+def test_queries_release_what_they_persist(spark):
+    import gc
+
+    from sequin.plans.queries import QUERIES
+
+    spark.catalog.clearCache()
+    for name in ("verdict_presence", "ordered_match", "sequence_hits"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert df.count() > 0
+        del df
+    gc.collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from sequin.sources import read_dataset, read_occurrences
 
 
@@ -19,16 +21,27 @@ def test_dataset_reader(spark):
     assert [(r.T_name, r.class_d) for r in rows] == [("a_01.csv", "normal"), ("b_02.csv", "abnormal")]
 
 
-def test_occurrence_reader_types_and_short_lines(spark):
-    lines = [
-        "s1;a_01.csv;11;normal;b_02.csv;[0, 5];0.25;[2.0, 1.5];{'a_01.csv': 0.0, 'b_02.csv': 3.5}",
-        "s1;a_01.csv;11;normal;a_01.csv;[];0;[];{}",
-        "s2;a_01.csv;12",  # too few fields: kept, missing fields are NULL
-    ]
+GOOD = "s1;a_01.csv;11;normal;b_02.csv;[0, 5];0.25;[2.0, 1.5];{'a_01.csv': 0.0, 'b_02.csv': 3.5}"
+
+
+def test_occurrence_reader_types(spark):
+    lines = [GOOD, "s1;a_01.csv;11;normal;a_01.csv;[];0;[];{}", "s1;a_01.csv;11;normal;c.csv;[3000000000];0;[];{}"]
     rows = {(r.S_name, r.T_name): r for r in read_occurrences(spark, _write(lines)).collect()}
     r = rows[("s1", "b_02.csv")]
     assert r.ix == [0, 5] and r.gain == 0.25 and r.sub_sequence == [2.0, 1.5]
     assert r.distance == {"a_01.csv": 0.0, "b_02.csv": 3.5}
-    assert rows[("s1", "a_01.csv")].ix == []
-    short = rows[("s2", None)]
-    assert short.S_dimension == "12" and short.ix is None
+    assert rows[("s1", "a_01.csv")].ix == [] and rows[("s1", "c.csv")].ix == [3000000000]
+
+
+@pytest.mark.parametrize("bad", ["[0, x]", "[0.5]", "nan", "", "[99999999999999999999]"])
+def test_an_unreadable_list_is_an_error_that_shows_it(spark, bad):
+    path = _write([GOOD, f"s1;a_01.csv;11;normal;c.csv;{bad};0;[];{{}}"])
+    with pytest.raises(Exception, match="unreadable position list"):
+        read_occurrences(spark, path).collect()
+
+
+def test_a_short_line_is_an_error_that_shows_it(spark):
+    with pytest.raises(Exception, match="fewer than 9 fields in line: s2;a_01.csv;12"):
+        read_occurrences(spark, _write([GOOD, "s2;a_01.csv;12"])).collect()
+    with pytest.raises(Exception, match="fewer than 2 fields in line: lonely"):
+        read_dataset(spark, _write(["a;b", "lonely"])).collect()
