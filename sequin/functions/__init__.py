@@ -2,6 +2,7 @@
 
 from .chain import ordered_chain
 from .indices import (
+    checked_indices,
     first_index,
     first_token,
     join_ints,
@@ -14,6 +15,7 @@ from .indices import (
 from .window import entry_position, first_of_window, prefix_indices, rerank, window_entry
 
 __all__ = [
+    "checked_indices",
     "entry_position",
     "first_index",
     "first_of_window",

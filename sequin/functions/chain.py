@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 
 def ordered_chain(steps: Column) -> Column:
-    """-> struct<ok boolean, cur int, tas array<int>>; `tas` holds one position per step."""
+    """-> struct<ok boolean, cur bigint, tas array<bigint>>; `tas` holds one position per step."""
     start = F.struct(
         F.lit(True).alias("ok"),
-        F.lit(None).cast("int").alias("cur"),
-        F.array().cast("array<int>").alias("tas"),
+        F.lit(None).cast("bigint").alias("cur"),
+        F.array().cast("array<bigint>").alias("tas"),
     )
 
     def step(acc: Column, x: Column) -> Column:

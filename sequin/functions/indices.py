@@ -13,6 +13,15 @@ def parse_indices(text: Column | str) -> Column:
     return F.from_json(text, INDICES)
 
 
+def checked_indices(text: Column | str) -> Column:
+    """As `parse_indices`; a list that is no list of whole numbers is an error that shows it."""
+    raw = F.col(text) if isinstance(text, str) else text
+    ix = parse_indices(raw)
+    bad = raw.isNull() | ix.isNull() | F.exists(ix, lambda p: p.isNull())
+    shown = F.concat(F.lit("unreadable position list: "), F.coalesce(raw, F.lit("(none)")))
+    return F.when(bad, F.raise_error(shown).cast(INDICES)).otherwise(ix)
+
+
 def parse_values(text: Column | str) -> Column:
     return F.from_json(text, VALUES)
 

@@ -17,7 +17,7 @@ def window_entry(order: Column, position: Column) -> Column:
 
 def entry_position(entry: Column) -> Column:
     """`"o_p"` -> p."""
-    return F.split(entry, "_").getItem(1).cast("int")
+    return F.split(entry, "_").getItem(1).cast("bigint")
 
 
 def first_of_window(entries: Column) -> Column:

@@ -24,22 +24,7 @@ OCCURRENCE_TEXT = T.StructType(
     ]
 )
 
-# Typed occurrence table; `ix` is the parsed `T_indice` (empty array = not present).
-OCCURRENCE = T.StructType(
-    [
-        T.StructField("S_name", T.StringType()),
-        T.StructField("S_origin", T.StringType()),
-        T.StructField("S_dimension", T.StringType()),
-        T.StructField("S_class", T.StringType()),
-        T.StructField("T_name", T.StringType()),
-        T.StructField("T_indice", T.StringType()),
-        T.StructField("ix", T.ArrayType(T.IntegerType())),
-        T.StructField("gain", T.DoubleType()),
-        T.StructField("sub_sequence", T.ArrayType(T.DoubleType())),
-        T.StructField("distance", T.MapType(T.StringType(), T.DoubleType())),
-    ]
-)
-
-INDICES = "array<int>"
+# Types of the list fields; an empty `T_indice` means not present.
+INDICES = "array<bigint>"
 VALUES = "array<double>"
 DISTANCES = "map<string,double>"

@@ -12,7 +12,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for this workload at any scale: adaptive execution so the
 # number of reducers, join strategy and skewed partitions are decided from the
@@ -68,3 +69,30 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unique path below the shared folder for an intermediate table."""
     return os.path.join(shared_dir(spark), "sequin", f"{label}-{uuid.uuid4().hex}")
+
+
+#: Tables persisted since the start, in order; ``release`` takes them back.
+_kept: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist an intermediate that is read more than once (on disk: no heap pressure)."""
+    _kept.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+def kept_since(mark: int) -> list[DataFrame]:
+    return _kept[mark:]
+
+
+def kept_count() -> int:
+    return len(_kept)
+
+
+def release(tables: list[DataFrame]) -> None:
+    """Unpersist; a table that is read again is computed again."""
+    for df in tables:
+        if any(df is x for x in _kept):
+            _kept[:] = [x for x in _kept if x is not df]
+            if df.sparkSession.sparkContext._jsc is not None:
+                df.unpersist()

@@ -16,20 +16,16 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 # Fixed values of the fixture (they must match the oracle's SQL):
-#   dimensions (event types): click, error, purchase, signup, view
-#   value band: floor(value / 50)
-#   shapelet classes by band: 1 abnormal, 2 normal, 3 normal, 4 abnormal
+#   dimension: event type; value band: floor(value / 50); all of them that the data has
+#   shapelet classes by band: 2 and 3 normal, every other abnormal
 #   planted series class: normal if the user has a click in band 2 and a view in band 2,
 #   else abnormal
 #   shapelet name: 'shp-' || event_type || '-' || band; series name: 'u_' || user_id
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 BAND_WIDTH = 50
-BAND_CLASS = {1: "abnormal", 2: "normal", 3: "normal", 4: "abnormal"}
+NORMAL_BANDS = [2, 3]
+CLASSES = ["abnormal", "normal"]
 PLANTED_BAND = 2
 PLANTED_TYPES = ["click", "view"]
-# Positions of one (shapelet, series) are split into rows per block of this many
-# consecutive positions, so no row holds an unbounded list.
-POSITION_BLOCK = 65536
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +76,7 @@ def event_positions(events: DataFrame) -> DataFrame:
         _series_name("user_id").alias("T_name"),
         F.col("event_type").alias("S_dimension"),
         _band().alias("band"),
-        (F.col("_rank") - 1).cast("int").alias("pos"),
+        (F.col("_rank") - 1).cast("bigint").alias("pos"),
     )
 
 
@@ -103,33 +99,28 @@ def series_catalogue(events: DataFrame) -> DataFrame:
     )
 
 
-def shapelet_catalogue() -> F.Column:
-    """The fixed 20 shapelets as an array literal of structs (bounded by construction)."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(f"shp-{t}-{b}").alias("S_name"),
-                F.lit(t).alias("S_dimension"),
-                F.lit(c).alias("S_class"),
-                F.lit(b).alias("band"),
-            )
-            for t in EVENT_TYPES
-            for b, c in sorted(BAND_CLASS.items())
-        ]
+def shapelet_catalogue(events: DataFrame) -> DataFrame:
+    """(S_name, S_dimension, S_class, band): every (event type, band) that the data has."""
+    kinds = events.select(F.col("event_type").alias("S_dimension"), _band().alias("band")).filter("band IS NOT NULL").distinct()
+    return kinds.select(
+        F.concat_ws("-", F.lit("shp"), "S_dimension", F.col("band").cast("string")).alias("S_name"),
+        "S_dimension",
+        F.when(F.col("band").isin(NORMAL_BANDS), "normal").otherwise("abnormal").alias("S_class"),
+        "band",
     )
 
 
 def occurrences(events: DataFrame, dataset: DataFrame) -> DataFrame:
-    """One row per (shapelet, series in the catalogue, block of positions);
-    `ix` = sorted positions, [] (one row) if the shapelet never occurs there."""
-    bands = sorted(BAND_CLASS)
+    """One row per (shapelet, series in the catalogue), the record of the reference's
+    input: `ix` = sorted positions, [] if the shapelet never occurs there."""
     positions = (
         event_positions(events)
-        .filter(F.col("band").between(bands[0], bands[-1]))
-        .groupBy("T_name", "S_dimension", "band", F.floor(F.col("pos") / POSITION_BLOCK).alias("blk"))
+        .groupBy("T_name", "S_dimension", "band")
         .agg(F.array_sort(F.collect_list("pos")).alias("ix"))
     )
-    pairs = dataset.select("T_name", F.explode(shapelet_catalogue()).alias("s")).select("T_name", "s.*")
+    # one row: types x bands, however many events there are
+    catalogue = shapelet_catalogue(events).agg(F.collect_list(F.struct("S_name", "S_dimension", "S_class", "band"))).scalar()
+    pairs = dataset.select("T_name", F.explode(catalogue).alias("s")).select("T_name", "s.*")
     return pairs.join(positions, ["T_name", "S_dimension", "band"], "left").select(
         "S_name",
         F.lit("events").alias("S_origin"),
@@ -137,7 +128,7 @@ def occurrences(events: DataFrame, dataset: DataFrame) -> DataFrame:
         "S_class",
         "T_name",
         F.concat(F.lit("["), F.coalesce(F.array_join("ix", ", "), F.lit("")), F.lit("]")).alias("T_indice"),
-        F.coalesce("ix", F.array().cast("array<int>")).alias("ix"),
+        F.coalesce("ix", F.array().cast("array<bigint>")).alias("ix"),
         F.lit(0.0).alias("gain"),
         F.array(
             (F.col("band") * BAND_WIDTH).cast("double"), ((F.col("band") + 1) * BAND_WIDTH).cast("double")

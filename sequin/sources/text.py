@@ -7,25 +7,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions import parse_distances, parse_indices, parse_values, render_indices
+from ..functions import checked_indices, parse_distances, parse_values, render_indices
 
 # The committed job output wraps each line as `(e,(<nine fields>,None))`.
 WRAPPED_LINE = r"^\(.,\((.*),None\)\)$"
 
 
-def _text_reader(spark: SparkSession, text_schema):
-    return (
-        spark.read.schema(text_schema)
-        .option("sep", ";")
-        .option("quote", "")  # no quoting: `'` and `,` inside fields are data
-        .option("header", "false")
-        .option("mode", "PERMISSIVE")
-    )
+def _fields(text_schema, line: F.Column) -> list[F.Column]:
+    """The `;`-separated fields of a line; a line with too few is an error that shows it."""
+    n = len(text_schema.fields)
+    parts = F.split(line, ";", -1)
+    short = F.raise_error(F.concat(F.lit(f"fewer than {n} fields in line: "), line))
+    parts = F.when(F.size(parts) < n, short.cast("array<string>")).otherwise(parts)
+    return [F.get(parts, i).alias(f.name) for i, f in enumerate(text_schema.fields)]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).filter(F.length("value") > 0)
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """`T_name;class` lines -> (T_name, class_d)."""
-    return _text_reader(spark, schema.DATASET_TEXT).csv(path)
+    return _lines(spark, path).select(*_fields(schema.DATASET_TEXT, F.col("value")))
 
 
 def type_occurrences(raw: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def type_occurrences(raw: DataFrame) -> DataFrame:
         "S_class",
         "T_name",
         "T_indice",
-        parse_indices("T_indice").alias("ix"),
+        checked_indices("T_indice").alias("ix"),
         F.col("gain").try_cast("double").alias("gain"),
         parse_values("sub_sequence").alias("sub_sequence"),
         parse_distances("distance").alias("distance"),
@@ -46,16 +49,13 @@ def type_occurrences(raw: DataFrame) -> DataFrame:
 
 def read_occurrences(spark: SparkSession, path: str) -> DataFrame:
     """Nine `;`-separated fields per line -> typed occurrence table."""
-    return type_occurrences(_text_reader(spark, schema.OCCURRENCE_TEXT).csv(path))
+    return type_occurrences(_lines(spark, path).select(*_fields(schema.OCCURRENCE_TEXT, F.col("value"))))
 
 
 def read_wrapped_occurrences(spark: SparkSession, path: str) -> DataFrame:
     """The committed sample format: strip `(e,(` ... `,None))`, then as S2."""
     body = F.regexp_extract("value", WRAPPED_LINE, 1)
-    fields = F.split(body, ";", -1)
-    names = [f.name for f in schema.OCCURRENCE_TEXT.fields]
-    raw = spark.read.text(path).select(*[F.get(fields, i).alias(n) for i, n in enumerate(names)])
-    return type_occurrences(raw)
+    return type_occurrences(_lines(spark, path).select(*_fields(schema.OCCURRENCE_TEXT, body)))
 
 
 def write_dataset_text(dataset: DataFrame, path: str, mode: str = "overwrite") -> None:
