@@ -178,7 +178,7 @@ def starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """The ranks of a tiktoken file; pieces are merged once and kept while there is room."""
 
-    def __init__(self, ranks: dict[bytes, int], room: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], room: int = 200_000):
         self.ranks, self.room = ranks, room
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.cached: dict[bytes, bytes] = {}

@@ -77,7 +77,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def parts(batches: Iterable[pa.RecordBatch], text: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterable[pa.RecordBatch], text: str, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with at most ``size`` bytes of text, one row at least.
 
     No row is cut: this bounds the temporary arrays of vectorised work, not the work.

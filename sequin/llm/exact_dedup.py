@@ -93,17 +93,23 @@ def seen_twice(digests: DataFrame, column: str, bits: int) -> np.ndarray:
     return np.frombuffer(zlib.decompress(twice), np.uint8)
 
 
-def flag_repeated(rows: DataFrame, column: str, twice: np.ndarray, bits: int, out: str) -> DataFrame:
-    """Pass 2: whether a row may have a copy (never false for one that has)."""
+def flag_repeated(rows: DataFrame, column: str, twice: np.ndarray, bits: int, out: str, text: str | None = None) -> DataFrame:
+    """Pass 2: whether a row may have a copy (never false for one that has).
+
+    With ``text`` the digest is made on the way, in the same worker, and added as ``column``.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(twice)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, text) if text else batches:
             if batch.num_rows:
-                hit = _get(shared.value, _cells(batch.column(column).to_pylist(), bits)).all(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, out])
+                digests = _digests(batch.column(text)) if text else batch.column(column).to_pylist()
+                more = {column: pa.array(digests, pa.binary())} if text else {}
+                more[out] = pa.array(_get(shared.value, _cells(digests, bits)).all(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
 
-    return rows.mapInArrow(add, T.StructType([*rows.schema.fields, T.StructField(out, T.BooleanType())]))
+    fields = [T.StructField(column, T.BinaryType())] if text else []
+    return rows.mapInArrow(add, T.StructType([*rows.schema.fields, *fields, T.StructField(out, T.BooleanType())]))
 
 
 def _filter(hashed: DataFrame, max_bits: int) -> tuple[np.ndarray, int]:
@@ -133,7 +139,7 @@ def keep(docs: DataFrame, id: str = "doc_id", text: str = "text", max_bits: int
     hashed = stored(with_digest(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "digest").select("id", "digest"), "op9-digests")
     twice, bits = _filter(hashed, max_bits)
     last = flag_repeated(hashed, "digest", twice, bits, "maybe").filter("maybe").groupBy("digest").agg(F.max("id").alias("_id")).withColumnRenamed("digest", "_d")
-    flagged = flag_repeated(with_digest(docs, text, "_digest"), "_digest", twice, bits, "_maybe")
+    flagged = flag_repeated(docs, "_digest", twice, bits, "_maybe", text)
     alone = flagged.filter(~F.col("_maybe")).select(*names)
     maybe = flagged.filter("_maybe")
     stay = maybe.join(last, (F.col("_digest") == F.col("_d")) & F.col(id).eqNullSafe(F.col("_id")), "left_semi")
