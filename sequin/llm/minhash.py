@@ -31,8 +31,9 @@ Texts shuffle once, to meet the list of classes with a shared key; only their
 sets are kept, in the shared folder, for the rounds.
 
 Edge cases: a null text, or one without words, has no shingle, links with
-nothing and is its own component; a null id never is the smallest; rows that
-repeat id and text belong to one class; an empty table gives no row.
+nothing and is its own component; a null id never is the smallest, and ``keep``
+drops no row of null id; rows that repeat id and text belong to one class; an
+empty table gives no row.
 """
 
 from __future__ import annotations
