@@ -3,10 +3,10 @@ per-shapelet collections, one shapelet per dimension (P1, F1, J1, A1, A2, V1).""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import first_index, min_as_text
+from ..functions import first_index, first_token, min_as_text
 
 # Positions of a (shapelet, series) pair are looked up in blocks of this many.
 POSITION_BLOCK = 65536
@@ -86,27 +86,34 @@ def shapelet_series_map(occ: DataFrame, dataset: DataFrame) -> DataFrame:
 
 
 def position_blocks(occ: DataFrame, dataset: DataFrame, block: int = POSITION_BLOCK) -> DataFrame:
-    """Positions of each (shapelet, catalogued series) in dense blocks of `block`
+    """Positions of each (shapelet, catalogued series) in blocks of `block`
     consecutive positions: (S_class, S_name, T_name, blk, pos, after), where
     `pos` holds the block's positions (sorted, distinct, at most `block`) and
-    `after` is the smallest position in any later block. Blocks 0..last exist
-    even when empty, so "smallest position >= p" is one lookup at block p div
-    `block`: min of `pos` >= p, else `after`."""
+    `after` is the smallest position in any later block.
+
+    A chain only ever asks from a position that a shapelet of the class has in
+    the series, so a shapelet has the blocks (also empty ones) that any shapelet
+    of its class occupies there, up to its own last: "smallest position >= p" is
+    one lookup at block p div `block`: min of `pos` >= p, else `after`. Their
+    number follows the positions listed, not the largest of them."""
     key = ["S_class", "S_name", "T_name"]
     listed = occ.filter(F.size("ix") > 0).select(*key, F.explode("ix").alias("p"))
     listed = listed.join(dataset.select("T_name"), "T_name", "left_semi")
     blocks = listed.groupBy(*key, F.floor(F.col("p") / block).alias("blk")).agg(
         F.array_sort(F.array_distinct(F.collect_list("p"))).alias("pos")
     )
-    dense = (
+    occupied = blocks.select("S_class", "T_name", "blk").distinct()
+    asked = (
         blocks.groupBy(*key)
         .agg(F.max("blk").alias("last"))
-        .select(*key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("blk"))
+        .join(occupied, ["S_class", "T_name"])
+        .filter(F.col("blk") <= F.col("last"))
+        .select(*key, "blk")
         .join(blocks, [*key, "blk"], "left")
         .withColumn("pos", F.coalesce("pos", F.array().cast("array<bigint>")))
     )
     later = Window.partitionBy(*key).orderBy("blk").rowsBetween(1, Window.unboundedFollowing)
-    return dense.withColumn("after", F.min(F.array_min("pos")).over(later))
+    return asked.withColumn("after", F.min(F.array_min("pos")).over(later))
 
 
 def shapelet_name_order(occurring: DataFrame) -> DataFrame:
@@ -120,16 +127,35 @@ def shapelet_name_order(occurring: DataFrame) -> DataFrame:
     )
 
 
-def pick_per_dimension(occurring: DataFrame) -> DataFrame:
+def pick_per_dimension(occurring: DataFrame, text: Column | None = None) -> DataFrame:
     """V1: per (S_class, T_name, S_dimension) keep one shapelet: the smallest
     (order, name) — a deterministic form of the reference's first arrival.
 
     `min(struct)` aggregates partially before the shuffle, so a series with many
-    shapelets in one dimension never gathers them in one task.
+    shapelets in one dimension never gathers them in one task. Of the position
+    list only `head` goes on, by default the text before its first comma.
     """
-    best = F.min(F.struct(first_index("ix").alias("ord"), F.col("S_name"), F.col("T_indice")))
+    text = first_token("T_indice") if text is None else text
+    best = F.min(F.struct(first_index("ix").alias("ord"), F.col("S_name"), text.alias("head")))
     return (
         occurring.groupBy("S_class", "T_name", "S_dimension")
         .agg(best.alias("p"))
-        .select("S_class", "T_name", "S_dimension", "p.S_name", "p.ord", "p.T_indice")
+        .select("S_class", "T_name", "S_dimension", "p.S_name", "p.ord", "p.head")
+    )
+
+
+def series_tuples(occurring: DataFrame) -> DataFrame:
+    """A1 in long form: the tuples (S_dimension, T_indice, gain, S_name, S_class) that
+    a (S_class, T_name) gathers, one row each, with how often it is listed."""
+    return occurring.groupBy("S_class", "T_name", "S_dimension", "S_name", "T_indice", "gain").agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
+
+
+def shapelet_tuples(joined: DataFrame) -> DataFrame:
+    """A2 in long form: the pairs (T_name, T_indice) that a (S_dimension, S_name,
+    S_class) gathers, one row each, with how often it is listed. Takes J1's rows:
+    `T_name` is NULL for a series that is not in the catalogue."""
+    return joined.groupBy("S_dimension", "S_name", "S_class", "T_name", "T_indice").agg(
+        F.count(F.lit(1)).alias("n_rows")
     )

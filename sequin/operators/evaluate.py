@@ -37,27 +37,66 @@ def set_items(sets: DataFrame) -> DataFrame:
     return sets.select(*SET_KEY, "set_size", F.explode("set_names").alias("S_name"))
 
 
-def presence_matrix(seqs: DataFrame, tmap: DataFrame, salts: int | None = None) -> DataFrame:
-    """Per (name set, series) that has a row for one of its shapelets:
+def series_profiles(tmap: DataFrame) -> DataFrame:
+    """(S_class, T_name, class_d, profile): series whose cells for the shapelets of
+    S_class agree (which have a row, which are present, which vetoed) share a profile,
+    so a set is found in all of them or in none. `profile` is the number of cells and
+    128 bits over them: fixed width, a hash aggregation with a partial step."""
+    bits = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "S_name", "present", "vetoed"))
+    return (
+        tmap.groupBy("S_class", "T_name", "class_d")
+        .agg(F.count(F.lit(1)).alias("n"), bits("a").alias("a"), bits("b").alias("b"))
+        .select("S_class", "T_name", "class_d", F.struct("n", "a", "b").alias("profile"))
+    )
+
+
+def profile_cells(tmap: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(S_class, S_name, profile, present, vetoed, own_first): one cell for each shapelet of a
+    profile; `own_first` is the largest, over the profile's series of the own class, of the
+    shapelet's smallest position as text."""
+    t, p = tmap.alias("t"), profiles.alias("p")
+    same = (F.col("t.S_class") == F.col("p.S_class")) & (F.col("t.T_name") == F.col("p.T_name"))
+    cells = t.join(p, same & F.col("t.class_d").eqNullSafe(F.col("p.class_d"))).select("t.*", "p.profile")
+    own_first = F.max(F.when(F.col("class_d") == F.col("S_class"), F.col("pmin_text").cast("bigint")))
+    return cells.groupBy("S_class", "S_name", "profile").agg(
+        F.max("present").alias("present"), F.max("vetoed").alias("vetoed"), own_first.alias("own_first")
+    )
+
+
+def profile_matrix(seqs: DataFrame, cells: DataFrame, salts: int | None = None) -> DataFrame:
+    """Per (name set, profile) that has a row for one of its shapelets:
     shapelets with positions, shapelets marked absent, and the two verdicts
     `found` (presence) and `complete` (every shapelet has positions, none absent;
     necessary for an ordered match). Only fixed-width aggregates: the group-by
     stays a hash aggregation with a map-side partial step."""
     items = set_items(distinct_sets(seqs))
-    cells = tmap.select("S_class", "S_name", "T_name", "class_d", "present", "vetoed", "n_pos")
-    joined = join_bounded(cells, items, ["S_class", "S_name"], ["T_name"], salts)
+    joined = join_bounded(cells.drop("own_first"), items, ["S_class", "S_name"], ["profile"], salts)
     return (
-        joined.groupBy(*SET_KEY, "set_size", "T_name", "class_d")
-        .agg(
-            F.sum("present").cast("int").alias("n_present"),
-            F.max("vetoed").alias("any_veto"),
-            F.sum("n_pos").cast("bigint").alias("set_pos"),
-        )
+        joined.groupBy(*SET_KEY, "set_size", "profile")
+        .agg(F.sum("present").cast("int").alias("n_present"), F.max("vetoed").alias("any_veto"))
         .withColumn("found", (F.col("any_veto") == 0) & (F.col("n_present") >= 1))
         .withColumn("complete", (F.col("any_veto") == 0) & (F.col("n_present") == F.col("set_size")))
     )
 
 
+def by_series(matrix: DataFrame, profiles: DataFrame, salts: int | None = None) -> DataFrame:
+    """The rows of a profile matrix for each series of the profile."""
+    return join_bounded(profiles, matrix, ["S_class", "profile"], ["T_name"], salts).drop("profile")
+
+
+def presence_matrix(seqs: DataFrame, tmap: DataFrame, salts: int | None = None) -> DataFrame:
+    """The profile matrix for every series with a cell."""
+    profiles = series_profiles(tmap)
+    return by_series(profile_matrix(seqs, profile_cells(tmap, profiles), salts), profiles, salts)
+
+
+def pivot_presence(tmap: DataFrame, values: list[str], column: str = "class_d") -> DataFrame:
+    """One row per shapelet and one column for each of `values` (classes, or names of
+    series with `column="T_name"`): in how many of its series the shapelet is present."""
+    pivoted = tmap.groupBy("S_class", "S_name").pivot(column, values).agg(F.sum("present"))
+    return pivoted.select("S_class", "S_name", *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("bigint").alias(v) for v in values])
+
+
 def class_totals(dataset: DataFrame) -> DataFrame:
     """Series per class (one row per class)."""
     return dataset.groupBy(F.col("class_d").alias("S_class")).agg(F.count(F.lit(1)).alias("n_class"))
@@ -86,11 +125,15 @@ def hit_counts(hits: DataFrame, keys: list[str], flag: str) -> DataFrame:
     return hits.groupBy(*keys).agg(F.count_if(own).alias("tp"), F.count_if(F.col(flag)).alias("n_found"))
 
 
-def presence_confusion(seqs: DataFrame, matrix: DataFrame, dataset: DataFrame) -> DataFrame:
-    """Per name set: tp, fn, fp, tn, accuracy (presence)."""
+def presence_confusion(seqs: DataFrame, hits: DataFrame, profiles: DataFrame, dataset: DataFrame) -> DataFrame:
+    """Per name set: tp, fn, fp, tn, accuracy (presence). A profile counts once, with
+    the number of its series."""
+    sizes = profiles.groupBy("S_class", "profile").agg(
+        F.count_if(F.col("class_d") == F.col("S_class")).alias("own"), F.count(F.lit(1)).alias("n")
+    )
+    counts = hits.join(sizes, ["S_class", "profile"]).groupBy(*SET_KEY).agg(F.sum("own").alias("tp"), F.sum("n").alias("n_found"))
     sets = seqs.select(*SET_KEY).distinct()
-    counts = sets.join(hit_counts(matrix, SET_KEY, "found"), SET_KEY, "left").fillna(0, ["tp", "n_found"])
-    return confusion(counts, SET_KEY, dataset)
+    return confusion(sets.join(counts, SET_KEY, "left").fillna(0, ["tp", "n_found"]), SET_KEY, dataset)
 
 
 def variant_items(seqs: DataFrame) -> DataFrame:
@@ -211,7 +254,7 @@ def _first_position_max(pairs: DataFrame, items: DataFrame, tmap: DataFrame, sal
 
 
 def presence_tas(
-    seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, salts: int | None = None
+    seqs: DataFrame, hits: DataFrame, profiles: DataFrame, cells: DataFrame, tmap: DataFrame, salts: int | None = None
 ) -> DataFrame:
     """A9 (presence): TAS of a variant = [max over matched own-class series of the
     first window position]; one element, as the reference's live branch gives.
@@ -219,15 +262,14 @@ def presence_tas(
     Where every shapelet of the set is present in the series and the variant has
     a single lead shapelet, the first window position is that shapelet's
     smallest position-as-text, so the max only depends on (set, lead): it is
-    computed once per (set, shapelet) from the matrix cells and joined to the
+    computed once per (set, shapelet) from the profiles' cells and joined to the
     variants. Tied leads and partly present series take the general path."""
-    own = matrix.filter(F.col("found") & (F.col("class_d") == F.col("S_class")))
-    complete = own.filter("complete").select(*SET_KEY, "T_name")
-    lead_cells = join_bounded(complete, set_items(distinct_sets(seqs)).drop("set_size"), SET_KEY, ["T_name"], salts)
+    complete = hits.filter("complete").select(*SET_KEY, "profile")
+    lead_cells = join_bounded(complete, set_items(distinct_sets(seqs)).drop("set_size"), SET_KEY, ["profile"], salts)
     per_item = (
-        lead_cells.join(tmap.select("S_class", "S_name", "T_name", "pmin_text"), ["S_class", "S_name", "T_name"])
+        lead_cells.join(cells.select("S_class", "S_name", "profile", "own_first"), ["S_class", "S_name", "profile"])
         .groupBy(*SET_KEY, "S_name")
-        .agg(F.max(F.col("pmin_text").cast("bigint")).alias("tas_p"))
+        .agg(F.max("own_first").alias("tas_p"))
     )
     leads = variant_leads(seqs)
     single = leads.filter(F.size("leads") == 1).select(
@@ -237,11 +279,13 @@ def presence_tas(
 
     items = variant_items(seqs)
     tied = leads.filter(F.size("leads") > 1).select("S_class", "names", "ords")
-    partly = own.filter(~F.col("complete")).select(*SET_KEY, "T_name")
     tied_items = items.join(tied, ["S_class", "names", "ords"], "left_semi")
+    own = profiles.filter(F.col("class_d") == F.col("S_class"))
+    partly = by_series(hits.filter(~F.col("complete")), own, salts).select(*SET_KEY, "T_name")
+    any_ = by_series(hits.join(tied_items.select(*SET_KEY).distinct(), SET_KEY, "left_semi"), own, salts)
     # the two general branches are empty in most data; an empty branch costs little
     tas = by_lead.unionByName(_first_position_max(partly, items, tmap, salts)).unionByName(
-        _first_position_max(own.select(*SET_KEY, "T_name"), tied_items, tmap, salts)
+        _first_position_max(any_.select(*SET_KEY, "T_name"), tied_items, tmap, salts)
     )
     return tas.groupBy("S_class", "names", "ords").agg(F.max("tas_p").alias("tas_p"))
 
@@ -250,14 +294,15 @@ def verdict_presence(
     seqs: DataFrame,
     dataset: DataFrame,
     tmap: DataFrame,
+    profiles: DataFrame,
+    cells: DataFrame,
+    hits: DataFrame,
     salts: int | None = None,
-    matrix: DataFrame | None = None,
 ) -> DataFrame:
-    """One verdict per (S_class, source series, subset): counts, accuracy, TAS."""
-    if matrix is None:
-        matrix = presence_matrix(seqs, tmap, salts)
-    conf = presence_confusion(seqs, matrix, dataset)
-    tas = presence_tas(seqs, matrix, tmap, salts)
+    """One verdict per (S_class, source series, subset): counts, accuracy, TAS.
+    `hits`: the found rows of the profile matrix."""
+    conf = presence_confusion(seqs, hits, profiles, dataset)
+    tas = presence_tas(seqs, hits, profiles, cells, tmap, salts)
     return (
         seqs.select(*SET_KEY, "sid", "T_name", "names", "ords", "n_steps")
         .join(conf, SET_KEY)
@@ -265,6 +310,8 @@ def verdict_presence(
         .select(
             "S_class",
             "sid",
+            "names",
+            "ords",
             "n_steps",
             "tp",
             "fn",
@@ -382,6 +429,13 @@ def verdict_ordered(
     )
 
 
-def confusion_per_sequence(seqs: DataFrame, matrix: DataFrame, dataset: DataFrame) -> DataFrame:
+def confusion_per_sequence(seqs: DataFrame, hits: DataFrame, profiles: DataFrame, dataset: DataFrame) -> DataFrame:
     """A7/A8 (presence): counts and accuracy per (S_class, source series, subset), without TAS."""
-    return seqs.select(*SET_KEY, "sid", "n_steps").join(presence_confusion(seqs, matrix, dataset), SET_KEY)
+    return seqs.select(*SET_KEY, "sid", "n_steps").join(presence_confusion(seqs, hits, profiles, dataset), SET_KEY)
+
+
+def verdict_profile(verdicts: DataFrame, profile: DataFrame) -> DataFrame:
+    """X5 with its profile column, in long form: one row per (sequence, series it is
+    found in), the time window as `udaf_t` beside the sequence's accuracy and TAS."""
+    v = verdicts.select("S_class", "sid", "names", "ords", "accuracy", "tas")
+    return v.join(profile, ["S_class", "names", "ords"])

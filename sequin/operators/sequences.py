@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import first_token
 from ..functions.identity import LIST, sequence_id
 
 # Subset masks are made in two levels: high bits, spread over tasks, then this many low bits.
@@ -24,10 +23,10 @@ def enumerate_sequences(picks: DataFrame, max_len: int | None = None, low_bits:
     subsets of at most that size and cuts the high level, too.
 
     Columns: S_class, T_name, mask, steps array<struct<ord, S_name, S_dimension,
-    T_indice>>, n_steps, names (shapelet keys in order), ords, set_key (keys
+    head>>, n_steps, names (shapelet keys in order), ords, set_key (keys
     sorted), sid (series and names); see `functions.identity`.
     """
-    step = F.struct("ord", "S_name", "S_dimension", "T_indice")
+    step = F.struct("ord", "S_name", "S_dimension", "head")
     per_series = picks.groupBy("S_class", "T_name").agg(F.array_sort(F.collect_list(step)).alias("picks"))
     high = F.expr(f"sequence(0L, shiftleft(1L, greatest(size(picks) - {low_bits}, 0)) - 1)")
     low = F.expr(f"sequence(0L, shiftleft(1L, least(size(picks), {low_bits})) - 1)")
@@ -73,7 +72,7 @@ def order_sequence(seqs: DataFrame) -> DataFrame:
     """V3: the order of a sequence by numeric first position (ours) next to the
     reference's literal key, the text before the first comma of `T_indice`."""
     literal = F.array_sort(
-        F.transform("steps", lambda x: F.struct(first_token(x["T_indice"]).alias("k"), x["S_name"].alias("n")))
+        F.transform("steps", lambda x: F.struct(x["head"].alias("k"), x["S_name"].alias("n")))
     )
     return seqs.select(
         "S_class",
@@ -99,6 +98,12 @@ def class_sequences(seqs: DataFrame) -> DataFrame:
     )
 
 
+def class_sequence_rows(seqs: DataFrame) -> DataFrame:
+    """A5/V5 flattened, A12: the sequences that the series of a class gather, one row
+    for each different one (shapelets and orders), with how many series gave it."""
+    return seqs.groupBy("S_class", "names", "ords", "n_steps").agg(F.count(F.lit(1)).alias("n_sources"))
+
+
 def sequence_count_by_class(seqs: DataFrame) -> DataFrame:
     """Distinct ordered sequences and distinct name sets per class."""
     return seqs.groupBy("S_class").agg(

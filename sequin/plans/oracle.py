@@ -218,6 +218,12 @@ BODIES: dict[str, str] = {
         FROM tmapx t JOIN occ o
           ON o.S_class = t.S_class AND o.S_name = t.S_name AND o.S_dimension = t.S_dimension AND o.T_name = t.T_name
         GROUP BY ALL""",
+    "series_tuples": """
+        SELECT S_class, T_name, S_dimension, S_name, T_indice, gain, CAST(count(*) AS BIGINT) AS n_rows
+        FROM occ_nn GROUP BY ALL""",
+    "shapelet_tuples": """
+        SELECT o.S_dimension, o.S_name, o.S_class, d.T_name, o.T_indice, CAST(count(*) AS BIGINT) AS n_rows
+        FROM occ o LEFT JOIN dataset d ON d.T_name = o.T_name GROUP BY ALL""",
     "pick_per_dimension": "SELECT S_class, T_name, S_dimension, S_name, ord, T_indice FROM pick",
     "enumerate_sequences": "SELECT S_class, T_name, mask, sid, n_steps, names, ords, set_key FROM seq",
     "order_sequence": """
@@ -231,6 +237,9 @@ BODIES: dict[str, str] = {
         SELECT S_class, CAST(count(*) AS BIGINT) AS n_sequences, CAST(count(DISTINCT T_name) AS BIGINT) AS n_sources,
                max(n_steps) AS max_steps, CAST(sum(n_steps) AS BIGINT) AS total_steps
         FROM seq GROUP BY S_class""",
+    "class_sequence_rows": """
+        SELECT S_class, names, ords, n_steps, CAST(count(*) AS BIGINT) AS n_sources
+        FROM seq GROUP BY S_class, names, ords, n_steps""",
     "sequence_count_by_class": """
         SELECT S_class, CAST(count(*) AS BIGINT) AS n_sequences,
                CAST(count(DISTINCT names) AS BIGINT) AS n_ordered,
@@ -296,6 +305,15 @@ BODIES: dict[str, str] = {
         SELECT S_class, sid, accuracy, tas FROM vp ORDER BY accuracy DESC, S_class, sid LIMIT 20""",
     "verdict_full": """
         SELECT sid AS sequence_id, S_class, n_steps AS n_shapelets, accuracy AS Accuracy, tas AS TAS FROM vp""",
+    "verdict_profile": """
+        SELECT v.sid AS sequence_id, v.S_class, CAST(w.n AS BIGINT) AS n_shapelets, w.T_name, w.udaf_t,
+               v.accuracy AS Accuracy, v.tas AS TAS
+        FROM vp v JOIN seq s ON s.S_class = v.S_class AND s.sid = v.sid
+        JOIN (SELECT S_class, names, ords, T_name, max(n_steps) AS n, string_agg(e, ',' ORDER BY e) AS udaf_t
+              FROM (SELECT S_class, names, ords, n_steps, T_name,
+                           CAST(ord AS VARCHAR) || '_' || CAST(unnest(pos) AS VARCHAR) AS e FROM win) q
+              GROUP BY S_class, names, ords, T_name) w
+          ON w.S_class = s.S_class AND w.names = s.names AND w.ords = s.ords""",
     "verdict_presence": "SELECT S_class, sid, n_steps, tp, fn, fp, tn, accuracy, tas FROM vp",
     "verdict_ordered": "SELECT S_class, names, n_steps, tp, fn, fp, tn, accuracy, tas FROM vo",
     "shapelet_support": """

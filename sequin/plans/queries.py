@@ -95,26 +95,49 @@ class Mining:
     def blocks(self) -> DataFrame:
         return keep(encode.position_blocks(self.keyed, self.dataset))
 
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return keep(evaluate.series_profiles(self.tmap))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return keep(evaluate.profile_cells(self.tmap, self.profiles))
+
+    @cached_property
+    def profile_matrix(self) -> DataFrame:
+        return evaluate.profile_matrix(self.seqs, self.cells, self.salts)
+
     @cached_property
     def matrix(self) -> DataFrame:
         # every (set, series) with a cell, computed on the fly
-        return evaluate.presence_matrix(self.seqs, self.tmap, self.salts)
+        return evaluate.by_series(self.profile_matrix, self.profiles, self.salts)
+
+    @cached_property
+    def profile_hits(self) -> DataFrame:
+        # The matching (set, profile) pairs alone are kept; all verdicts read only them.
+        return keep(self.profile_matrix.filter("found"))
 
     @cached_property
     def hits(self) -> DataFrame:
-        # The matching pairs alone are kept; all verdicts read only them.
-        return keep(self.matrix.filter("found"))
+        """The matching (set, series) pairs, computed on the fly."""
+        return evaluate.by_series(self.profile_hits, self.profiles, self.salts)
 
     def close(self) -> None:
         """Release what was persisted since this object was made."""
         release(kept_since(self.mark))
 
+    @cached_property
+    def keyed_verdicts(self) -> DataFrame:
+        return evaluate.verdict_presence(
+            self.seqs, self.dataset, self.tmap, self.profiles, self.cells, self.profile_hits, self.salts
+        )
+
     def confusion(self) -> DataFrame:
-        return plain(evaluate.confusion_per_sequence(self.seqs, self.hits, self.dataset))
+        return plain(evaluate.confusion_per_sequence(self.seqs, self.profile_hits, self.profiles, self.dataset))
 
     def verdict_presence(self) -> DataFrame:
         """One row per (class, source series, subset); `items` names its shapelets exactly."""
-        v = evaluate.verdict_presence(self.seqs, self.dataset, self.tmap, self.salts, self.hits)
+        v = self.keyed_verdicts.drop("names", "ords")
         return plain(v.withColumn("items", items(F.get(F.split("sid", LIST, 2), 1))))
 
     def verdict_ordered(self) -> DataFrame:
@@ -221,6 +244,17 @@ def q_encode_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_series_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: the tuples of each (class, series), in long form."""
+    return encode.series_tuples(Mining(spark, sf_dir).occurring)
+
+
+def q_shapelet_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: the (series, positions) pairs of each shapelet, in long form."""
+    m = Mining(spark, sf_dir)
+    return encode.shapelet_tuples(encode.join_class_left(m.occ, m.dataset))
+
+
 @rendered
 def q_shapelet_series_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mining(spark, sf_dir).tmap.select(
@@ -241,7 +275,9 @@ def q_shapelet_series_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @rendered
 def q_pick_per_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Mining(spark, sf_dir).picks
+    m = Mining(spark, sf_dir)
+    picks = encode.pick_per_dimension(encode.occurring_only(m.keyed), F.col("T_indice"))
+    return picks.withColumnRenamed("head", "T_indice")
 
 
 def q_shapelet_name_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +306,11 @@ def q_class_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.class_sequences(Mining(spark, sf_dir).seqs)
 
 
+@rendered
+def q_class_sequence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.class_sequence_rows(Mining(spark, sf_dir).seqs)
+
+
 def q_sequence_count_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.sequence_count_by_class(Mining(spark, sf_dir).seqs)
 
@@ -321,14 +362,12 @@ def q_presence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_pivot_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapelet x series-class pivot of the number of series holding the shapelet.
     Pivot values are the fixture's classes, given explicitly (no extra pass)."""
-    classes = CLASSES
-    pivoted = Mining(spark, sf_dir).tmap.groupBy("S_class", "S_name").pivot("class_d", classes).agg(F.sum("present"))
-    return pivoted.select("S_class", "S_name", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in classes])
+    return evaluate.pivot_presence(Mining(spark, sf_dir).tmap, CLASSES)
 
 
 @rendered
 def q_sequence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Mining(spark, sf_dir).matrix.filter("found").select("S_class", "set_key", "T_name", "class_d")
+    return Mining(spark, sf_dir).hits.select("S_class", "set_key", "T_name", "class_d")
 
 
 @rendered
@@ -431,6 +470,22 @@ def q_verdict_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@rendered
+def q_verdict_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X5 with the profile column `udaf_t`, one row per (sequence, series it is found in)."""
+    m = Mining(spark, sf_dir)
+    rows = evaluate.verdict_profile(m.keyed_verdicts, evaluate.sequence_profile(m.seqs, m.hits, m.blocks))
+    return rows.select(
+        render_sequence_id(F.col("sid")).alias("sequence_id"),
+        "S_class",
+        F.col("n_shapelets").cast("bigint").alias("n_shapelets"),
+        "T_name",
+        F.array_join("window", ",").alias("udaf_t"),
+        F.col("accuracy").alias("Accuracy"),
+        join_ints("tas").alias("TAS"),
+    )
+
+
 def q_verdict_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(Mining(spark, sf_dir).verdict_presence().drop("items"))
 
@@ -490,11 +545,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "join_class_left": q_join_class_left,
     "encode_series": q_encode_series,
     "shapelet_series_map": q_shapelet_series_map,
+    "series_tuples": q_series_tuples,
+    "shapelet_tuples": q_shapelet_tuples,
     "pick_per_dimension": q_pick_per_dimension,
     "enumerate_sequences": q_enumerate_sequences,
     "order_sequence": q_order_sequence,
     "distinct_sequences": q_distinct_sequences,
     "class_sequences": q_class_sequences,
+    "class_sequence_rows": q_class_sequence_rows,
     "sequence_items": q_sequence_items,
     "shapelet_name_order": q_shapelet_name_order,
     "join_sequence_occurrence": q_join_sequence_occurrence,
@@ -512,6 +570,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "accurate_sequences": q_accurate_sequences,
     "preview_verdict": q_preview_verdict,
     "verdict_full": q_verdict_full,
+    "verdict_profile": q_verdict_profile,
     "verdict_presence": q_verdict_presence,
     "verdict_ordered": q_verdict_ordered,
     "sequence_count_by_class": q_sequence_count_by_class,

@@ -282,3 +282,68 @@ def test_queries_release_what_they_persist(spark):
         del df
     gc.collect()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_blocks_follow_the_positions_listed(spark):
+    # one far position adds few blocks, and the chain still reaches it
+    from sequin.operators import encode
+
+    far = 2_000_000_000
+    occ = [row("s1", "d1", "c", "t1", [1, far]), row("s2", "d2", "c", "t1", [5, far + 9]), row("s3", "d3", "c", "t1", [3])]
+    ds, oc = frames(spark, {"t1": "c"}, occ)
+    m = Mining.from_tables(ds, oc)
+    blocks = encode.position_blocks(m.keyed, m.dataset)
+    assert blocks.count() == 5  # two blocks for s1 and s2, s3 ends in the first
+    _, ordd = check(spark, {"t1": "c"}, occ)
+    assert ordd["c", (("d1", "s1"), ("d3", "s3"), ("d2", "s2"))][5] == [1, 3, 5]
+
+
+def test_profiles_join_series_that_agree(spark):
+    from pyspark.sql import functions as F
+
+    dataset = {f"t{i}": ("c" if i % 2 else "d") for i in range(40)}
+    occ = [row("s1", "d1", "c", t, [i, i + 3]) for i, t in enumerate(dataset)]
+    occ += [row("s2", "d2", "c", t, [] if i % 4 == 0 else [i + 1]) for i, t in enumerate(dataset)]
+    ds, oc = frames(spark, dataset, occ)
+    m = Mining.from_tables(ds, oc)
+    assert m.profiles.select("profile").distinct().count() == 2
+    assert m.profile_hits.count() == 3 + 1  # all three sets where both occur, s1 alone where s2 is vetoed
+    found = m.matrix.filter("found").groupBy("set_key").agg(F.count("*").alias("n")).collect()
+    assert sorted(r.n for r in found) == [30, 30, 40]
+    check(spark, dataset, occ)
+
+
+def test_profile_of_a_series_catalogued_twice(spark):
+    # two classes for one series: cells double in both, profiles stay apart from others
+    occ = [row("s1", "d1", "c", "t1", [1]), row("s2", "d2", "c", "t1", []), row("s1", "d1", "c", "t2", [2])]
+    _, oc = frames(spark, {"t1": "c"}, occ)
+    ds = spark.createDataFrame([("t1", "c"), ("t1", "d"), ("t2", "c")], "T_name string, class_d string")
+    m = Mining.from_tables(ds, oc)
+    assert m.profiles.select("T_name", "profile").distinct().count() == 2
+    assert m.hits.count() == 3
+
+
+def test_pivot_over_given_series(spark):
+    dataset, occ = random_case(3)
+    ds, oc = frames(spark, dataset, occ)
+    m = Mining.from_tables(ds, oc)
+    names = sorted(dataset)[:2]
+    cells = {(r.S_class, r.S_name, r.T_name): r.present for r in m.tmap.collect()}
+    rows = evaluate.pivot_presence(m.tmap, names, "T_name").collect()
+    assert len(rows) == len({k[:2] for k in cells})
+    for r in rows:
+        assert [r[n] for n in names] == [cells.get((r.S_class, r.S_name, n), 0) for n in names]
+
+
+def test_tuples_keep_lists_gain_and_repeats(spark):
+    from pyspark.sql import functions as F
+
+    from sequin.operators import encode
+
+    occ = [row("s1", "d1", "c", "t1", [4, 2]), row("s1", "d1", "c", "t1", [4, 2]), row("s1", "d1", "c", "t9", [])]
+    ds, oc = frames(spark, {"t1": "c"}, occ)
+    gained = encode.occurring_only(oc).withColumn("gain", F.lit(0.5))
+    got = {(r.T_name, r.T_indice, r.gain, r.n_rows) for r in encode.series_tuples(gained).collect()}
+    assert got == {("t1", "[4, 2]", 0.5, 2)}
+    pairs = {(r.T_name, r.T_indice, r.n_rows) for r in encode.shapelet_tuples(encode.join_class_left(oc, ds)).collect()}
+    assert pairs == {("t1", "[4, 2]", 2), (None, "[]", 1)}
