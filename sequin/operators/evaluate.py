@@ -120,11 +120,6 @@ def confusion(hit_counts: DataFrame, keys: list[str], dataset: DataFrame) -> Dat
     return out.withColumn("accuracy", ((F.col("tp") + F.col("tn")) / F.nullif(total, F.lit(0))).cast("double"))
 
 
-def hit_counts(hits: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    own = (F.col(flag)) & (F.col("class_d") == F.col("S_class"))
-    return hits.groupBy(*keys).agg(F.count_if(own).alias("tp"), F.count_if(F.col(flag)).alias("n_found"))
-
-
 def presence_confusion(seqs: DataFrame, hits: DataFrame, profiles: DataFrame, dataset: DataFrame) -> DataFrame:
     """Per name set: tp, fn, fp, tn, accuracy (presence). A profile counts once, with
     the number of its series."""
@@ -358,7 +353,7 @@ def ordered_match(
             "S_class", "names", "n_steps", prefix.alias("prefix"), F.element_at(names, -1).alias("S_name")
         )
     )
-    rounds = orders.agg(F.max("n_steps")).first()[0] or 0
+    rounds = longest(orders)
     cells = tmap.filter("present = 1 AND vetoed = 0").select("S_class", "S_name", "T_name", "class_d", "pmin")
     lookup = blocks.join(cells.select("S_class", "S_name", "T_name"), ["S_class", "S_name", "T_name"], "left_semi")
     columns = ["S_class", "names", "n_steps", "T_name", "class_d", "cur", "tas"]
@@ -385,20 +380,26 @@ def ordered_match(
         # read by the next round and by the result; a long chain's lineage is cut in the shared folder
         state = grown.checkpoint() if k % checkpoint_every == 0 else keep(grown)
         matches = matches.unionByName(state)
-    return matches.drop("cur").withColumn("found", F.lit(True))
-
-
-def combine_tas(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """A9 (ordered): position-wise max of the chains of matched own-class series."""
-    own = matches.filter(F.col("found") & (F.col("class_d") == F.col("S_class")))
-    per_pos = (
-        own.select(*keys, F.posexplode("tas").alias("i", "p"))
-        .groupBy(*keys, "i")
-        .agg(F.max("p").alias("p"), F.count(F.lit(1)).alias("n"))
-    )
-    return per_pos.groupBy(*keys).agg(
-        F.max("n").alias("n_tp"),
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("tas"),
+    return matches.drop("cur")
+
+
+def longest(seqs: DataFrame) -> int:
+    """Steps of the longest sequence (at most the number of dimensions)."""
+    return seqs.agg(F.max("n_steps")).first()[0] or 0
+
+
+def combine_tas(matches: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """A9 (ordered): position-wise max of the chains of matched own-class series, with
+    the numbers of matches of the own class (`tp`) and of all (`n_found`). `width`:
+    steps of the longest sequence. One maximum for each step, so a hash aggregation
+    with a partial step that neither explodes nor gathers the chains."""
+    own = F.col("class_d") == F.col("S_class")
+    steps = [F.max(F.when(own, F.get("tas", F.lit(i)))).alias(f"_{i}") for i in range(width)]
+    return matches.groupBy(*keys).agg(F.count_if(own).alias("tp"), F.count(F.lit(1)).alias("n_found"), *steps).select(
+        *keys,
+        "tp",
+        "n_found",
+        F.filter(F.array(*[f"_{i}" for i in range(width)]).cast("array<bigint>"), lambda p: p.isNotNull()).alias("tas"),
     )
 
 
@@ -406,26 +407,12 @@ def verdict_ordered(
     seqs: DataFrame, dataset: DataFrame, tmap: DataFrame, blocks: DataFrame, salts: int | None = None
 ) -> DataFrame:
     """One verdict per (S_class, ordered names)."""
-    matches = ordered_match(seqs, tmap, blocks, salts)
     keys = ["S_class", "names"]
-    oseqs = ordered_sequences(seqs).select(*keys, "n_steps")
-    counts = oseqs.join(hit_counts(matches, keys, "found"), keys, "left").fillna(0, ["tp", "n_found"])
-    conf = confusion(counts, keys, dataset)
-    tas = combine_tas(matches, keys)
-    return (
-        oseqs.join(conf, keys)
-        .join(tas, keys, "left")
-        .select(
-            "S_class",
-            "names",
-            "n_steps",
-            "tp",
-            "fn",
-            "fp",
-            "tn",
-            "accuracy",
-            F.coalesce("tas", F.array().cast("array<bigint>")).alias("tas"),
-        )
+    combined = combine_tas(ordered_match(seqs, tmap, blocks, salts), keys, longest(seqs))
+    counts = ordered_sequences(seqs).select(*keys, "n_steps").join(combined, keys, "left").fillna(0, ["tp", "n_found"])
+    none = F.array().cast("array<bigint>")
+    return confusion(counts.withColumn("tas", F.coalesce("tas", none)), [*keys, "n_steps", "tas"], dataset).select(
+        *keys, "n_steps", "tp", "fn", "fp", "tn", "accuracy", "tas"
     )
 
 

@@ -400,13 +400,14 @@ def q_tas_first_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @rendered
 def q_tas_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    combined = evaluate.combine_tas(Mining(spark, sf_dir).ordered_matches(), ["S_class", "names"])
-    return _text(combined.select("S_class", "names", F.col("n_tp").cast("bigint"), "tas"))
+    m = Mining(spark, sf_dir)
+    combined = evaluate.combine_tas(m.ordered_matches(), ["S_class", "names"], evaluate.longest(m.seqs)).filter("tp > 0")
+    return _text(combined.select("S_class", "names", F.col("tp").cast("bigint").alias("n_tp"), "tas"))
 
 
 @rendered
 def q_ordered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = Mining(spark, sf_dir).ordered_matches().filter("found")
+    matches = Mining(spark, sf_dir).ordered_matches()
     return _text(matches.select("S_class", "names", "T_name", "class_d", "tas"))
 
 
