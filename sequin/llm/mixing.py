@@ -10,7 +10,10 @@
   blocks of ``block`` words, at its target the last time.
 * Schedule: slot n is the point ``n * phi mod 1`` (in whole numbers modulo
   2^31). The point falls into one source's share of the cumulative targets; the
-  slot's rank among the source's slots is the number of the block it takes.
+  slot's rank among the source's slots is the number of the block it takes. The
+  points deal slots by share, to within a few: the last blocks of a source that
+  its points do not reach, and all blocks of a source too small for any, take
+  slots numbered on after the schedule, so that every source meets its target.
 * Slots join blocks on (source, block). Running sums and ranks work in chunks
   (of the hash, of the slot numbers), so no source is one task's work.
 
@@ -103,11 +106,23 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
 
 
 def slot_count(total: int, sources: int, block: int = BLOCK) -> int:
-    """Slots to draw: a twentieth and 32 a source more than the blocks, so that none is left out;
+    """Slots to draw: a twentieth and 32 a source more than the blocks, so that few are left to ``missing``;
     slots beyond a source's last block find no block."""
     return -(-total * 21 // (20 * block)) + 32 * sources
 
 
+def missing(slots: DataFrame, shares: DataFrame, first: int, block: int = BLOCK) -> DataFrame:
+    """n, source, block: the blocks that a source's target has beyond its slots, numbered on from ``first``."""
+    got = slots.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("got"))
+    need = shares.select("source", F.ceil(F.floor(F.col("target") + 0.5) / block).alias("need"))
+    met = need.join(got, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "need", F.coalesce("got", F.lit(0)).alias("got"))
+    # one short row a source, as in targets
+    before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    short = met.filter("got < need").withColumn("base", F.coalesce(F.sum(F.col("need") - F.col("got")).over(before), F.lit(0)))
+    each = short.withColumn("block", F.explode(F.sequence("got", F.col("need") - 1)))
+    return each.select((F.lit(first) + F.col("base") + F.col("block") - F.col("got")).alias("n"), "source", "block")
+
+
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, seed: int = 1, max_passes: int = MAX_PASSES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix as (documents, targets, pieces).
 
@@ -118,7 +133,9 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     placed = stored(streams(stored(sizes(docs, id, text, source, seed), "op1-sizes")), "op1-streams")
     shares = stored(targets(placed, weights, max_passes), "op1-targets")
     total = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
-    slots = schedule(shares, slot_count(total[0], total[1], block) if total[0] else 0)
+    count = slot_count(total[0], total[1], block) if total[0] else 0
+    slots = stored(schedule(shares, count), "op1-slots")
+    slots = slots.unionByName(missing(slots, shares, count, block))
     # the share of a source is one row a source; every document meets the row of its own source
     goals = shares.select(F.col("source").alias("_s"), "source_size", F.floor(F.col("target") + 0.5).alias("goal"))
     used = placed.filter("size > 0").join(goals, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")

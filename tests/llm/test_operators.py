@@ -210,6 +210,24 @@ def test_mix(spark):
     assert counts == +want
 
 
+def test_mix_leaves_no_small_source_out(spark):
+    """One hot source beside sources of 10 to 1,000 words: each takes its target, to the word."""
+    sizes = [10, 20, 40, 60, 80, 100, 130, 160, 200, 230, 256, 257, 300, 400, 500, 512, 600, 700, 800, 1000]
+    rows = [(i, said(5_000, i), "en", "hot") for i in range(80)]
+    for k, size in enumerate(sizes):
+        whole = said(size, 1000 + k).split()
+        rows += [(1000 + 100 * k + i, " ".join(whole[i * 50 : (i + 1) * 50]), "en", f"tiny{k:02}") for i in range(-(-size // 50))]
+    table = docs(spark, rows)
+    placed, shares, pieces = mixing.mix(table)
+    sums = {r.source: r.words for r in mixing.taken(placed, shares, pieces).groupBy("source").agg(F.sum("taken").alias("words")).collect()}
+    want = {r.source: math.floor(r.target + 0.5) for r in shares.collect()}
+    assert len(want) == 1 + len(sizes) and all(0 < want[f"tiny{k:02}"] <= 3 * n for k, n in enumerate(sizes))
+    assert sums == want
+    # a slot takes one block of one source, and a block one slot
+    slots = pieces.select("n", "source", "block").distinct()
+    assert slots.count() == slots.select("n").distinct().count() == slots.select("source", "block").distinct().count()
+
+
 # --- 5 -------------------------------------------------------------------------------
 
 
