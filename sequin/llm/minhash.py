@@ -1,14 +1,16 @@
 """Operator 2, near-duplicates by MinHash and a multi-index Hamming join.
 
 A document is its set of distinct 5-word shingles (A-Z lower-cased; a shorter
-text is one shingle). Documents with 100 * |A and B| >= 85 * |A or B| are linked
-and the smallest id of a connected component stays.
+text is one shingle). Documents with 100 * |A and B| >= percent * |A or B| are
+linked and the smallest id of a connected component stays. ``percent`` is 85 for
+the query op2 and the pipeline's stage. Figures below are for 85.
 
 * Equal sets are one class from the start, so copies are never paired.
 * A class has a signature of ``SYMBOLS`` minima of ``b`` = 16 bits each; the
   distance of two signatures is the number of symbols that differ. At the
   threshold a symbol differs with probability 0.15; more than ``RADIUS`` = 23 of
-  64 differ with probability 5e-6.
+  64 differ with probability 9e-6. ``chunks_for`` takes the least radius that
+  leaves out at most 1e-5: at 80 it is 29, by 15 chunks, and leaves out 1.2e-6.
 * Multi-index join: signatures are split into ``CHUNKS`` = 12 chunks. By
   pigeonhole, of 23 errors some chunk has at most one (12 * 2 > 23). Allowed
   chunk errors are enumerated by leaving out each symbol of a chunk in turn: the
@@ -38,6 +40,7 @@ empty table gives no row.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -51,14 +54,27 @@ from . import words as W
 from .common import flat, parts, salted_lookup, stored
 
 WORDS, PERCENT = 5, 85
-SYMBOLS, CHUNKS = 64, 12
+SYMBOLS = 64
+#: Probability, at most, that a pair at the threshold lies beyond the radius.
+MISS = 1e-5
+
+
+def chunks_for(percent: int) -> int:
+    """The least number of chunks whose radius, 2 * chunks - 1, misses a pair at ``percent`` with at most ``MISS``."""
+    q = 1 - percent / 100
+    for chunks in range(1, SYMBOLS // 2 + 1):
+        if sum(math.comb(SYMBOLS, k) * q**k * (1 - q) ** (SYMBOLS - k) for k in range(2 * chunks, SYMBOLS + 1)) <= MISS:
+            return chunks
+    raise ValueError(f"{SYMBOLS} symbols cannot find pairs at {percent} %")
+
+
+CHUNKS = chunks_for(PERCENT)
 RADIUS = 2 * CHUNKS - 1
 _U = np.uint64
 
 _odd = W.mix(np.arange(1, SYMBOLS + 1, dtype=_U) * _U(0xA24BAED4963EE407))
 _MULTIPLY = (_odd >> _U(32)).astype(np.uint32) | np.uint32(1)
 _ADD = _odd.astype(np.uint32)
-_CHUNK_OF = np.arange(SYMBOLS) * CHUNKS // SYMBOLS
 #: Counters of shingles by which rarity is judged (4 MB).
 COUNTERS = 1 << 20
 
@@ -98,13 +114,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
+def chunk_keys(signatures: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
     """For each row of symbols its ``SYMBOLS`` keys: the chunk without one symbol."""
+    chunk_of = np.arange(SYMBOLS) * chunks // SYMBOLS
     place = W.mix(np.arange(SYMBOLS, dtype=_U) + _U(77))
     each = W.mix(signatures.astype(_U) + place)
-    whole = np.zeros((len(signatures), CHUNKS), _U)
-    np.add.at(whole, (slice(None), _CHUNK_OF), each)
-    return W.mix((whole[:, _CHUNK_OF] - each) ^ place)
+    whole = np.zeros((len(signatures), chunks), _U)
+    np.add.at(whole, (slice(None), chunk_of), each)
+    return W.mix((whole[:, chunk_of] - each) ^ place)
 
 
 def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
@@ -132,7 +149,7 @@ def signatures(docs: DataFrame, id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([rows.schema["id"], *more]))
 
 
-def keys(classes: DataFrame) -> DataFrame:
+def keys(classes: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     """key, node: the multi-index entries of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +157,7 @@ def keys(classes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-                key = chunk_keys(sig).view(np.int64).ravel()
+                key = chunk_keys(sig, chunks).view(np.int64).ravel()
                 node = np.repeat(part.column("node").to_numpy(), SYMBOLS)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
 
@@ -167,22 +184,23 @@ def _sets(docs: DataFrame, needed: DataFrame, id: str, text: str) -> DataFrame:
     return met.mapInArrow(run, "node long, shingles binary")
 
 
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def near(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose sizes allow a link and whose signatures are within the radius."""
+    radius = 2 * chunks_for(percent) - 1
     own = classes.select("node", "n", "sig")
     a, b = own.toDF("a", "n_a", "sig_a"), own.toDF("b", "n_b", "sig_b")
-    met = pairs.join(a, "a").join(b, "b").filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT))
+    met = pairs.join(a, "a").join(b, "b").filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sig_a", "sig_b"))
-            close = pa.array((x != y).sum(axis=1) <= RADIUS)
+            close = pa.array((x != y).sum(axis=1) <= radius)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(close), batch.column("b").filter(close)], names=["a", "b"])
 
     return met.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that are linked, by their full sets. A class in many pairs is spread over salts."""
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     met = salted_lookup(salted_lookup(pairs, left, ["a"], F.col("b"), 16), right, ["b"], F.col("a"), 16)
@@ -194,7 +212,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(batch.column(c)[i].as_py(), _U) for c in ("x", "y"))
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 both = int((x[at] == y).sum())
-                out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                out.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(out, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -224,7 +242,7 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
     return (shingles & _U(COUNTERS - 1)).astype(np.int64)
 
 
-def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """node, n, token, place: the rarest members of each set, in order; ``short`` marks those that count as the smaller set."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
@@ -233,28 +251,28 @@ def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
             for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
                 x = np.frombuffer(raw, _U)
                 n = len(x)
-                long = n - -(-PERCENT * n // 100) + 1
-                short = n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
+                long = n - -(-percent * n // 100) + 1
+                short = n - -(-2 * percent * n // (100 + percent)) + 1
                 token = x[np.lexsort((x, shared.value[_counter(x)]))[:long]].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(long, node)), pa.array(np.full(long, n)), pa.array(token), pa.array(np.arange(long) < short), pa.array(np.arange(long))], names=["node", "n", "token", "short", "place"])
 
     return sets.select("node", "shingles").mapInArrow(run, "node long, n long, token long, short boolean, place long")
 
 
-def across(open_: DataFrame, sets: DataFrame) -> DataFrame:
+def across(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of classes in different components that share a key and could have the overlap.
 
     ``open_``: node, root, keys (its keys that lie in several components).
     """
     own = sets.join(open_.select("node"), "node", "left_semi")
-    tokens = prefixes(own, rarity(own)).join(open_, "node")
+    tokens = prefixes(own, rarity(own), percent).join(open_, "node")
     held = tokens.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("token")
     tokens = stored(tokens.join(held, "token"), "op2-tokens")
     x, y = tokens.select("token", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "root", "keys", "place")]), tokens.filter("short").select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "root", "keys", "place")])
     larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") > F.col("node_y")))
-    sizes = F.col("n_y") * 100 >= F.col("n_x") * PERCENT
+    sizes = F.col("n_y") * 100 >= F.col("n_x") * percent
     # from their first common member on, the sets must have room for the overlap
-    room = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) * (100 + PERCENT) >= (F.col("n_x") + F.col("n_y")) * PERCENT
+    room = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
     met = x.join(y, (x["token"] == y["token"]) & (F.col("root_x") != F.col("root_y")) & larger & sizes & room & F.arrays_overlap("keys_x", "keys_y"))
     return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
@@ -280,14 +298,14 @@ def components(links: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).join(roots.select("node"), "node", "left_anti").distinct())
 
 
-def decisions(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def decisions(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     signed = stored(signatures(docs, id, text), "op2-signatures")
     classes = stored(
         signed.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()),
         "op2-classes",
     )
-    entries = keys(classes)
+    entries = keys(classes, chunks_for(percent))
     many = entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     shared = stored(entries.join(many, "key"), "op2-shared")  # the keys that two classes or more have
     needed = shared.select("node").distinct().join(classes.select("node", "id", "s1", "s2"), "node")
@@ -299,7 +317,7 @@ def decisions(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     leaders = ranked.groupBy("key").agg(F.max(F.struct("popular", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
     votes = shared.select("key", "node").join(leaders, "key").filter("leader != node").groupBy("node", "leader").agg(F.count("*").alias("m"))
     first = votes.groupBy("node").agg(F.max(F.struct("m", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
-    links = stored(confirmed(near(first, classes), sets), "op2-links")
+    links = stored(confirmed(near(first, classes, percent), sets, percent), "op2-links")
     found = stored(components(links), "op2-components")
 
     # round 2: pairs within a key and between components
@@ -307,7 +325,7 @@ def decisions(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     mixed = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("key")
     # a class has at most SYMBOLS keys
     open_ = stored(placed.join(mixed, "key").groupBy("node", "root").agg(F.collect_set("key").alias("keys")), "op2-open")
-    more = stored(confirmed(near(across(open_, sets), classes), sets), "op2-links")
+    more = stored(confirmed(near(across(open_, sets, percent), classes, percent), sets, percent), "op2-links")
     roots = components(links.union(more))
 
     groups = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -319,7 +337,7 @@ def decisions(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all their columns."""
-    gone = decisions(docs, id, text).filter(~F.col("kept")).select(F.col(id).alias("_id")).distinct()
+    gone = decisions(docs, id, text, percent).filter(~F.col("kept")).select(F.col(id).alias("_id")).distinct()
     return docs.join(gone, F.col(id) == F.col("_id"), "left_anti")

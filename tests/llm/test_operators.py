@@ -153,6 +153,37 @@ def test_keys_meet_whatever_the_errors():
     assert not any(set(x) & set(y) for x, y in zip(a.tolist(), np.roll(b, 1, axis=0).tolist(), strict=True))
 
 
+def test_near_dedup_at_80_percent(spark):
+    """Pairs between 80 and 85 % are near copies at 80 alone."""
+    rows, share = [], {}
+    for g in range(30):
+        base = said(150, 300 + g).split()
+        text = base[:]
+        for k in range(1 + g % 6):  # each edit costs five shingles of 146
+            text[20 * k + 10] = f"new{g}x{k}"
+        rows += [(10 * g, " ".join(base), "en", "s"), (10 * g + 1, " ".join(text), "en", "s")]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        share[10 * g + 1] = 100 * len(a & b) / len(a | b)
+    table = docs(spark, rows)
+    assert sum(80 <= s < 85 for s in share.values()) >= 5 and sum(s < 80 for s in share.values()) >= 5
+    for percent in (80, 85):
+        gone = {r.doc_id for r in minhash.decisions(table, percent=percent).collect() if not r.kept}
+        assert gone == {i for i, s in share.items() if s >= percent}
+        assert {r.doc_id for r in minhash.keep(table, percent=percent).collect()} == {r[0] for r in rows} - gone
+
+
+def test_radius_and_keys_follow_the_percent():
+    assert [minhash.chunks_for(p) for p in (80, 85)] == [15, 12] and minhash.chunks_for(85) == minhash.CHUNKS
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 1 << 16, (300, minhash.SYMBOLS), dtype=np.uint16)
+    other = sig.copy()
+    for row in other:
+        at = rng.choice(minhash.SYMBOLS, 29, replace=False)
+        row[at] ^= rng.integers(1, 1 << 16, len(at), dtype=np.uint16)
+    a, b = minhash.chunk_keys(sig, 15), minhash.chunk_keys(other, 15)
+    assert all(set(x) & set(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_a_group_of_thousands_stays_linear(spark):
     base = said(150, 9).split()
     rows = [(0, " ".join(base), "en", "s")]
