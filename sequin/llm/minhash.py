@@ -34,8 +34,9 @@ sets are kept, in the shared folder, for the rounds.
 
 Edge cases: a null text, or one without words, has no shingle, links with
 nothing and is its own component; a null id never is the smallest, and ``keep``
-drops no row of null id; rows that repeat id and text belong to one class; an
-empty table gives no row.
+drops no row of null id; rows that repeat id and text belong to one class; of an
+id with several texts ``keep`` drops those that are near copies, not the others;
+an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -132,7 +133,7 @@ def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """id, n (set size), s1, s2 (hash of the set), sig."""
+    """id, t (hash of the text: with the id, the row), n (set size), s1, s2 (hash of the set), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text"):
@@ -140,12 +141,12 @@ def signatures(docs: DataFrame, id: str, text: str) -> DataFrame:
             hashed = [_set_hash(s) for s in sets]
             sig = [signature(s).tobytes() if len(s) else b"" for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array([x for x, _ in hashed], pa.int64()), pa.array([x for _, x in hashed], pa.int64()), pa.array(sig, pa.binary())],
-                names=["id", "n", "s1", "s2", "sig"],
+                [batch.column("id"), batch.column("t"), pa.array(list(map(len, sets)), pa.int64()), pa.array([x for x, _ in hashed], pa.int64()), pa.array([x for _, x in hashed], pa.int64()), pa.array(sig, pa.binary())],
+                names=["id", "t", "n", "s1", "s2", "sig"],
             )
 
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    more = [T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("sig", T.BinaryType())]
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
+    more = [T.StructField("t", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("sig", T.BinaryType())]
     return rows.mapInArrow(run, T.StructType([rows.schema["id"], *more]))
 
 
@@ -300,6 +301,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def decisions(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
+    return _decided(docs, id, text, percent).drop("_t")
+
+
+def _decided(docs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
+    """The decisions with ``_t``, the hash of the text."""
     signed = stored(signatures(docs, id, text), "op2-signatures")
     classes = stored(
         signed.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()),
@@ -331,13 +337,13 @@ def decisions(docs: DataFrame, id: str = "doc_id", text: str = "text", percent:
     groups = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = groups.groupBy("root").agg(F.min("id").alias("component_id"))
     named = groups.select("s1", "s2", "root").join(least, "root").select("s1", "s2", "component_id")
-    linked = salted_lookup(signed.filter("n > 0"), named, ["s1", "s2"], F.col("id")).select("id", "n", "component_id")
-    alone = signed.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    linked = salted_lookup(signed.filter("n > 0"), named, ["s1", "s2"], F.col("id")).select("id", "t", "n", "component_id")
+    alone = signed.filter("n = 0").select("id", "t", "n", F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("t").alias("_t"))
 
 
 def keep(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all their columns."""
-    gone = decisions(docs, id, text, percent).filter(~F.col("kept")).select(F.col(id).alias("_id")).distinct()
-    return docs.join(gone, F.col(id) == F.col("_id"), "left_anti")
+    gone = _decided(docs, id, text, percent).filter(~F.col("kept")).select(F.col(id).alias("_id"), "_t").distinct()
+    return docs.join(gone, (F.col(id) == F.col("_id")) & (F.xxhash64(text) == F.col("_t")), "left_anti")

@@ -153,6 +153,13 @@ def test_keys_meet_whatever_the_errors():
     assert not any(set(x) & set(y) for x, y in zip(a.tolist(), np.roll(b, 1, axis=0).tolist(), strict=True))
 
 
+def test_an_id_of_two_texts_loses_only_the_copy(spark):
+    one, two = said(60, 401), said(60, 402)
+    rows = [(1, one, "en", "s"), (5, one + " more", "en", "s"), (5, two, "en", "s"), (6, None, "en", "s")]
+    left = minhash.keep(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in left) == [(1, one), (5, two), (6, "")]
+
+
 def test_near_dedup_at_80_percent(spark):
     """Pairs between 80 and 85 % are near copies at 80 alone."""
     rows, share = [], {}
