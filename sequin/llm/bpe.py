@@ -12,7 +12,8 @@ Whether a token starts at a character is a table of (state before, class).
 The slices between starts go through a cache of merged pieces (bounded, emptied
 when full), misses through pair merging by rank with a heap, which gives the
 same merges as a scan for the lowest rank. ``encode`` keeps the tokens' byte
-offsets; ``decode`` joins the tokens' bytes and needs nothing else.
+offsets if asked for, ``digests`` makes none; ``decode`` joins the tokens' bytes
+and needs nothing else.
 
 Edge cases: a null or empty text has no token and decodes to nothing; special
 tokens are ordinary text; any text decodes to its own UTF-8 bytes. Extra columns
