@@ -111,6 +111,94 @@ select page_id, payload_bytes, sha1(h) as payload_digest,
 from p join g using (h)
 """
 
+
+def _least(*options: str) -> str:
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _edit(state: str, letter: str, cost: str, role: str | None, text: str = "''") -> str:
+    said = f"{state}.o || chr(10) || {role} || ':' || {text}" if role else f"{state}.o"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'o': {said}}}"
+
+
+def _if(condition: str, option: str) -> str:
+    return f"case when {condition} then {option} else {_FAR} end"
+
+
+_FAR = "{'c': 1000000000000::bigint, 'a': '', 'o': ''}"
+_MORE = "(case when fault = 1 then 3 else 0 end)"
+_USER, _ASSISTANT = "'user'", "'assistant'"
+_keep = lambda state: _edit(state, "K", _MORE, "role", "text")
+_rerole = lambda state, role: _edit(state, "R", f"3 + {_MORE}", role, "text")
+_insert = lambda state, role: _edit(state, "I", "3", role)
+_delete = lambda state: _edit(state, "D", "4", None)
+
+# Forwards, row by row: for each state the least (cost, audit) that reaches it.
+_OP11 = rf"""
+with recursive
+bytes as (select list_transform(range(256), lambda i: list_reduce(list_concat([i::bigint], range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384::bigint, c >> 1) else c >> 1 end)) as t),
+k as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+h as (
+  select k.* exclude (key), xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(key, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 as kind
+  from k, bytes),
+d as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case kind when 3 then 2 else 1 end)) as copy
+  from h where kind <> 0),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as rn from d),
+f as (
+  select *, left(role, 1) as i, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, row_number() over (partition by conv_id, role, text order by rn) > 1 as again,
+    not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') as cut, lag(left(role, 1)) over (partition by conv_id order by rn) || left(role, 1) as pair from n),
+r as materialized (
+  select conv_id, rn, role, text, i, case when blank or again then 2 when cut then 1 else 0 end as fault from f),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (blank) as blank, count(*) filter (again and not blank) as duplicate,
+    count(*) filter (cut and not again and not blank) as truncated, count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal, max(rn) as n from f group by conv_id),
+dp as (
+  select conv_id, 0::bigint as rn, {{'c': 0::bigint, 'a': '', 'o': ''}} as s0, {_FAR} as s1, {_FAR} as s2, {_FAR} as s3 from counts
+  union all
+  select x.conv_id, x.rn, {_delete('s0')}, {_least(_delete('s1'), _if("fault < 2 and i = 's'", _keep('s0')))},
+    {_least(_delete('u'), *[_if("fault < 2 and i = 'u'", _keep(s)) for s in ('s0', 's1', 'a')], *[_if('fault < 2', _rerole(s, _USER)) for s in ('s0', 's1', 'a')])},
+    {_least(_delete('a'), _if("fault < 2 and i = 'a'", _keep('u')), _if('fault < 2', _rerole('u', _ASSISTANT)))}
+  from (
+    select r.conv_id, r.rn, role, text, i, fault, s0, s1, u1 as u, {_least('a1', _insert('u1', _ASSISTANT))} as a from (
+      select dp.conv_id, dp.rn, s0, s1, {_least('s2', _insert('s0', _USER), _insert('s1', _USER), _insert('s3', _USER))} as u1, {_least('s3', _insert('s2', _ASSISTANT))} as a1 from dp) y
+    join r on r.conv_id is not distinct from y.conv_id and r.rn = y.rn + 1) x),
+e as (
+  select counts.*, {_least('s0', 's3', _insert('s2', _ASSISTANT))} as best from dp join counts on counts.conv_id is not distinct from dp.conv_id and counts.n = dp.rn)
+select i.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(coalesce(substr(best.o, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) i left join e on e.conv_id is not distinct from i.conv_id
+"""
+
+
+def _op12(rounds: int = 6) -> str:
+    far = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} as materialized (
+  select p.id, p.part, arg_min(b.e, {far}::hugeint * 16 + b.e) as e, min({far})::bigint as far from p join b{r} b using (part) group by all)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} as (
+  select part, e, list((s - ((s % n) + n) % n) // n order by pos) as x from (
+    select part, e, pos, sum(c)::bigint as s, count(*)::bigint as n from (select a.part, a.e, generate_subscripts(p.x, 1) as pos, unnest(p.x) as c from a{r} a join p using (id, part)) group by all) group by all),
+b{r + 1} as materialized (select b.part, b.e, coalesce(m.x, b.x) as x from b{r} b left join m{r} m using (part, e))""")
+    return f"""
+with k as materialized (
+  select row_number() over (order by vec_id nulls last, embedding) - 1 as id, vec_id, label, list_transform(embedding, lambda c: floor(4096 * c::double)::bigint) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+p as materialized (select id, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] as x from k, range(8) as t(part)),
+b0 as materialized (select part, id as e, x from p where id < 16), {','.join(steps)},
+codes as (select id, string_agg(printf('%02x', e::int), '' order by part) as code, sum(far)::bigint as error from a{rounds} group by id)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+  (select sha256(string_agg(array_to_string(x, ','), ',' order by part, e)) from b{rounds}) as codebooks_sha256
+from codes join k using (id)
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_mix_sources": _OP1,
     "op2_minhash_near_dedup": _OP2,
@@ -118,4 +206,6 @@ ORACLE: dict[str, str] = {
     "op7_line_windows": _OP7,
     "op9_exact_dedup": _OP9,
     "op10_warc": _OP10,
+    "op11_repair_turns": _OP11,
+    "op12_vector_codes": _op12(),
 }

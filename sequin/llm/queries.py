@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ecoc, exact_dedup, kneser_ney, line_crf, line_windows, minhash, mixing, warc
+from . import bpe, chat, ecoc, exact_dedup, kneser_ney, line_crf, line_windows, minhash, mixing, turn_repair, vector_codes, warc, wavelet
 from .common import id_mod, stored, table
 
 
@@ -17,6 +17,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def word_vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.taken(*mixing.mix(table(spark, sf_dir, "documents")))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
@@ -92,6 +98,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.faults(turn_repair.damage(table(spark, sf_dir, "conversations"))))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wavelet.round_trip(table(spark, sf_dir, "documents"), word_vocabulary_path())
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 # --- the pipeline's stages: (spark, docs, sf_dir) to documents, the last to tokens ------
 
 
@@ -125,5 +144,5 @@ def run_stages(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Callabl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_minhash_near_dedup, op3_kneser_ney, op4_quality_rules, op5_chat_format, op6_byte_bpe, op7_line_windows, op8_language_id, op9_exact_dedup, op10_warc)
+    for f in (op1_mix_sources, op2_minhash_near_dedup, op3_kneser_ney, op4_quality_rules, op5_chat_format, op6_byte_bpe, op7_line_windows, op8_language_id, op9_exact_dedup, op10_warc, op11_repair_turns, op12_vector_codes, op13_wavelet_shards)
 }

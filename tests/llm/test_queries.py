@@ -24,7 +24,7 @@ def _rows(cols, rows):
 
 
 def test_registered():
-    names = {f"op{n}_" for n in range(1, 11)}
+    names = {f"op{n}_" for n in range(1, 14)}
     assert {q.split("_")[0] + "_" for q in QUERIES} == names
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
     assert set(ORACLE) <= set(E.oracle_sql()) and "pipeline" not in E.oracle_sql()
@@ -33,7 +33,7 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_DIR}/{t}.parquet')")
     df = QUERIES[name](spark, SF_DIR)
     cur = con.execute(ORACLE[name])
