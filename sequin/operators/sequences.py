@@ -3,24 +3,64 @@ series, each ordered by position (V2-V8, A5, A10)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import LIST, sequence_id
 
-# Subset masks are made in two levels: high bits, spread over tasks, then this many low bits.
+# Subsets are made in runs of at most 2^16 from one row.
 LOW_BITS = 16
+MOST_DIMENSIONS = 62
+
+
+def _binomials(k_max: int) -> Column:
+    """C(n, k) for n to 62 and k to `k_max`, flat by n (a folded constant)."""
+    rows = [math.comb(n, k) for n in range(MOST_DIMENSIONS + 1) for k in range(k_max + 1)]
+    return F.split(F.lit(",".join(map(str, rows))), ",").cast("array<bigint>")
+
+
+def _unranked(d: Column, k: Column, rank: Column, k_max: int) -> Column:
+    """The mask of the subset of `k` among `d` picks with the given rank, in the order of
+    masks: the highest pick is the largest i with C(i, k) <= rank, and so on down."""
+    table = _binomials(k_max)
+
+    def next_pick(acc: Column, i: Column) -> Column:
+        below = F.get(table, (i * (k_max + 1) + acc["k"]).cast("int"))
+        taken = (acc["k"] > 0) & (below <= acc["rank"])
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))
+        return F.struct(
+            F.when(taken, acc["k"] - 1).otherwise(acc["k"]).alias("k"),
+            F.when(taken, acc["rank"] - below).otherwise(acc["rank"]).alias("rank"),
+            F.when(taken, acc["mask"] + bit).otherwise(acc["mask"]).alias("mask"),
+        )
+
+    start = F.struct(k.cast("int").alias("k"), rank.alias("rank"), F.lit(0).cast("bigint").alias("mask"))
+    return F.aggregate(F.sequence(d - 1, F.lit(0), F.lit(-1)), start, next_pick, lambda acc: acc["mask"])
+
+
+def _runs(ranges: DataFrame, low_bits: int) -> DataFrame:
+    """The ranges [lo, hi) cut into runs of 2^low_bits at most, level by level, so that no
+    array is longer than a run."""
+    step = 1 << 62
+    while step > 1 << low_bits:
+        step = max(step >> low_bits, 1 << low_bits)
+        ranges = ranges.filter("lo < hi").withColumn("lo", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(step))))
+        ranges = ranges.withColumn("hi", F.least("hi", F.col("lo") + step))
+    return ranges
 
 
 def enumerate_sequences(picks: DataFrame, max_len: int | None = None, low_bits: int = LOW_BITS) -> DataFrame:
     """V2/V3/V4: one row per (S_class, source T_name, subset of picks).
 
     The picks of a series (at most one per dimension) are gathered into a sorted
-    array, each subset is a bit mask (BIGINT) over it. Masks stream out of two
-    `explode`s: the bits above `low_bits` first, whose rows are dealt out over the
-    tasks, then the low bits; `filter` keeps the chosen picks, in (order, name)
-    order. Any number of dimensions up to 62 works; `max_len` optionally keeps
-    subsets of at most that size and cuts the high level, too.
+    array, each subset is a bit mask (BIGINT) over it. The masks 1 to 2^d - 1 are
+    cut into runs of 2^`low_bits`, which are dealt out over the tasks and stream
+    out there; `filter` keeps the chosen picks, in (order, name) order. With
+    `max_len` only the subsets of at most that size are made: for each size k the
+    ranks 0 to C(d, k) - 1 are cut into runs, and a rank's subset is found from
+    binomial coefficients. Up to 62 dimensions; more are an error.
 
     Columns: S_class, T_name, mask, steps array<struct<ord, S_name, S_dimension,
     head>>, n_steps, names (shapelet keys in order), ords, set_key (keys
@@ -28,15 +68,19 @@ def enumerate_sequences(picks: DataFrame, max_len: int | None = None, low_bits:
     """
     step = F.struct("ord", "S_name", "S_dimension", "head")
     per_series = picks.groupBy("S_class", "T_name").agg(F.array_sort(F.collect_list(step)).alias("picks"))
-    high = F.expr(f"sequence(0L, shiftleft(1L, greatest(size(picks) - {low_bits}, 0)) - 1)")
-    low = F.expr(f"sequence(0L, shiftleft(1L, least(size(picks), {low_bits})) - 1)")
-    seqs = per_series.select("S_class", "T_name", "picks", F.explode(high).alias("high"))
-    if max_len is not None:
-        seqs = seqs.filter(F.bit_count("high") <= max_len)
-    seqs = seqs.repartition("S_class", "T_name", "high").withColumn("low", F.explode(low))
-    seqs = seqs.withColumn("mask", F.expr(f"shiftleft(high, {low_bits}) + low")).filter("mask > 0").drop("high", "low")
+    wide = F.raise_error(F.concat(F.lit(f"more than {MOST_DIMENSIONS} dimensions in series "), F.coalesce("T_name", F.lit("(null)"))))
+    d = F.when(F.size("picks") > MOST_DIMENSIONS, wide.cast("int")).otherwise(F.size("picks"))
+    ranges = per_series.select("S_class", "T_name", "picks", d.alias("d"))
+    if max_len is None:
+        ranges = ranges.select("*", F.lit(0).alias("k"), F.lit(1).cast("bigint").alias("lo"), F.expr("shiftleft(1L, d)").alias("hi"))
+    else:
+        k_max = max(1, min(max_len, MOST_DIMENSIONS))
+        ranges = ranges.withColumn("k", F.explode(F.sequence(F.lit(1), F.least("d", F.lit(k_max))))).filter(F.lit(max_len) > 0)
+        ranges = ranges.select("*", F.lit(0).cast("bigint").alias("lo"), F.get(_binomials(k_max), F.col("d") * (k_max + 1) + F.col("k")).alias("hi"))
+    runs = _runs(ranges, low_bits).repartition("S_class", "T_name", "k", "lo")
+    seqs = runs.withColumn("mask", F.explode(F.sequence("lo", F.col("hi") - 1)))
     if max_len is not None:
-        seqs = seqs.filter(F.bit_count("mask") <= max_len)
+        seqs = seqs.withColumn("mask", _unranked(F.col("d"), F.col("k"), F.col("mask"), k_max))
     chosen = F.expr("filter(picks, (x, i) -> (shiftright(mask, i) & 1) = 1)")
     seqs = seqs.select("S_class", "T_name", "mask", chosen.alias("steps"))
     names = F.transform("steps", lambda x: x["S_name"])

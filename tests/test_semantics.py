@@ -1,5 +1,6 @@
 """Verdicts against the plain-Python model on hand-made and random inputs."""
 
+import itertools
 import random
 
 import pytest
@@ -165,6 +166,38 @@ def test_many_dimensions(spark):
     assert sequences.enumerate_sequences(m.picks, max_len=2).count() == 25 + 300
 
 
+@pytest.mark.parametrize("d,max_len,rows", [(50, 2, 1275), (62, 2, 1953), (62, 1, 62), (3, 9, 7), (3, 0, 0), (20, 19, 2**20 - 2)])
+def test_short_subsets_of_wide_series(spark, d, max_len, rows):
+    occ = [row(f"s{k:02}", f"d{k}", "c", "t1", [k]) for k in range(d)]
+    ds, oc = frames(spark, {"t1": "c"}, occ)
+    m = Mining.from_tables(ds, oc)
+    got = sequences.enumerate_sequences(m.picks, max_len=max_len, low_bits=16 if rows > 9999 else 3).select("mask", "names")
+    if rows > 9999:
+        assert got.distinct().count() == rows
+        return
+    got = plain(got).collect()
+    want = {sum(1 << k for k in c) for n in range(1, min(d, max_len) + 1) for c in itertools.combinations(range(d), n)}
+    assert len(got) == rows and {r["mask"] for r in got} == want
+    assert all(r.names == ">".join(f"s{k:02}" for k in range(d) if r["mask"] >> k & 1) for r in got)
+
+
+def test_a_series_of_too_many_dimensions_is_an_error(spark):
+    occ = [row(f"s{k}", f"d{k}", "c", "t1", [k]) for k in range(63)]
+    ds, oc = frames(spark, {"t1": "c"}, occ)
+    with pytest.raises(Exception, match="more than 62 dimensions in series t1"):
+        sequences.enumerate_sequences(Mining.from_tables(ds, oc).picks, max_len=2).collect()
+
+
+def test_no_row_holds_more_than_a_run(spark):
+    from pyspark.sql import functions as F
+
+    wide = spark.createDataFrame([(0, 1 << 22)], "lo bigint, hi bigint")
+    runs = sequences._runs(wide, 8)
+    got = runs.agg(F.count("*"), F.max(F.expr("hi - lo")), F.sum(F.expr("hi - lo")), F.min("lo"), F.max("hi")).first()
+    assert tuple(got) == (1 << 14, 256, 1 << 22, 0, 1 << 22)
+    assert {len(r.s) for r in wide.select(F.expr("sequence(lo, hi - 1, shiftleft(1L, 14))").alias("s")).collect()} == {256}
+
+
 SHARED_NAMES = [
     row("s1", "d1", "c", "t1", [0]),
     row("s1", "d2", "c", "t1", [2]),
