@@ -185,6 +185,16 @@ vo AS (
 )
 """
 
+# Series of a class whose cells agree, named by the smallest of them.
+_PROFILES = """
+, prof AS (
+  SELECT S_class, min(T_name) AS profile, count(*) AS n_series
+  FROM (SELECT S_class, T_name, string_agg(S_name || ':' || S_dimension || ':' || present || vetoed, ';' ORDER BY S_name, S_dimension) AS cells
+        FROM tmap GROUP BY S_class, T_name) q
+  GROUP BY S_class, cells
+)
+"""
+
 BODIES: dict[str, str] = {
     "src_dataset": "SELECT T_name, class_d FROM dataset",
     "src_occurrences": """
@@ -258,6 +268,18 @@ BODIES: dict[str, str] = {
             SELECT S_class, S_name, count(*) AS n_series, sum(present) AS n_present, sum(vetoed) AS n_vetoed
             FROM tmap GROUP BY S_class, S_name) m
           ON m.S_class = i.S_class AND m.S_name = i.S_name""",
+    "join_sequence_occurrence_cells": _PROFILES
+    + """
+        SELECT i.S_class, i.S_name AS shapelet_name, i.ord AS shapelet_order, p.profile, t.present, t.vetoed,
+               CAST(i.n_items AS BIGINT) AS n_items, CAST(coalesce(p.n_series, 0) AS BIGINT) AS n_series,
+               CAST(i.n_items * greatest(coalesce(p.n_series, 0), 1) AS BIGINT) AS n_flat
+        FROM (SELECT S_class, S_name, ord, count(*) AS n_items FROM seq_item GROUP BY ALL) i
+        LEFT JOIN (tmap t JOIN prof p ON p.S_class = t.S_class AND p.profile = t.T_name)
+          ON t.S_class = i.S_class AND t.S_name = i.S_name""",
+    "join_sequence_occurrence_rows": """
+        SELECT i.S_class, i.S_name AS shapelet_name, i.ord AS shapelet_order, o.T_name, o.T_indice, CAST(i.n_items AS BIGINT) AS n_items
+        FROM (SELECT S_class, S_name, ord, count(*) AS n_items FROM seq_item GROUP BY ALL) i
+        LEFT JOIN (SELECT o.* FROM occ o JOIN dataset d ON d.T_name = o.T_name) o ON o.S_class = i.S_class AND o.S_name = i.S_name""",
     "presence_matrix": """
         SELECT S_class, set_key, set_size, T_name, class_d, n_present, any_veto,
                CAST(found AS INTEGER) AS found, CAST(complete AS INTEGER) AS complete
@@ -272,6 +294,29 @@ BODIES: dict[str, str] = {
         FROM (SELECT S_class, names, ords, n_steps, T_name,
                      CAST(ord AS VARCHAR) || '_' || CAST(unnest(pos) AS VARCHAR) AS e FROM win) q
         GROUP BY S_class, names, ords, T_name""",
+    "sequence_profile_windows": _PROFILES
+    + """
+        SELECT q.S_class, q.set_key, q.profile, q.n_present, q.shape, q.marker,
+               CAST(n.n_sequences AS BIGINT) AS n_sequences, CAST(q.n_series AS BIGINT) AS n_series
+        FROM (
+          SELECT si.S_class, si.set_key, p.profile, p.n_series, CAST(sum(coalesce(t.present, 0)) AS INTEGER) AS n_present,
+                 string_agg(CASE WHEN t.vetoed = 1 THEN 'x' WHEN t.present = 1 THEN 'p' ELSE '-' END, '' ORDER BY si.S_name) AS shape,
+                 CASE WHEN max(t.vetoed) = 1 THEN 'x' ELSE '' END AS marker, count(t.T_name) AS n_cells
+          FROM set_item si JOIN prof p ON p.S_class = si.S_class
+          LEFT JOIN tmap t ON t.S_class = si.S_class AND t.S_name = si.S_name AND t.T_name = p.profile
+          GROUP BY si.S_class, si.set_key, p.profile, p.n_series) q
+        JOIN (SELECT S_class, set_key, count(*) AS n_sequences FROM seq GROUP BY ALL) n ON n.S_class = q.S_class AND n.set_key = q.set_key
+        WHERE q.n_cells > 0""",
+    "sequence_profile_vetoed": """
+        SELECT w.S_class, w.set_key, w.T_name, string_agg(w.e, ',' ORDER BY w.e) AS window
+        FROM (
+          SELECT si.S_class, si.set_key, o.T_name,
+                 unnest(CASE WHEN len(o.ix) = 0 THEN ['x'] ELSE list_transform(o.ix, lambda p: CAST(si.place AS VARCHAR) || '_' || CAST(p AS VARCHAR)) END) AS e
+          FROM (SELECT *, row_number() OVER (PARTITION BY S_class, set_key ORDER BY S_name) - 1 AS place FROM set_item) si
+          JOIN occ o ON o.S_class = si.S_class AND o.S_name = si.S_name) w
+        JOIN hit h ON h.S_class = w.S_class AND h.set_key = w.set_key AND h.T_name = w.T_name
+        WHERE h.any_veto = 1
+        GROUP BY w.S_class, w.set_key, w.T_name""",
     "sequence_hits": "SELECT S_class, set_key, T_name, class_d FROM hit WHERE found",
     "rerank_window": """
         SELECT S_class, names, ords, T_name,
@@ -299,6 +344,7 @@ BODIES: dict[str, str] = {
                CAST(coalesce(list_sum(ix), 0) AS BIGINT) AS sum_ix
         FROM occ""",
     "confusion_counts": "SELECT S_class, sid, tp, fn, fp, tn FROM vp",
+    "confusion_bitmaps": "SELECT S_class, sid, tp, fn, fp, tn FROM vp",
     "sequence_accuracy": "SELECT S_class, sid, accuracy FROM vp",
     "accurate_sequences": "SELECT S_class, sid, accuracy, tas FROM vp WHERE accuracy >= 0.8",
     "preview_verdict": """

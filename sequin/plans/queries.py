@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import entry_position, first_index, first_token, join_ints, parse_indices, render_indices
-from ..operators import encode, evaluate, sequences
+from ..operators import bitmaps, encode, evaluate, factorised, sequences
 from ..functions.identity import LIST, items, key_name, render_names, render_sequence_id, shapelet_key
 from ..session import keep, kept_count, kept_since, release, scratch_path
 from ..sources import (
@@ -122,6 +122,24 @@ class Mining:
         """The matching (set, series) pairs, computed on the fly."""
         return evaluate.by_series(self.profile_hits, self.profiles, self.salts)
 
+    @cached_property
+    def sizes(self) -> DataFrame:
+        return factorised.profile_sizes(self.profiles)
+
+    @cached_property
+    def item_cells(self) -> DataFrame:
+        """Distinct sequence items and the profile cells of their shapelets."""
+        return factorised.item_cells(factorised.distinct_items(self.seqs), self.cells, self.sizes, self.salts)
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        """Distinct sets and profiles, with the veto marker."""
+        return factorised.profile_windows(self.seqs, self.cells, self.sizes, self.salts)
+
+    @cached_property
+    def bitmap_index(self) -> DataFrame:
+        return bitmaps.shapelet_bitmaps(self.tmap, bitmaps.series_numbers(self.dataset))
+
     def close(self) -> None:
         """Release what was persisted since this object was made."""
         release(kept_since(self.mark))
@@ -343,6 +361,39 @@ def q_join_sequence_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_join_sequence_occurrence_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2, factorised: distinct items x profile cells, with the flat rows each stands for."""
+    return plain(
+        Mining(spark, sf_dir).item_cells.select(
+            "S_class",
+            F.col("S_name").alias("shapelet_name"),
+            F.col("ord").alias("shapelet_order"),
+            F.col("first_series").alias("profile"),
+            "present",
+            "vetoed",
+            F.col("n_items").cast("bigint").alias("n_items"),
+            F.col("n_series").cast("bigint").alias("n_series"),
+            (F.col("n_items") * F.greatest("n_series", F.lit(1))).cast("bigint").alias("n_flat"),
+        )
+    )
+
+
+def q_join_sequence_occurrence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2, long form: distinct items joined to their shapelet's series, expanded from the cells."""
+    m = Mining(spark, sf_dir)
+    rows = factorised.expand_items(m.item_cells, m.profiles, m.keyed, m.salts)
+    return plain(
+        rows.select(
+            "S_class",
+            F.col("S_name").alias("shapelet_name"),
+            F.col("ord").alias("shapelet_order"),
+            "T_name",
+            "T_indice",
+            F.col("n_items").cast("bigint").alias("n_items"),
+        )
+    )
+
+
 @rendered
 def q_presence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mining(spark, sf_dir).matrix.select(
@@ -384,6 +435,29 @@ def q_sequence_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@rendered
+def q_sequence_profile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 for all series, factorised: (set, profile) with the veto marker and both factors."""
+    return Mining(spark, sf_dir).windows.select(
+        "S_class",
+        "set_key",
+        F.col("first_series").alias("profile"),
+        "n_present",
+        "shape",
+        "marker",
+        F.col("n_sequences").cast("bigint").alias("n_sequences"),
+        F.col("n_series").cast("bigint").alias("n_series"),
+    )
+
+
+@rendered
+def q_sequence_profile_vetoed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 for the series with a veto, expanded: the window with its "x" entries."""
+    m = Mining(spark, sf_dir)
+    rows = factorised.vetoed_windows(m.seqs, m.windows, m.profiles, m.keyed, m.salts)
+    return rows.select("S_class", "set_key", "T_name", F.array_join("window", ",").alias("window"))
+
+
 @rendered
 def q_rerank_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Mining(spark, sf_dir)
@@ -441,6 +515,13 @@ def q_confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mining(spark, sf_dir).confusion().select("S_class", "sid", "tp", "fn", "fp", "tn")
 
 
+def q_confusion_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 from the bitmap index: no row per (set, series) anywhere."""
+    m = Mining(spark, sf_dir)
+    counts = bitmaps.bitmap_confusion(m.seqs, m.bitmap_index, m.dataset)
+    return plain(m.seqs.select(*evaluate.SET_KEY, "sid").join(counts, evaluate.SET_KEY)).select("S_class", "sid", "tp", "fn", "fp", "tn")
+
+
 def q_sequence_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mining(spark, sf_dir).confusion().select("S_class", "sid", "accuracy")
 
@@ -557,9 +638,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sequence_items": q_sequence_items,
     "shapelet_name_order": q_shapelet_name_order,
     "join_sequence_occurrence": q_join_sequence_occurrence,
+    "join_sequence_occurrence_cells": q_join_sequence_occurrence_cells,
+    "join_sequence_occurrence_rows": q_join_sequence_occurrence_rows,
     "presence_matrix": q_presence_matrix,
     "pivot_presence": q_pivot_presence,
     "sequence_profile": q_sequence_profile,
+    "sequence_profile_windows": q_sequence_profile_windows,
+    "sequence_profile_vetoed": q_sequence_profile_vetoed,
     "sequence_hits": q_sequence_hits,
     "rerank_window": q_rerank_window,
     "tas_first_index": q_tas_first_index,
@@ -567,6 +652,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ordered_match": q_ordered_match,
     "array_functions": q_array_functions,
     "confusion_counts": q_confusion_counts,
+    "confusion_bitmaps": q_confusion_bitmaps,
     "sequence_accuracy": q_sequence_accuracy,
     "accurate_sequences": q_accurate_sequences,
     "preview_verdict": q_preview_verdict,
