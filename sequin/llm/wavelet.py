@@ -19,10 +19,8 @@ shard, and gives one row a document; ``occurrences`` looks an id up in all
 shards. Tasks name files of their own, so a repeated or doubled task does no harm:
 only the shards that the manifest names are read.
 
-A document's ids are those of the tokenizers library, then the end id. With
-``by_word`` each piece between ASCII white space is encoded once and kept; that is
-right for tokenizers that drop white space and never merge or normalise across
-it, as the one here. Otherwise the library gets whole texts.
+A document's ids are those of the tokenizers library, then the end id (see
+``Encoder`` for what is encoded once only).
 
 Edge cases: a null or empty text has the end id alone. Null doc_ids come first;
 rows of one doc_id go by the digest of their text, and equal rows are written
@@ -32,7 +30,9 @@ each. An empty table has no shard and no row. Extra columns are ignored.
 from __future__ import annotations
 
 import io
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -53,43 +53,112 @@ from .common import file_system, parts, stored
 SHARD_TOKENS, END_ID = 1 << 22, 1
 BLOCK_BITS = 1 << 18
 MAGIC = b"WAVEMTX1"
-#: Pieces that a task keeps with their ids, and the longest that it keeps.
-KEPT_PIECES, KEPT_BYTES = 1 << 18, 64
+#: Pieces that a worker keeps with their ids, and the longest that it keeps.
+KEPT_PIECES, KEPT_BYTES = 1 << 19, 64
 
 
 # --- ids ---------------------------------------------------------------------------------
 
 
+#: Normaliser and pre-tokeniser of the tokenizers whose simple pieces are cut here.
+_KNOWN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+#: A piece of these characters alone is in NFC, has no white space, and is lowered alike
+#: everywhere: printable ASCII, Latin-1 and Latin Extended-A and -B without the dotted I.
+_SIMPLE = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters of the byte level: printable bytes stand for themselves, the others
+    for code points from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes, as the tokenizers library gives them."""
+    """Ids of whole texts as little-endian 32-bit bytes, as the tokenizers library gives them.
+
+    Where the tokenizer drops white space (a normaliser of NFC, white space to one space
+    and lower case, and one splitting pattern), texts are cut at ASCII white space and
+    each different piece is encoded once. A simple piece is lowered and split here, and
+    the library's merges alone run over its words; any other piece goes through the whole
+    library, as do whole texts where the tokenizer is of another kind."""
 
     def __init__(self, path: str, by_word: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
-        self.library, self.by_word = Tokenizer.from_file(path), by_word
+        self.library = Tokenizer.from_file(path)
         self.bits = max(1, (max(self.library.get_vocab(with_added_tokens=True).values(), default=1)).bit_length())
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        norms = (own.get("normalizer") or {}).get("normalizers", [])
+        steps = (own.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_word = by_word and [n["type"] for n in norms] == _KNOWN_NORMALIZERS and norms[1]["pattern"] == {"Regex": "\\s+"} and norms[1]["content"] == " "
+        self.by_word = self.by_word and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+        self.by_word = self.by_word and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and not own.get("post_processor")
+        self.pieces: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        if self.by_word:
+            self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            self.special = {t["content"][0] for t in own.get("added_tokens", [])}
+            self.letters = _byte_letters()
+            bare = {k: v for k, v in own.items() if k not in ("normalizer", "pre_tokenizer", "added_tokens")}
+            self.merges = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []})).model
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
         found = self.library.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def ids(self, text: bytes) -> bytes:
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces that were not seen before."""
+        cut: dict[bytes, list[str]] = {}
+        whole = []
+        for piece in new:
+            text = piece.decode("utf-8", "replace")
+            if not self.special.isdisjoint(text) or not _SIMPLE.fullmatch(text):
+                whole.append(piece)
+            elif text.isalpha():  # letters alone are one word
+                cut[piece] = [text.lower()]
+            else:
+                cut[piece] = self.split(text.lower())
+        words = list({w for own in cut.values() for w in own if w not in self.words})
+        if words:
+            if len(self.words) + len(words) > KEPT_PIECES:
+                self.words.clear()
+                words = list({w for own in cut.values() for w in own})
+            for w in words:
+                found = self.merges.tokenize(w.encode().decode("latin-1").translate(self.letters))
+                self.words[w] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        out = {piece: b"".join([self.words[w] for w in own]) for piece, own in cut.items()}
+        if whole:
+            out.update(zip(whole, self._whole(whole), strict=True))
+        return out
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
         if not self.by_word:
-            return self._encode([text])[0] if text else b""
-        pieces = text.split()  # of bytes: at ASCII white space alone
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = [x for x in set(pieces) if x not in self.known]
-        if len(self.known) + len(new) > KEPT_PIECES:
-            self.known.clear()
-            new = list(set(pieces))
-        own = dict(zip(new, self._encode(new), strict=True))
-        self.known.update((k, v) for k, v in own.items() if len(k) <= KEPT_BYTES)
-        return b"".join([own[x] if x in own else self.known[x] for x in pieces])
+            return self._whole(texts)
+        cut = [x.split() for x in texts]  # of bytes: at ASCII white space alone
+        known = self.pieces
+        new = list({x for own in cut for x in own if x not in known})
+        if len(known) + len(new) > KEPT_PIECES:
+            known.clear()
+            new = list({x for own in cut for x in own})
+        if new:
+            known.update(self._learn(new))
+        out = [b"".join(map(known.__getitem__, own)) for own in cut]
+        for x in new:
+            if len(x) > KEPT_BYTES:
+                del known[x]
+        return out
+
+
+@lru_cache(2)
+def encoder(path: str, by_word: bool) -> Encoder:
+    """One encoder a worker, with what it learnt, for all its tasks."""
+    return Encoder(path, by_word)
 
 
 # --- one shard ---------------------------------------------------------------------------
@@ -273,9 +342,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id: str = "doc_id", text
     rows = rows.withColumn("digest", digest).repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").drop("digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer, by_word), TaskContext.get().partitionId()
+        own_encoder, part = encoder(tokenizer, by_word), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        bits = max(encoder.bits, end_id.bit_length())
+        bits = max(own_encoder.bits, end_id.bit_length())
         held, ids, n, done = [], [], 0, []
 
         def close() -> None:
@@ -287,12 +356,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id: str = "doc_id", text
             held, ids, n = [], [], 0
 
         for batch in parts(batches, "text"):
-            texts = batch.column("text").cast(pa.large_binary())
-            for i, one in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                own = encoder.ids(one.as_py() or b"") + end
+            texts = [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            for i, own in zip(batch.column("doc_id").to_pylist(), own_encoder.ids(texts), strict=True):
                 held.append(i)
-                ids.append(own)
-                n += len(own) // 4
+                ids.append(own + end)
+                n += len(own) // 4 + 1
                 if n >= shard_tokens:
                     close()
         if held:

@@ -249,9 +249,29 @@ def test_encoder_is_the_library(library, spark):
     whole = wavelet.Encoder(word_vocabulary_path(), by_word=False)
     encoder = wavelet.Encoder(word_vocabulary_path())
     texts = [t or "" for t in EDGE_TEXTS] + [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    for text in texts:
-        want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert encoder.ids(text.encode()) == want == whole.ids(text.encode())
+    assert encoder.by_word and not whole.by_word
+    want = [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    raw = [text.encode() for text in texts]
+    assert encoder.ids(raw) == want == encoder.ids(raw) == whole.ids(raw)
+    assert all(len(k) <= wavelet.KEPT_BYTES for k in encoder.pieces)
+    assert [encoder.ids([x])[0] for x in raw] == want
+
+
+def test_every_simple_character(library):
+    """Alone, doubled, between letters and after an apostrophe, in both cases."""
+    encoder = wavelet.Encoder(word_vocabulary_path())
+    texts = [f"{a}{chr(c)}{b}" for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000 for a, b in (("", ""), ("A", "z"), ("1'", "S"))]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoder.ids([x.encode() for x in texts]) == want
+
+
+def test_words_are_forgotten_and_learnt_again(library, monkeypatch):
+    monkeypatch.setattr(wavelet, "KEPT_PIECES", 50)
+    encoder = wavelet.Encoder(word_vocabulary_path())
+    rnd = random.Random(3)
+    for _ in range(30):
+        texts = [" ".join(f"w{rnd.randrange(200)}-{rnd.randrange(9)}é" for _ in range(20)) for _ in range(3)]
+        assert encoder.ids([x.encode() for x in texts]) == [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
 @pytest.mark.parametrize("shard_tokens", [1, 50, 1 << 22])
