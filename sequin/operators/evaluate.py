@@ -15,12 +15,15 @@ Both evaluate each distinct name set / ordered sequence once and join back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import entry_position, prefix_indices, window_entry
 from ..functions.identity import LIST
-from ..session import keep
+from ..session import pinned
 from .encode import POSITION_BLOCK
 from .joins import join_bounded
 
@@ -328,14 +331,41 @@ def ordered_sequences(seqs: DataFrame) -> DataFrame:
     return seqs.select(*SET_KEY, "names", "n_steps", "steps").dropDuplicates(["S_class", "names"])
 
 
-def ordered_match(
+# Sequences that are handed to every task when a match is extended; more are shuffled.
+BROADCAST_SEQUENCES = 200_000
+
+
+@dataclass
+class Ordered:
+    """The search for ordered matches, by number: `sequences` (seq, S_class, names, n_steps),
+    `series` (ser, T_name, class_d), `matches` (seq, ser, own, tas); `own`: the series is of
+    the sequence's class. `rounds`: steps of the longest sequence."""
+
+    sequences: DataFrame
+    series: DataFrame
+    matches: DataFrame
+    rounds: int
+
+    def named(self) -> DataFrame:
+        """(S_class, names, n_steps, T_name, class_d, tas): the matches with their names."""
+        named = self.matches.join(self.sequences, "seq").join(self.series, "ser")
+        return named.select("S_class", "names", "n_steps", "T_name", "class_d", "tas")
+
+    def combined(self) -> DataFrame:
+        """(S_class, names, n_steps, tp, n_found, tas) of every sequence, `tas` NULL
+        without a match; aggregated by number, named afterwards."""
+        tas = combine_tas(self.matches, ["seq"], self.rounds)
+        return self.sequences.join(tas, "seq", "left").drop("seq").fillna(0, ["tp", "n_found"])
+
+
+def search_ordered(
     seqs: DataFrame,
     tmap: DataFrame,
     blocks: DataFrame,
     salts: int | None = None,
     block: int = POSITION_BLOCK,
-    checkpoint_every: int = 8,
-) -> DataFrame:
+    bound: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> Ordered:
     """The ordered sequences found in each series, with their chain `tas`
     (step 1 = smallest position, each later step = smallest position >= the
     previous one).
@@ -345,47 +375,67 @@ def ordered_match(
     meets the sequences that add one shapelet, and the added shapelet's block of
     the position reached, which holds the smallest position >= it or names the
     one after. Prefixes are shared, a pair that fails is never seen again, and no
-    list of positions is longer than a block. A vetoed pair has no cell."""
+    list of positions is longer than a block. A vetoed pair has no cell.
+
+    Sequences, shapelets (the sequences of one step) and series are numbered once,
+    in tables pinned in the shared folder, so that states carry and shuffle three
+    numbers; the blocks are bucketed by the key of the lookup, so that a round
+    exchanges its states alone. Each round's states are pinned, too: its plan is
+    two joins, whatever the round. `bound(states, sequences)` may say which sequences
+    (seq) are worth extending."""
     names = F.transform("steps", lambda x: x["S_name"])
     prefix = F.array_join(F.slice(names, F.lit(1), F.size("steps") - 1), LIST)
-    orders = keep(
-        ordered_sequences(seqs).select(
-            "S_class", "names", "n_steps", prefix.alias("prefix"), F.element_at(names, -1).alias("S_name")
-        )
-    )
-    rounds = longest(orders)
-    cells = tmap.filter("present = 1 AND vetoed = 0").select("S_class", "S_name", "T_name", "class_d", "pmin")
-    lookup = blocks.join(cells.select("S_class", "S_name", "T_name"), ["S_class", "S_name", "T_name"], "left_semi")
-    columns = ["S_class", "names", "n_steps", "T_name", "class_d", "cur", "tas"]
-    first = orders.filter("n_steps = 1").drop("prefix")
-    state = join_bounded(cells, first, ["S_class", "S_name"], ["T_name"], salts)
-    state = keep(state.withColumn("cur", F.col("pmin")).withColumn("tas", F.array("cur")).select(*columns))
+    distinct = ordered_sequences(seqs).select("S_class", "names", "n_steps", prefix.alias("prefix"), F.element_at(names, -1).alias("S_name"))
+    numbered = pinned(distinct.withColumn("seq", F.monotonically_increasing_id()), "ordered-sequences")
+    known = numbered.agg(F.count(F.lit(1)).alias("n"), F.max("n_steps").alias("longest")).first()
+    n_sequences, rounds = known["n"], known["longest"] or 0
+    series = pinned(tmap.select("T_name", "class_d").distinct().withColumn("ser", F.monotonically_increasing_id()), "ordered-series")
+
+    single = numbered.filter("n_steps = 1").select("S_class", "S_name", F.col("seq").alias("shp"))
+    parents = numbered.select("S_class", F.col("names").alias("prefix"), F.col("seq").alias("parent"))
+    longer = numbered.filter("n_steps > 1").join(single, ["S_class", "S_name"]).join(parents, ["S_class", "prefix"])
+    longer = pinned(longer.select("parent", "seq", "shp", "n_steps"), "ordered-extensions")
+    own = F.coalesce(F.col("class_d") == F.col("S_class"), F.lit(False)).alias("own")
+    s = series.select(F.col("T_name").alias("_t"), F.col("class_d").alias("_c"), "ser")
+    present = tmap.filter("present = 1 AND vetoed = 0").join(single, ["S_class", "S_name"])
+    present = present.join(s, (F.col("T_name") == F.col("_t")) & F.col("class_d").eqNullSafe(F.col("_c")))
+    cells = pinned(present.select("S_class", "S_name", "T_name", "shp", "ser", own, "pmin"), "ordered-cells")
+    key = ["shp", "ser", "blk"]
+    lookup = blocks.join(cells.select("S_class", "S_name", "T_name", "shp", "ser"), ["S_class", "S_name", "T_name"]).select(*key, "pos", "after")
+    lookup = pinned(lookup, "ordered-blocks", key)
+
+    state = cells.select(F.col("shp").alias("seq"), "ser", "own", F.col("pmin").alias("cur"), F.array("pmin").alias("tas"))
     matches = state
     for k in range(2, rounds + 1):
-        longer = orders.filter(F.col("n_steps") == k).select(
-            "S_class", F.col("prefix").alias("names"), F.col("names").alias("longer"), "S_name"
-        )
-        probe = join_bounded(state, longer, ["S_class", "names"], ["T_name"], salts)
+        added = longer.filter(F.col("n_steps") == k).select(F.col("parent").alias("seq"), F.col("seq").alias("longer"), "shp")
+        if bound is not None:
+            added = added.join(bound(state, numbered), "seq", "left_semi")
+        if n_sequences <= BROADCAST_SEQUENCES:  # three numbers each
+            probe = state.join(F.broadcast(added), "seq")
+        else:
+            probe = join_bounded(state, added, ["seq"], ["ser"], salts)
         probe = probe.withColumn("blk", F.floor(F.col("cur") / block))
         reached = F.coalesce(F.array_min(F.filter("pos", lambda p: p >= F.col("cur"))), F.col("after"))
         grown = (
-            probe.join(lookup, ["S_class", "S_name", "T_name", "blk"])
+            probe.join(lookup, key)
             .withColumn("cur", reached)
             .filter(F.col("cur").isNotNull())
-            .withColumn("tas", F.concat("tas", F.array("cur")))
-            .withColumn("names", F.col("longer"))
-            .withColumn("n_steps", F.lit(k))
-            .select(*columns)
+            .select(F.col("longer").alias("seq"), "ser", "own", "cur", F.concat("tas", F.array("cur")).alias("tas"))
         )
-        # read by the next round and by the result; a long chain's lineage is cut in the shared folder
-        state = grown.checkpoint() if k % checkpoint_every == 0 else keep(grown)
+        state = pinned(grown, "ordered-states")  # read by the next round and by the result
         matches = matches.unionByName(state)
-    return matches.drop("cur")
+    return Ordered(numbered.select("seq", "S_class", "names", "n_steps"), series, matches.drop("cur"), rounds)
 
 
-def longest(seqs: DataFrame) -> int:
-    """Steps of the longest sequence (at most the number of dimensions)."""
-    return seqs.agg(F.max("n_steps")).first()[0] or 0
+def ordered_match(
+    seqs: DataFrame,
+    tmap: DataFrame,
+    blocks: DataFrame,
+    salts: int | None = None,
+    block: int = POSITION_BLOCK,
+) -> DataFrame:
+    """(S_class, names, n_steps, T_name, class_d, tas), see `search_ordered`."""
+    return search_ordered(seqs, tmap, blocks, salts, block).named()
 
 
 def combine_tas(matches: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -393,9 +443,8 @@ def combine_tas(matches: DataFrame, keys: list[str], width: int) -> DataFrame:
     the numbers of matches of the own class (`tp`) and of all (`n_found`). `width`:
     steps of the longest sequence. One maximum for each step, so a hash aggregation
     with a partial step that neither explodes nor gathers the chains."""
-    own = F.col("class_d") == F.col("S_class")
-    steps = [F.max(F.when(own, F.get("tas", F.lit(i)))).alias(f"_{i}") for i in range(width)]
-    return matches.groupBy(*keys).agg(F.count_if(own).alias("tp"), F.count(F.lit(1)).alias("n_found"), *steps).select(
+    steps = [F.max(F.when(F.col("own"), F.get("tas", F.lit(i)))).alias(f"_{i}") for i in range(width)]
+    return matches.groupBy(*keys).agg(F.count_if("own").alias("tp"), F.count(F.lit(1)).alias("n_found"), *steps).select(
         *keys,
         "tp",
         "n_found",
@@ -403,19 +452,52 @@ def combine_tas(matches: DataFrame, keys: list[str], width: int) -> DataFrame:
     )
 
 
-def verdict_ordered(
-    seqs: DataFrame, dataset: DataFrame, tmap: DataFrame, blocks: DataFrame, salts: int | None = None
-) -> DataFrame:
-    """One verdict per (S_class, ordered names)."""
+def _ordered_verdicts(found: Ordered, dataset: DataFrame) -> DataFrame:
     keys = ["S_class", "names"]
-    combined = combine_tas(ordered_match(seqs, tmap, blocks, salts), keys, longest(seqs))
-    counts = ordered_sequences(seqs).select(*keys, "n_steps").join(combined, keys, "left").fillna(0, ["tp", "n_found"])
     none = F.array().cast("array<bigint>")
-    return confusion(counts.withColumn("tas", F.coalesce("tas", none)), [*keys, "n_steps", "tas"], dataset).select(
+    counts = found.combined().withColumn("tas", F.coalesce("tas", none))
+    return confusion(counts, [*keys, "n_steps", "tas"], dataset).select(
         *keys, "n_steps", "tp", "fn", "fp", "tn", "accuracy", "tas"
     )
 
 
+def verdict_ordered(
+    seqs: DataFrame, dataset: DataFrame, tmap: DataFrame, blocks: DataFrame, salts: int | None = None
+) -> DataFrame:
+    """One verdict per (S_class, ordered names)."""
+    return _ordered_verdicts(search_ordered(seqs, tmap, blocks, salts), dataset)
+
+
+def search_accurate(
+    seqs: DataFrame, dataset: DataFrame, tmap: DataFrame, blocks: DataFrame, least: float, salts: int | None = None
+) -> Ordered:
+    """The search with F3's threshold inside (branch and bound).
+
+    A match of an extension is one of its prefix, too, so an extension has at most the
+    prefix's tp, and at most all series of other classes as tn. Where that falls short
+    of `least`, the prefix is not extended. The matches of every sequence that was
+    reached are complete."""
+    total = dataset.count()
+    others = dataset.groupBy(F.col("class_d").alias("S_class")).agg((F.lit(total) - F.count(F.lit(1))).alias("others"))
+
+    def bound(state: DataFrame, numbered: DataFrame) -> DataFrame:
+        own = state.groupBy("seq").agg(F.count_if("own").alias("tp"))
+        best = F.col("tp") + F.coalesce("others", F.lit(total))
+        met = own.join(numbered.select("seq", "S_class"), "seq").join(others, "S_class", "left")
+        return met.filter(best / F.lit(max(total, 1)) >= least).select("seq")
+
+    return search_ordered(seqs, tmap, blocks, salts, bound=bound)
+
+
+def accurate_ordered(
+    seqs: DataFrame, dataset: DataFrame, tmap: DataFrame, blocks: DataFrame, least: float, salts: int | None = None
+) -> DataFrame:
+    """F3 (ordered): the verdicts with an accuracy of at least `least`. A sequence that was
+    not reached counts as unmatched, which is below `least`, too."""
+    found = search_accurate(seqs, dataset, tmap, blocks, least, salts)
+    return _ordered_verdicts(found, dataset).filter(F.col("accuracy") >= least)
+
+
 def confusion_per_sequence(seqs: DataFrame, hits: DataFrame, profiles: DataFrame, dataset: DataFrame) -> DataFrame:
     """A7/A8 (presence): counts and accuracy per (S_class, source series, subset), without TAS."""
     return seqs.select(*SET_KEY, "sid", "n_steps").join(presence_confusion(seqs, hits, profiles, dataset), SET_KEY)

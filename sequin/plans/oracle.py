@@ -347,6 +347,7 @@ BODIES: dict[str, str] = {
     "confusion_bitmaps": "SELECT S_class, sid, tp, fn, fp, tn FROM vp",
     "sequence_accuracy": "SELECT S_class, sid, accuracy FROM vp",
     "accurate_sequences": "SELECT S_class, sid, accuracy, tas FROM vp WHERE accuracy >= 0.8",
+    "accurate_ordered": "SELECT S_class, names, n_steps, tp, fn, fp, tn, accuracy, tas FROM vo WHERE accuracy >= 0.8",
     "preview_verdict": """
         SELECT S_class, sid, accuracy, tas FROM vp ORDER BY accuracy DESC, S_class, sid LIMIT 20""",
     "verdict_full": """

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import entry_position, first_index, first_token, join_ints, parse_indices, render_indices
 from ..operators import bitmaps, encode, evaluate, factorised, sequences
 from ..functions.identity import LIST, items, key_name, render_names, render_sequence_id, shapelet_key
-from ..session import keep, kept_count, kept_since, release, scratch_path
+from ..session import keep, kept_count, kept_since, pinned_count, release, remove, scratch_path
 from ..sources import (
     occurrences,
     read_dataset,
@@ -40,7 +40,7 @@ class Mining:
     """The shared pieces of the pipeline for one scale-factor folder (lazy plans)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str | None, salts: int | None = None):
-        self.mark = kept_count()
+        self.mark, self.pinned = kept_count(), pinned_count()
         self.spark = spark
         self.sf_dir = sf_dir
         self.salts = salts
@@ -141,8 +141,10 @@ class Mining:
         return bitmaps.shapelet_bitmaps(self.tmap, bitmaps.series_numbers(self.dataset))
 
     def close(self) -> None:
-        """Release what was persisted since this object was made."""
+        """Release what was persisted, and delete what was pinned in the shared folder, since
+        this object was made; results that were not written or collected end with it."""
         release(kept_since(self.mark))
+        remove(self.spark, self.pinned)
 
     @cached_property
     def keyed_verdicts(self) -> DataFrame:
@@ -162,8 +164,13 @@ class Mining:
         v = evaluate.verdict_ordered(self.seqs, self.dataset, self.tmap, self.blocks, self.salts)
         return plain(v.withColumn("items", items(F.col("names"))))
 
-    def ordered_matches(self) -> DataFrame:
-        return evaluate.ordered_match(self.seqs, self.tmap, self.blocks, self.salts)
+    def accurate_ordered(self, least: float = ACCURACY_THRESHOLD) -> DataFrame:
+        """The ordered verdicts of at least this accuracy, the threshold inside the search."""
+        v = evaluate.accurate_ordered(self.seqs, self.dataset, self.tmap, self.blocks, least, self.salts)
+        return plain(v.withColumn("items", items(F.col("names"))))
+
+    def ordered(self) -> evaluate.Ordered:
+        return evaluate.search_ordered(self.seqs, self.tmap, self.blocks, self.salts)
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -474,14 +481,13 @@ def q_tas_first_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @rendered
 def q_tas_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = Mining(spark, sf_dir)
-    combined = evaluate.combine_tas(m.ordered_matches(), ["S_class", "names"], evaluate.longest(m.seqs)).filter("tp > 0")
+    combined = Mining(spark, sf_dir).ordered().combined().filter("tp > 0")
     return _text(combined.select("S_class", "names", F.col("tp").cast("bigint").alias("n_tp"), "tas"))
 
 
 @rendered
 def q_ordered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = Mining(spark, sf_dir).ordered_matches()
+    matches = Mining(spark, sf_dir).ordered().named()
     return _text(matches.select("S_class", "names", "T_name", "class_d", "tas"))
 
 
@@ -532,6 +538,12 @@ def q_accurate_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(v.select("S_class", "sid", "accuracy", "tas"))
 
 
+def q_accurate_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 on the ordered verdicts, as a bound inside the search."""
+    v = Mining(spark, sf_dir).accurate_ordered()
+    return _text(v.select("S_class", "names", "n_steps", "tp", "fn", "fp", "tn", "accuracy", "tas"))
+
+
 def q_preview_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows shown, with a total order so the preview is stable."""
     v = Mining(spark, sf_dir).verdict_presence()
@@ -655,6 +667,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "confusion_bitmaps": q_confusion_bitmaps,
     "sequence_accuracy": q_sequence_accuracy,
     "accurate_sequences": q_accurate_sequences,
+    "accurate_ordered": q_accurate_ordered,
     "preview_verdict": q_preview_verdict,
     "verdict_full": q_verdict_full,
     "verdict_profile": q_verdict_profile,

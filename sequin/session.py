@@ -71,6 +71,44 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "sequin", f"{label}-{uuid.uuid4().hex}")
 
 
+def pinned(df: DataFrame, label: str, keys: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """Write an intermediate to the shared folder and read it back: its plan is a scan, its
+    rows are the same for every reader, a lost executor costs nothing.
+
+    With `keys` the table is bucketed and sorted by them, one file a bucket (`buckets`: the
+    session's shuffle partitions), so that a join on the keys neither exchanges nor sorts it.
+    The files stay until `remove` (`Mining.close`)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    if not keys:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        _paths.append((path, None))
+        return out
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    _paths.append((path, name))
+    return spark.table(name)
+
+
+def remove(spark: SparkSession, mark: int) -> None:
+    """Delete the pinned tables made since `mark` (`pinned_count`)."""
+    made, _paths[mark:] = _paths[mark:], []
+    for path, name in made:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def pinned_count() -> int:
+    return len(_paths)
+
+
+#: Pinned tables: their folders and, if bucketed, their names.
+_paths: list[tuple[str, str | None]] = []
+
 #: Tables persisted since the start, in order; ``release`` takes them back.
 _kept: list[DataFrame] = []
 

@@ -263,7 +263,7 @@ def test_chain_across_small_blocks(spark):
     ds, oc = frames(spark, dataset, occ)
     m = Mining.from_tables(ds, oc)
     blocks = encode.position_blocks(m.keyed, m.dataset, block=4)
-    got = evaluate.ordered_match(m.seqs, m.tmap, blocks, block=4, checkpoint_every=2)
+    got = evaluate.ordered_match(m.seqs, m.tmap, blocks, block=4)
     got = got.withColumn("items", items(got["names"]))
     got = {(r.S_class, tuple((i.S_dimension, i.S_name) for i in r["items"]), r.T_name): list(r.tas) for r in got.collect()}
     want = model.verdict_ordered(dataset, occ)
@@ -380,3 +380,68 @@ def test_tuples_keep_lists_gain_and_repeats(spark):
     assert got == {("t1", "[4, 2]", 0.5, 2)}
     pairs = {(r.T_name, r.T_indice, r.n_rows) for r in encode.shapelet_tuples(encode.join_class_left(oc, ds)).collect()}
     assert pairs == {("t1", "[4, 2]", 2), (None, "[]", 1)}
+
+
+@pytest.mark.parametrize("seed,least", [(1, 0.6), (2, 0.75), (3, 0.5), (9, 0.9), (12, 0.0)])
+def test_threshold_inside_the_search(spark, seed, least):
+    dataset, occ = random_case(seed)
+    ds, oc = frames(spark, dataset, occ)
+    m = Mining.from_tables(ds, oc)
+    want = {k: v for k, v in model.verdict_ordered(dataset, occ).items() if v[4] >= least}
+    got = {(r.S_class, tuple((i.S_dimension, i.S_name) for i in r["items"])): (r.tp, r.fn, r.fp, r.tn, r.accuracy, list(r.tas)) for r in m.accurate_ordered(least).collect()}
+    assert got == want
+    m.close()
+
+
+def test_the_threshold_ends_branches(spark):
+    # class c is half of all series: s1 is found in them all, s2 in one of them, so nothing grows from
+    # s2 (s2>s1, s2>s3, s2>s1>s3)
+    dataset = {f"t{i}": "c" if i < 10 else "d" for i in range(20)}
+    occ = [row("s1", "d1", "c", t, [5]) for t in list(dataset)[:10]]
+    occ += [row("s2", "d2", "c", "t0", [1]), row("s3", "d3", "c", "t0", [7])]
+    ds, oc = frames(spark, dataset, occ)
+    m = Mining.from_tables(ds, oc)
+    every = m.ordered().matches.count()
+    found = evaluate.search_accurate(m.seqs, m.dataset, m.tmap, m.blocks, 0.8)
+    assert every == 10 + 1 + 1 + 4 and found.matches.count() == 10 + 1 + 1 + 1
+    assert [r.names for r in m.accurate_ordered(0.8).collect()] == ["s1"]
+    m.close()
+
+
+def test_sequences_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "BROADCAST_SEQUENCES", 0)
+    check(spark, EDGE_DATASET, EDGE_OCC)
+    check(spark, EDGE_DATASET, EDGE_OCC, salts=3)
+
+
+def test_blocks_are_bucketed_for_the_lookup(spark):
+    """A round exchanges its states alone: the bucketed table of blocks is scanned as it lies."""
+    from pyspark.sql import functions as F
+
+    from sequin.session import pinned
+
+    left = spark.range(1000).select((F.col("id") % 7).alias("shp"), F.col("id").alias("ser"), (F.col("id") % 3).alias("blk"))
+    table = pinned(left.withColumn("after", F.col("ser") + 1), "bucketed-test", ["shp", "ser", "blk"], 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = left.join(table, ["shp", "ser", "blk"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert joined.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_close_removes_what_was_pinned(spark):
+    import os
+
+    from sequin import session
+
+    ds, oc = frames(spark, EDGE_DATASET, EDGE_OCC)
+    m = Mining.from_tables(ds, oc)
+    before = session.pinned_count()
+    m.verdict_ordered().collect()
+    made = [p.removeprefix("file:") for p, _ in session._paths[before:]]
+    assert made and all(os.path.isdir(p) for p in made)
+    m.close()
+    assert session.pinned_count() == before and not any(os.path.exists(p) for p in made)
