@@ -54,7 +54,7 @@ SHARD_TOKENS, END_ID = 1 << 22, 1
 BLOCK_BITS = 1 << 18
 MAGIC = b"WAVEMTX1"
 #: Pieces that a worker keeps with their ids, and the longest that it keeps.
-KEPT_PIECES, KEPT_BYTES = 1 << 19, 64
+KEPT_PIECES, KEPT_BYTES = 1 << 20, 64
 
 
 # --- ids ---------------------------------------------------------------------------------
@@ -99,10 +99,11 @@ class Encoder:
         self.by_word = self.by_word and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
         self.by_word = self.by_word and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and not own.get("post_processor")
         self.pieces: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         if self.by_word:
             self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall
             self.special = {t["content"][0] for t in own.get("added_tokens", [])}
+            self.marks = {x.encode() for x in ".,;:!?" if x not in self.special}
             self.letters = _byte_letters()
             bare = {k: v for k, v in own.items() if k not in ("normalizer", "pre_tokenizer", "added_tokens")}
             self.merges = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []})).model
@@ -111,47 +112,52 @@ class Encoder:
         found = self.library.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of pieces that were not seen before."""
-        cut: dict[bytes, list[str]] = {}
-        whole = []
+    def _cut(self, piece: bytes) -> list[bytes] | None:
+        """The lowered words of a simple piece, in UTF-8; None for any other piece."""
+        if piece.isalpha():  # of bytes: ASCII letters alone
+            return [piece.lower()]
+        if piece[:-1].isalpha() and piece[-1:] in self.marks:
+            return [piece[:-1].lower(), piece[-1:]]
+        text = piece.decode("utf-8", "replace")
+        if not self.special.isdisjoint(text) or not _SIMPLE.fullmatch(text):
+            return None
+        return [w.encode() for w in ([text.lower()] if text.isalpha() else self.split(text.lower()))]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Adds the ids of pieces that were not seen before."""
+        words, pieces, whole = self.words, self.pieces, []
+        if len(pieces) + len(new) > KEPT_PIECES:
+            pieces.clear()
+            words.clear()
         for piece in new:
-            text = piece.decode("utf-8", "replace")
-            if not self.special.isdisjoint(text) or not _SIMPLE.fullmatch(text):
+            cut = self._cut(piece)
+            if cut is None:
                 whole.append(piece)
-            elif text.isalpha():  # letters alone are one word
-                cut[piece] = [text.lower()]
-            else:
-                cut[piece] = self.split(text.lower())
-        words = list({w for own in cut.values() for w in own if w not in self.words})
-        if words:
-            if len(self.words) + len(words) > KEPT_PIECES:
-                self.words.clear()
-                words = list({w for own in cut.values() for w in own})
-            for w in words:
-                found = self.merges.tokenize(w.encode().decode("latin-1").translate(self.letters))
-                self.words[w] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-        out = {piece: b"".join([self.words[w] for w in own]) for piece, own in cut.items()}
+                continue
+            for w in cut:
+                if w not in words:
+                    found = self.merges.tokenize(w.decode() if w.isalpha() else w.decode("latin-1").translate(self.letters))
+                    words[w] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            pieces[piece] = b"".join([words[w] for w in cut])
         if whole:
-            out.update(zip(whole, self._whole(whole), strict=True))
-        return out
+            pieces.update(zip(whole, self._whole(whole), strict=True))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         if not self.by_word:
             return self._whole(texts)
         cut = [x.split() for x in texts]  # of bytes: at ASCII white space alone
-        known = self.pieces
-        new = list({x for own in cut for x in own if x not in known})
-        if len(known) + len(new) > KEPT_PIECES:
-            known.clear()
-            new = list({x for own in cut for x in own})
+        found = [list(map(self.pieces.get, own)) for own in cut]
+        new = {x for own, ids in zip(cut, found, strict=True) if None in ids for x, i in zip(own, ids, strict=True) if i is None}
         if new:
-            known.update(self._learn(new))
-        out = [b"".join(map(known.__getitem__, own)) for own in cut]
+            self._learn(list(new))
+            for own, ids in zip(cut, found, strict=True):
+                if None in ids:
+                    ids[:] = [self.pieces[x] if i is None else i for x, i in zip(own, ids, strict=True)]
+        out = list(map(b"".join, found))
         for x in new:
             if len(x) > KEPT_BYTES:
-                del known[x]
+                del self.pieces[x]
         return out
 
 
