@@ -24,19 +24,21 @@ the query op2 and the pipeline's stage. Figures below are for 85.
   can have the overlap at all: two sets whose overlap is large enough share one
   of the rarest members of either (the prefix filter: of n members the
   n - ceil(0.85 n) + 1 rarest of the larger set, n - ceil(1.7 / 1.85 n) + 1 of
-  the smaller, with room for the overlap behind the first one they share). What passes the size and distance bounds is confirmed.
+  the smaller). A pair is looked at once, at the least of the keys that both have,
+  however many they share. What passes the size and distance bounds is confirmed.
   Rarity is read from a table of ``COUNTERS`` counters, a bounded broadcast; any
   order is correct, a good one leaves fewer pairs.
 * Components: alternating large-star and small-star steps until nothing changes.
 
-Texts shuffle once, to meet the list of classes with a shared key; only their
-sets are kept, in the shared folder, for the rounds.
+Texts that pass a filter of the classes with a shared key shuffle once, to meet
+their class; only their sets are kept, in the shared folder, for the rounds.
 
 Edge cases: a null text, or one without words, has no shingle, links with
-nothing and is its own component; a null id never is the smallest, and ``keep``
-drops no row of null id; rows that repeat id and text belong to one class; of an
-id with several texts ``keep`` drops those that are near copies, not the others;
-an empty table gives no row.
+nothing and is its own component; a null id never is the smallest, and of a
+component of null ids alone the text with the least hash stays; rows that repeat
+id and text belong to one class and stay or go alike; of an id with several texts
+``keep`` drops those that are near copies, not the others; an empty table gives
+no row.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +78,8 @@ _U = np.uint64
 _odd = W.mix(np.arange(1, SYMBOLS + 1, dtype=_U) * _U(0xA24BAED4963EE407))
 _MULTIPLY = (_odd >> _U(32)).astype(np.uint32) | np.uint32(1)
 _ADD = _odd.astype(np.uint32)
+#: Cells, at most, of the filter of the texts that are needed again: 2^25 bits.
+FILTER_BITS = 25
 #: Counters of shingles by which rarity is judged (4 MB).
 COUNTERS = 1 << 20
 
@@ -165,24 +169,50 @@ def keys(classes: DataFrame, chunks: int = CHUNKS) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
+def _cell(bits: int) -> Column:
+    return F.pmod(F.xxhash64("id", "t"), F.lit(1 << bits))
+
+
+def _maybe(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose (id, t) may be among the needed ones: a filter of one bit a
+    cell, gathered as bitmaps of 2^15 cells, of 2^``FILTER_BITS`` cells at most (4 MB)."""
+    bits = min(FILTER_BITS, max(15, (8 * needed.count()).bit_length()))
+    cell = _cell(bits)
+    maps = needed.groupBy(F.floor(cell / 32768).cast("int").alias("block")).agg(F.bitmap_construct_agg(cell % 32768).alias("bits"))
+    plane = np.zeros(1 << (bits - 3), np.uint8)
+    for r in maps.collect():  # at most 2^(FILTER_BITS - 15) rows of 4 KB
+        plane[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(plane)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("cell").to_numpy()
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+
+    return texts.withColumn("cell", cell).mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField("cell", T.LongType())])).drop("cell")
+
+
 def _sets(docs: DataFrame, needed: DataFrame, id: str, text: str) -> DataFrame:
-    """node, shingles (bytes of sorted hashes) for the classes in ``needed`` (node, id, s1, s2)."""
+    """node, shingles (bytes of sorted hashes) for the classes in ``needed`` (node, id, t, s1, s2).
+
+    Only texts that pass a filter of the needed rows shuffle; (id, t) tells texts of one id,
+    or of none, apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in parts(batches, "text"):
             nodes, out = [], []
             for node, s1, s2, own in zip(*(batch.column(c).to_pylist() for c in ("node", "s1", "s2")), shingle_sets(batch.column("text")), strict=True):
-                if node != last and _set_hash(own) == (s1, s2):  # an id may have other texts, too
+                if node != last and _set_hash(own) == (s1, s2):  # rows may repeat id and text
                     nodes.append(node)
                     out.append(own.tobytes())
                     last = node
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "shingles"])
 
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    n = needed.withColumnRenamed("id", "_id")
-    met = texts.join(n, texts["id"].eqNullSafe(n["_id"])).select("node", "s1", "s2", "text")
-    return met.mapInArrow(run, "node long, shingles binary")
+    texts = _maybe(docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t")), needed)
+    n = needed.withColumnsRenamed({"id": "_id", "t": "_t"})
+    met = texts.join(n, texts["id"].eqNullSafe(n["_id"]) & (texts["t"] == n["_t"])).select("node", "s1", "s2", "text")
+    return met.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def near(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -244,7 +274,7 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """node, n, token, place: the rarest members of each set, in order; ``short`` marks those that count as the smaller set."""
+    """node, n, token: the rarest members of each set; ``short`` marks those that count as the smaller set."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,27 +285,30 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> Dat
                 long = n - -(-percent * n // 100) + 1
                 short = n - -(-2 * percent * n // (100 + percent)) + 1
                 token = x[np.lexsort((x, shared.value[_counter(x)]))[:long]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(long, node)), pa.array(np.full(long, n)), pa.array(token), pa.array(np.arange(long) < short), pa.array(np.arange(long))], names=["node", "n", "token", "short", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(long, node)), pa.array(np.full(long, n)), pa.array(token), pa.array(np.arange(long) < short)], names=["node", "n", "token", "short"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node long, n long, token long, short boolean, place long")
+    return sets.select("node", "shingles").mapInArrow(run, "node long, n long, token long, short boolean")
 
 
 def across(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share a key and could have the overlap.
+    """Pairs (a, b) of classes in different components that share a key and could have the
+    overlap, each once: at the least of the keys that both have.
 
     ``open_``: node, root, keys (its keys that lie in several components).
     """
     own = sets.join(open_.select("node"), "node", "left_semi")
-    tokens = prefixes(own, rarity(own), percent).join(open_, "node")
-    held = tokens.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("token")
-    tokens = stored(tokens.join(held, "token"), "op2-tokens")
-    x, y = tokens.select("token", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "root", "keys", "place")]), tokens.filter("short").select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "root", "keys", "place")])
+    tokens = prefixes(own, rarity(own), percent)
+    held = tokens.join(open_.select("node", "root"), "node").groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("token")
+    # a set's prefix has some 15 % of its members
+    lists = tokens.join(held, "token").groupBy("node", "n").agg(F.collect_set("token").alias("long"), F.collect_set(F.when(F.col("short"), F.col("token"))).alias("short"))
+    rows = stored(open_.join(lists, "node"), "op2-open")
+    side = lambda s, prefix: rows.select(F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "keys")], F.col(prefix).alias(f"tokens_{s}"))
+    x, y = side("x", "long"), side("y", "short").filter(F.size("tokens_y") > 0)
     larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") > F.col("node_y")))
     sizes = F.col("n_y") * 100 >= F.col("n_x") * percent
-    # from their first common member on, the sets must have room for the overlap
-    room = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("root_x") != F.col("root_y")) & larger & sizes & room & F.arrays_overlap("keys_x", "keys_y"))
-    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    once = x["key"] == F.array_min(F.array_intersect("keys_x", "keys_y"))
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("root_x") != F.col("root_y")) & larger & sizes & once & F.arrays_overlap("tokens_x", "tokens_y"))
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -308,13 +341,16 @@ def _decided(docs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
     """The decisions with ``_t``, the hash of the text."""
     signed = stored(signatures(docs, id, text), "op2-signatures")
     classes = stored(
-        signed.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()),
+        signed.filter("n > 0")
+        .groupBy("s1", "s2")
+        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("row"), F.min("t").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        .select("s1", "s2", "row.id", "row.t", "least", "n", "sig", F.monotonically_increasing_id().alias("node")),
         "op2-classes",
     )
     entries = keys(classes, chunks_for(percent))
     many = entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     shared = stored(entries.join(many, "key"), "op2-shared")  # the keys that two classes or more have
-    needed = shared.select("node").distinct().join(classes.select("node", "id", "s1", "s2"), "node")
+    needed = shared.select("node").distinct().join(classes.select("node", "id", "t", "s1", "s2"), "node")
     sets = stored(_sets(docs, needed, id, text), "op2-sets")
 
     # round 1: every class with one leader, the one of most of its keys
@@ -335,15 +371,17 @@ def _decided(docs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
     roots = components(links.union(more))
 
     groups = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = groups.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = groups.select("s1", "s2", "root").join(least, "root").select("s1", "s2", "component_id")
-    linked = salted_lookup(signed.filter("n > 0"), named, ["s1", "s2"], F.col("id")).select("id", "t", "n", "component_id")
-    alone = signed.filter("n = 0").select("id", "t", "n", F.col("id").alias("component_id"))
+    least = groups.groupBy("root").agg(F.min("id").alias("component_id"), F.min("least").alias("least"))
+    named = groups.select("s1", "s2", "root").join(least, "root").select("s1", "s2", "component_id", "least")
+    # the salt takes the text, too: rows of null id spread
+    linked = salted_lookup(signed.filter("n > 0"), named, ["s1", "s2"], F.struct("id", "t")).select("id", "t", "n", "component_id", "least")
+    alone = signed.filter("n = 0").select("id", "t", "n", F.col("id").alias("component_id"), F.col("t").alias("least"))
     out = linked.unionByName(alone)
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("t").alias("_t"))
+    kept = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("id").isNotNull() | (F.col("t") == F.col("least")))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), F.col("t").alias("_t"))
 
 
 def keep(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with all their columns."""
     gone = _decided(docs, id, text, percent).filter(~F.col("kept")).select(F.col(id).alias("_id"), "_t").distinct()
-    return docs.join(gone, (F.col(id) == F.col("_id")) & (F.xxhash64(text) == F.col("_t")), "left_anti")
+    return docs.join(gone, F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_t")), "left_anti")
