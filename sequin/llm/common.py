@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -33,6 +35,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hand memory that this process has freed back to the system.
+
+    After work on the driver (training on a sample, say) the allocators of Arrow and
+    of C keep what was freed, beside the JVM's heap, as long as the driver lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not with this C library
+
+
 def id_mod(col: str, n: int) -> Column:
     """crc32 of the id written as text, modulo n (null id: as empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import flat, parts
+from .common import give_back, flat, parts
 
 SAMPLE, SAMPLE_CHARS = 1000, 100_000
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 50, 50, 0.5
@@ -242,7 +242,10 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         first.setdefault(r["_id"], r)  # a repeated id counts once
     lines = read_lines(pa.array([r["_text"] for r in first.values()], pa.string()))
     quality = np.array([r["_quality"] for r in first.values()], np.int64)
-    return fit(lines, quality[lines.doc] if len(first) else np.zeros(0, np.int64))
+    field = fit(lines, quality[lines.doc] if len(first) else np.zeros(0, np.int64))
+    del rows, first, lines
+    give_back()
+    return field
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
