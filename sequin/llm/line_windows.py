@@ -3,7 +3,7 @@
 Every window of ``WIDTH`` consecutive lines (split at \\n) is hashed from the
 hashes of its lines, 128 bits in all. A window whose hash occurs more than once
 in all texts is repeated; all its occurrences but the first, in order of
-(id, line), cover their lines, and covered lines are removed. Overlapping
+(id, MD5 of the text, line), cover their lines, and covered lines are removed. Overlapping
 windows merge, so a repeated passage of any length goes as a whole.
 
 Counting combines before its shuffle, so a window in a third of all documents
@@ -12,8 +12,8 @@ salted join. The text shuffles once, to meet the covered line numbers.
 
 Edge cases: a null text stays null and has no line; a text of fewer lines than a
 window has none; windows of blank lines only are no passage and stay; rows that
-repeat both id and text are one document and come out alike; a null id counts
-as the smallest.
+repeat both id and text are one document and come out alike; other rows of one
+id are documents of their own; a null id counts as the smallest.
 """
 
 from __future__ import annotations
@@ -44,10 +44,11 @@ def _windows(text: Column, width: int) -> Column:
 
 def covered_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """id, text_hash, lines: the numbers (from 0) of the lines to remove; documents that lose none are absent."""
-    rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.explode(_windows(F.col(text), width)).alias("w")).select("id", "text_hash", "w.line", "w.h1", "w.h2")
+    rows = docs.select(F.col(id).alias("id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("text_hash"), F.explode(_windows(F.col(text), width)).alias("w")).select("id", "text_hash", "w.line", "w.h1", "w.h2")
     rows = stored(rows, "op7-windows")
-    firsts = rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = salted_lookup(rows, firsts, ["h1", "h2"], F.struct("id", "line")).filter(~F.struct("id", "line").eqNullSafe(F.col("first")))
+    place = F.struct("id", "text_hash", "line")
+    firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
+    later = salted_lookup(rows, firsts, ["h1", "h2"], place).filter(~place.eqNullSafe(F.col("first")))
     lines = F.array_distinct(F.flatten(F.collect_set(F.transform(F.array(*[F.lit(i) for i in range(width)]), lambda i: F.col("line") + i))))
     return later.groupBy("id", "text_hash").agg(lines.alias("lines"))
 
@@ -55,7 +56,7 @@ def covered_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", width
 def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """The input's rows with ``text`` less its covered lines, and n_lines and n_removed."""
     covered = covered_lines(docs, id, text, width).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lines").alias("_lines"))
-    met = docs.join(covered, F.col(id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    met = docs.join(covered, F.col(id).eqNullSafe(F.col("_id")) & (F.unhex(F.md5(F.col(text).cast("binary"))) == F.col("_hash")), "left")
     lines = F.split(F.col(text), "\n", -1)
     # the split text is the only element of an array, so that it is bound to a variable and made once
     kept = lambda l: F.transform(F.array_except(F.sequence(F.lit(0), F.size(l) - 1), "_lines"), lambda i: F.get(l, i))

@@ -81,19 +81,24 @@ from e group by conv_id
 """
 
 _OP7 = """
-with l as (
-  select doc_id, generate_subscripts(x, 1) - 1 as line, unnest(x) as t from (select doc_id, string_split(text, chr(10)) as x from documents where text is not null)),
+with d as (select distinct doc_id, md5(text) as h, text from documents where text is not null),
+l as (select doc_id, h, generate_subscripts(x, 1) - 1 as line, unnest(x) as t from (select doc_id, h, string_split(text, chr(10)) as x from d)),
 w as (
-  select doc_id, line, t as a, lead(t) over o as b, lead(t, 2) over o as c, lead(line, 2) over o as full_ from l window o as (partition by doc_id order by line)),
+  select {'known': doc_id is not null, 'id': coalesce(doc_id, 0), 'h': h, 'line': line} as place, doc_id, h, line,
+    t as a, lead(t) over o as b, lead(t, 2) over o as c, lead(line, 2) over o as full_ from l window o as (partition by doc_id, h order by line)),
 g as (
-  select a, b, c, min((doc_id, line)) as first from w
+  select a, b, c, min(place) as first from w
   where full_ is not null and (length(trim(a, ' ')) > 0 or length(trim(b, ' ')) > 0 or length(trim(c, ' ')) > 0) group by all having count(*) > 1),
 gone as (
-  select distinct w.doc_id, w.line + i as line from w join g using (a, b, c), range(3) as x(i) where full_ is not null and (w.doc_id, w.line) <> g.first)
-select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, coalesce(r.n, 0)::bigint as n_removed,
+  select distinct w.doc_id, w.h, w.line + i as line from w join g using (a, b, c), range(3) as x(i) where full_ is not null and w.place <> g.first),
+n as (select doc_id, h, count(*) as n from gone group by all),
+k as (
+  select l.doc_id, l.h, string_agg(t, chr(10) order by l.line) as text from l
+  left join gone on gone.doc_id is not distinct from l.doc_id and gone.h = l.h and gone.line = l.line where gone.line is null group by all)
+select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, coalesce(n.n, 0)::bigint as n_removed,
   case when d.text is null then null else coalesce(k.text, '') end as text
-from documents d left join (select doc_id, count(*) as n from gone group by doc_id) r using (doc_id)
-left join (select l.doc_id, string_agg(t, chr(10) order by l.line) as text from l left join gone on gone.doc_id = l.doc_id and gone.line = l.line where gone.line is null group by l.doc_id) k using (doc_id)
+from documents d left join n on n.doc_id is not distinct from d.doc_id and n.h = md5(d.text)
+left join k on k.doc_id is not distinct from d.doc_id and k.h = md5(d.text)
 """
 
 _OP9 = f"""

@@ -138,7 +138,42 @@ def test_near_dedup(spark):
     assert sorted((key((r.doc_id, r.n_shingles, r.component_id)) for r in got.collect())) == sorted(key(r) for r in components(rows))
     kept = minhash.keep(table)
     assert kept.columns == table.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, _, c in components(rows) if i == c or i is None}
+    # the rows of null id: a copy of a document goes
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, c in components(rows) if i == c} - {None}
+
+
+def test_near_copies_of_null_id_leave_one(spark):
+    base = said(100, 77).split()
+    rows = [(None, " ".join([*base[:50], f"w{i}", *base[51:]]), "en", "s") for i in range(40)] + [(None, said(60, 500 + i), "en", "s") for i in range(20)] + [(None, None, "en", "s"), (7, said(80, 900), "en", "s")]
+    table = docs(spark, rows).repartition(4)
+    got = minhash.decisions(table).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == 1 + 20 + 1 + 1
+    left = [r.text for r in minhash.keep(table).collect()]
+    assert len(left) == 23 and sum(t in {r[1] for r in rows[:40]} for t in left) == 1
+
+
+def test_a_text_meets_its_class_by_id_and_text(spark):
+    """Many rows of one id do not multiply: a row of the sets for each class."""
+    rows = [(None, said(30, i), "en", "s") for i in range(200)]
+    table = docs(spark, rows)
+    signed = minhash.signatures(table, "doc_id", "text")
+    needed = signed.select(F.monotonically_increasing_id().alias("node"), "id", "t", "s1", "s2").cache()
+    assert minhash._maybe(table.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("t")), needed.limit(10)).count() < 40
+    assert minhash._sets(table, needed, "doc_id", "text").count() == 200
+
+
+def test_pairs_come_once(spark):
+    """Two near sets share many keys and rare members, and are paired once."""
+    base = said(200, 31).split()
+    rows = [(i, " ".join(f"e{i}x{k}" if k == 20 * i + 10 else w for k, w in enumerate(base)), "en", "s") for i in range(6)]
+    signed = minhash.signatures(docs(spark, rows), "doc_id", "text")
+    classes = signed.withColumn("node", F.col("id")).cache()
+    keyed = minhash.keys(classes).groupBy("node").agg(F.collect_set("key").alias("keys")).withColumn("root", F.col("node"))
+    sets = minhash._sets(docs(spark, rows), classes.select("node", "id", "t", "s1", "s2"), "doc_id", "text")
+    pairs = [tuple(r) for r in minhash.across(keyed, sets).collect()]
+    shared = {r.node: set(r["keys"]) for r in keyed.collect()}
+    assert len(pairs) == len(set(pairs)) == len({frozenset(p) for p in pairs})
+    assert {frozenset(p) for p in pairs} == {frozenset((a, b)) for a in shared for b in shared if a < b and shared[a] & shared[b]}
 
 
 def test_keys_meet_whatever_the_errors():
@@ -348,28 +383,28 @@ def test_line_windows(spark):
         at = rnd.randrange(len(lines) + 1)
         rows.append((100 + i, "\n".join(lines[:at] + (passage[rnd.randrange(3) :] if i % 2 else []) + lines[at:]), "en", "s"))
     rows = [r for r in rows if r[0] != 4] + [EDGE[3]]
-    places = collections.defaultdict(list)
+    rows += [(None, "\n".join(passage)), (None, "x\n" + "\n".join(passage)), (None, "x\n" + "\n".join(passage)), (None, "own\nlines\nhere")]
+    rows += [(500, "p\nq\nr\ns"), (500, "0\np\nq\nr"), (501, "t\nu\nv"), (502, "t\nu\nv\nw"), (502, "t\nu\nv\nw")]
+    rows = [(i, t, "en", "s") for i, t, *_ in rows]
+    order = lambda i, t: (i is not None, i or 0, hashlib.md5(t.encode()).hexdigest())
+    places = collections.defaultdict(set)
     for i, t, *_ in rows:
         if t is not None:
             x = t.split("\n")
             for k in range(len(x) - 2):
                 if any(y.strip(" ") for y in x[k : k + 3]):
-                    places[tuple(x[k : k + 3])].append((-1 if i is None else i, k))
+                    places[tuple(x[k : k + 3])].add((order(i, t), k))
     gone = collections.defaultdict(set)
     for own in places.values():
-        for i, k in sorted(own)[1:]:
-            gone[i] |= {k, k + 1, k + 2}
+        for place, k in sorted(own)[1:]:
+            gone[place] |= {k, k + 1, k + 2}
+    want = collections.Counter()
+    for i, t, *_ in rows:
+        lost = gone[order(i, t)] if t is not None else set()
+        x = [] if t is None else t.split("\n")
+        want[i, len(x), len(lost), None if t is None else "\n".join(y for k, y in enumerate(x) if k not in lost)] += 1
     got = line_windows.drop_lines(docs(spark, rows).withColumnRenamed("n", "lines"))
-    for r in got.collect():
-        i = -1 if r.doc_id is None else r.doc_id
-        t = next(t for j, t, *_ in rows if j == r.doc_id)
-        if t is None:
-            assert r.text is None and r.n_lines == 0
-            continue
-        x = t.split("\n")
-        assert (r.n_lines, r.n_removed) == (len(x), len(gone[i]))
-        assert r.text == "\n".join(y for k, y in enumerate(x) if k not in gone[i])
-    assert got.count() == len(rows)
+    assert collections.Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got.collect()) == want
 
 
 # --- 4 -------------------------------------------------------------------------------
