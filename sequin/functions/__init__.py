@@ -2,7 +2,11 @@
 
 from .chain import ordered_chain
 from .indices import (
+    checked_distances,
     checked_indices,
+    checked_number,
+    checked_values,
+    complaint,
     first_index,
     first_token,
     join_ints,
@@ -11,11 +15,19 @@ from .indices import (
     parse_indices,
     parse_values,
     render_indices,
+    unreadable_distances,
+    unreadable_indices,
+    unreadable_number,
+    unreadable_values,
 )
 from .window import entry_position, first_of_window, prefix_indices, rerank, window_entry
 
 __all__ = [
+    "checked_distances",
     "checked_indices",
+    "checked_number",
+    "checked_values",
+    "complaint",
     "entry_position",
     "first_index",
     "first_of_window",
@@ -29,5 +41,9 @@ __all__ = [
     "prefix_indices",
     "render_indices",
     "rerank",
+    "unreadable_distances",
+    "unreadable_indices",
+    "unreadable_number",
+    "unreadable_values",
     "window_entry",
 ]

@@ -13,13 +13,54 @@ def parse_indices(text: Column | str) -> Column:
     return F.from_json(text, INDICES)
 
 
+def _raw(text: Column | str) -> Column:
+    return F.col(text) if isinstance(text, str) else text
+
+
+def _checked(raw: Column, parsed: Column, unreadable: Column, what: str, kind: str) -> Column:
+    return F.when(unreadable, F.raise_error(complaint(raw, what)).cast(kind)).otherwise(parsed)
+
+
+def complaint(raw: Column, what: str) -> Column:
+    return F.concat(F.lit(f"unreadable {what}: "), F.coalesce(raw, F.lit("(none)")))
+
+
+def unreadable_indices(text: Column | str) -> Column:
+    """Whether a position list is no list of whole numbers."""
+    ix = parse_indices(_raw(text))
+    return _raw(text).isNull() | ix.isNull() | F.exists(ix, lambda p: p.isNull())
+
+
+def unreadable_number(text: Column | str) -> Column:
+    return _raw(text).try_cast("double").isNull()
+
+
+def unreadable_values(text: Column | str) -> Column:
+    values = parse_values(_raw(text))
+    return _raw(text).isNull() | values.isNull() | F.exists(values, lambda v: v.isNull())
+
+
+def unreadable_distances(text: Column | str) -> Column:
+    found = parse_distances(_raw(text))
+    return _raw(text).isNull() | found.isNull() | F.exists(F.map_values(found), lambda v: v.isNull())
+
+
 def checked_indices(text: Column | str) -> Column:
     """As `parse_indices`; a list that is no list of whole numbers is an error that shows it."""
-    raw = F.col(text) if isinstance(text, str) else text
-    ix = parse_indices(raw)
-    bad = raw.isNull() | ix.isNull() | F.exists(ix, lambda p: p.isNull())
-    shown = F.concat(F.lit("unreadable position list: "), F.coalesce(raw, F.lit("(none)")))
-    return F.when(bad, F.raise_error(shown).cast(INDICES)).otherwise(ix)
+    return _checked(_raw(text), parse_indices(_raw(text)), unreadable_indices(text), "position list", INDICES)
+
+
+def checked_number(text: Column | str, what: str) -> Column:
+    """A DOUBLE; a text that is no number is an error that shows it."""
+    return _checked(_raw(text), _raw(text).try_cast("double"), unreadable_number(text), what, "double")
+
+
+def checked_values(text: Column | str) -> Column:
+    return _checked(_raw(text), parse_values(_raw(text)), unreadable_values(text), "value list", VALUES)
+
+
+def checked_distances(text: Column | str) -> Column:
+    return _checked(_raw(text), parse_distances(_raw(text)), unreadable_distances(text), "distances", DISTANCES)
 
 
 def parse_values(text: Column | str) -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import entry_position, prefix_indices, window_entry
 from ..functions.identity import LIST
 from ..session import pinned
+from ..sources.fixture import rank_within
 from .encode import POSITION_BLOCK
 from .joins import join_bounded
 
@@ -100,6 +101,24 @@ def pivot_presence(tmap: DataFrame, values: list[str], column: str = "class_d")
     return pivoted.select("S_class", "S_name", *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("bigint").alias(v) for v in values])
 
 
+def pivot_positions(occ: DataFrame, series: list[str], classes: dict[str, str] | None = None) -> DataFrame:
+    """J4 as the reference fills it: one row per shapelet and one column for each of `series`,
+    an array with the position list of each of its rows there ("x" for an empty list; no row,
+    no entry), sorted as text. With `classes` a column is named `series_class`.
+
+    For a list of series that a caller gives: their rows alone are grouped, and a cell holds
+    what one series lists. Names may hold dots, blanks or backticks."""
+    text = F.when(F.col("T_indice") == "[]", "x").otherwise(F.expr("substring(T_indice, 2, length(T_indice) - 2)"))
+    asked = occ.filter(F.col("T_name").isin(series)).select("S_class", "S_dimension", "S_name", "T_name", text.alias("cell"))
+    cells = asked.groupBy("S_class", "S_dimension", "S_name", "T_name").agg(F.array_sort(F.collect_list("cell")).alias("cell"))
+    wide = cells.groupBy("S_class", "S_dimension", "S_name").pivot("T_name", series).agg(F.first("cell"))
+    every = occ.select("S_class", "S_dimension", "S_name").distinct()
+    wide = every.join(wide, ["S_class", "S_dimension", "S_name"], "left")
+    quoted = lambda t: F.col("`" + t.replace("`", "``") + "`")
+    named = lambda t: f"{t}_{classes[t]}" if classes else t
+    return wide.select("S_class", "S_dimension", "S_name", *[F.coalesce(quoted(t), F.array().cast("array<string>")).alias(named(t)) for t in series])
+
+
 def class_totals(dataset: DataFrame) -> DataFrame:
     """Series per class (one row per class)."""
     return dataset.groupBy(F.col("class_d").alias("S_class")).agg(F.count(F.lit(1)).alias("n_class"))
@@ -210,6 +229,33 @@ def reranked_windows(
     )
 
 
+def window_entries(
+    seqs: DataFrame,
+    matrix: DataFrame,
+    blocks: DataFrame,
+    own_class_only: bool = False,
+    salts: int | None = None,
+    chunks: int | None = None,
+) -> DataFrame:
+    """A3/V12/V13 in long form: one row per entry of a (variant, series) window, with its
+    `place` in the text order of the entries (from 0) and the shapelet's `rank`.
+
+    The rows are dealt by range of (variant, series, entry) and numbered by chunk, so a
+    window of any length is sorted by as many tasks as it fills; no array is longer than a
+    block. Equal entries of different shapelets go by rank. A rank compares the orders of
+    the sequence's own shapelets present, at most one a dimension."""
+    pair = ["S_class", "names", "ords", "T_name"]
+    steps = _window_steps(seqs, matrix, own_class_only, salts)
+    listed = blocks.filter(F.size("pos") > 0).select("S_class", "S_name", "T_name", "pos")
+    present = steps.join(listed.select("S_class", "S_name", "T_name").distinct(), ["S_class", "S_name", "T_name"])
+    by_order = Window.partitionBy(*pair).orderBy(F.col("ord").cast("string"), "S_name")
+    ranked = present.withColumn("rank", F.row_number().over(by_order) - 1)
+    rows = ranked.join(listed, ["S_class", "S_name", "T_name"]).withColumn("p", F.explode("pos"))
+    rows = rows.select(F.struct(*pair).alias("pair"), "rank", "p", window_entry(F.col("ord"), F.col("p")).alias("entry"))
+    placed = rank_within(rows, "pair", ["entry", "rank", "p"], chunks)
+    return placed.select(*[F.col(f"pair.{c}").alias(c) for c in pair], (F.col("_rank") - 1).cast("bigint").alias("place"), "entry", "rank", "p")
+
+
 def first_entries(
     seqs: DataFrame, matrix: DataFrame, tmap: DataFrame, own_class_only: bool = False, salts: int | None = None
 ) -> DataFrame:

@@ -202,6 +202,16 @@ BODIES: dict[str, str] = {
                CAST(2 AS BIGINT) AS n_sub, CAST(band * 50 AS DOUBLE) AS sub_lo,
                CAST(1 AS BIGINT) AS n_dist, CAST(0.0 AS DOUBLE) AS dist_self
         FROM occ""",
+    "src_occurrence_rejects": """
+        SELECT S_name, CASE WHEN k <> 0 THEN T_name END AS T_name, CASE WHEN k NOT IN (0, 1) THEN gain END AS gain,
+               CASE WHEN k NOT IN (0, 2) THEN CAST(len(ix) AS BIGINT) END AS n_ix,
+               CASE WHEN k NOT IN (0, 3) THEN CAST(2 AS BIGINT) END AS n_sub,
+               CASE WHEN k NOT IN (0, 4) THEN CAST(1 AS BIGINT) END AS n_dist,
+               CASE k WHEN 0 THEN 'fewer than 9 fields in line: ' || S_name || ';' || S_origin || ';' || S_dimension
+                      WHEN 1 THEN 'unreadable gain: high' WHEN 2 THEN 'unreadable position list: [0, x]'
+                      WHEN 3 THEN 'unreadable value list: [1.0, y]' WHEN 4 THEN 'unreadable distances: {oops}' END AS reject
+        FROM (SELECT *, (CAST(split_part(T_name, '_', 2) AS BIGINT) + length(S_name)) % 7 AS k FROM occ) q""",
+    "sink_wrapped": "SELECT S_name, S_origin, S_dimension, S_class, T_name, T_indice, gain FROM occ",
     "parse_indices": """
         SELECT S_name, T_name, T_indice, CAST(len(ix) AS BIGINT) AS n_ix,
                ix[1] AS first_ix, ix[len(ix)] AS last_ix,
@@ -289,6 +299,18 @@ BODIES: dict[str, str] = {
                CAST(count_if(present = 1 AND class_d = 'abnormal') AS BIGINT) AS abnormal,
                CAST(count_if(present = 1 AND class_d = 'normal') AS BIGINT) AS normal
         FROM tmap GROUP BY S_class, S_name""",
+    "pivot_positions": """
+        SELECT S_class, S_dimension, S_name,
+               coalesce(string_agg(c, '|' ORDER BY c) FILTER (T_name = 'u_1'), '') AS u_1,
+               coalesce(string_agg(c, '|' ORDER BY c) FILTER (T_name = 'u_2'), '') AS u_2,
+               coalesce(string_agg(c, '|' ORDER BY c) FILTER (T_name = 'u_3'), '') AS u_3,
+               coalesce(string_agg(c, '|' ORDER BY c) FILTER (T_name = 'u_4'), '') AS u_4,
+               coalesce(string_agg(c, '|' ORDER BY c) FILTER (T_name = 'u_5'), '') AS u_5,
+               coalesce(string_agg(c, '|' ORDER BY c) FILTER (T_name = 'u_6'), '') AS u_6,
+               coalesce(string_agg(c, '|' ORDER BY c) FILTER (T_name = 'u_7'), '') AS u_7,
+               coalesce(string_agg(c, '|' ORDER BY c) FILTER (T_name = 'u_8'), '') AS u_8
+        FROM (SELECT *, CASE WHEN len(ix) = 0 THEN 'x' ELSE array_to_string(ix, ', ') END AS c FROM occ) q
+        GROUP BY S_class, S_dimension, S_name""",
     "sequence_profile": """
         SELECT S_class, names, ords, T_name, CAST(max(n_steps) AS BIGINT) AS n_shapelets, string_agg(e, ',' ORDER BY e) AS window
         FROM (SELECT S_class, names, ords, n_steps, T_name,

@@ -24,11 +24,14 @@ from ..sources import (
     read_dataset,
     read_occurrences,
     read_table,
+    read_wrapped_occurrences,
     series_catalogue,
     write_dataset_text,
     write_occurrences_text,
+    write_wrapped_occurrences,
 )
 from ..sources.fixture import CLASSES
+from ..sources.text import REPORT, occurrence_lines
 from ..sources.sink import write_table
 
 # The reference's declared accuracy threshold.
@@ -160,6 +163,11 @@ class Mining:
         v = self.keyed_verdicts.drop("names", "ords")
         return plain(v.withColumn("items", items(F.get(F.split("sid", LIST, 2), 1))))
 
+    def accurate_presence(self, least: float = ACCURACY_THRESHOLD) -> DataFrame:
+        """The presence verdicts of at least this accuracy. A larger set may be found where a
+        smaller one is not, so there is no bound inside the search."""
+        return self.verdict_presence().filter(F.col("accuracy") >= least)
+
     def verdict_ordered(self) -> DataFrame:
         v = evaluate.verdict_ordered(self.seqs, self.dataset, self.tmap, self.blocks, self.salts)
         return plain(v.withColumn("items", items(F.col("names"))))
@@ -224,6 +232,35 @@ def q_src_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Kinds of damage in `q_src_occurrence_rejects`, dealt by series number and length of name.
+DAMAGES = 7
+
+
+def q_src_occurrence_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 in report mode: all occurrence lines, five of seven kinds spoilt, each in one way."""
+    occ = Mining(spark, sf_dir).occ
+    kind = F.pmod(F.substring_index("T_name", "_", -1).cast("bigint") + F.length("S_name"), F.lit(DAMAGES))
+    fields = F.split("value", ";", -1)
+    spoilt = lambda i, text: F.array_join(F.transform(fields, lambda x, k: F.when(k == i, text).otherwise(x)), ";")
+    lines = occurrence_lines(occ, kind.alias("kind"))
+    ways = [F.array_join(F.slice(fields, 1, 3), ";"), spoilt(6, "high"), spoilt(5, "[0, x]"), spoilt(7, "[1.0, y]"), spoilt(8, "{oops}")]
+    text = F.col("value")
+    for k, way in enumerate(ways):
+        text = F.when(F.col("kind") == k, way).otherwise(text)
+    path = scratch_path(spark, "spoilt-text")
+    lines.select(text.alias("value")).write.text(path)
+    read = read_occurrences(spark, path, bad=REPORT)
+    return read.select("S_name", "T_name", "gain", F.size("ix").cast("bigint").alias("n_ix"), F.size("sub_sequence").cast("bigint").alias("n_sub"), F.size("distance").cast("bigint").alias("n_dist"), "reject")
+
+
+def q_sink_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The occurrences as text in the committed output's form, read back."""
+    path = scratch_path(spark, "wrapped-text")
+    write_wrapped_occurrences(Mining(spark, sf_dir).occ, path)
+    occ = read_wrapped_occurrences(spark, path)
+    return occ.select("S_name", "S_origin", "S_dimension", "S_class", "T_name", render_indices("ix").alias("T_indice"), "gain")
+
+
 def q_parse_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     occ = Mining(spark, sf_dir).occ.select("S_name", "T_name", "T_indice")
     ix = parse_indices("T_indice")
@@ -423,6 +460,16 @@ def q_pivot_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.pivot_presence(Mining(spark, sf_dir).tmap, CLASSES)
 
 
+# Series that `q_pivot_positions` asks for, as a caller would.
+PIVOT_SERIES = [f"u_{i}" for i in range(1, 9)]
+
+
+def q_pivot_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 with the reference's cells: position lists of every shapelet in the series asked for."""
+    wide = evaluate.pivot_positions(Mining(spark, sf_dir).occ, PIVOT_SERIES)
+    return wide.select("S_class", "S_dimension", "S_name", *[F.array_join(t, "|").alias(t) for t in PIVOT_SERIES])
+
+
 @rendered
 def q_sequence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mining(spark, sf_dir).hits.select("S_class", "set_key", "T_name", "class_d")
@@ -534,7 +581,7 @@ def q_sequence_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_accurate_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the threshold the reference declares (0.8) but never applies."""
-    v = Mining(spark, sf_dir).verdict_presence().filter(F.col("accuracy") >= ACCURACY_THRESHOLD)
+    v = Mining(spark, sf_dir).accurate_presence()
     return _text(v.select("S_class", "sid", "accuracy", "tas"))
 
 
@@ -633,6 +680,7 @@ def released(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src_dataset": q_src_dataset,
     "src_occurrences": q_src_occurrences,
+    "src_occurrence_rejects": q_src_occurrence_rejects,
     "parse_indices": q_parse_indices,
     "project_occurrence": q_project_occurrence,
     "occurring_only": q_occurring_only,
@@ -654,6 +702,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "join_sequence_occurrence_rows": q_join_sequence_occurrence_rows,
     "presence_matrix": q_presence_matrix,
     "pivot_presence": q_pivot_presence,
+    "pivot_positions": q_pivot_positions,
     "sequence_profile": q_sequence_profile,
     "sequence_profile_windows": q_sequence_profile_windows,
     "sequence_profile_vetoed": q_sequence_profile_vetoed,
@@ -676,6 +725,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sequence_count_by_class": q_sequence_count_by_class,
     "shapelet_support": q_shapelet_support,
     "sink_verdict": q_sink_verdict,
+    "sink_wrapped": q_sink_wrapped,
 }
 
 QUERIES = {name: released(query) for name, query in _QUERIES.items()}

@@ -445,3 +445,47 @@ def test_close_removes_what_was_pinned(spark):
     assert made and all(os.path.isdir(p) for p in made)
     m.close()
     assert session.pinned_count() == before and not any(os.path.exists(p) for p in made)
+
+
+def test_pivot_of_position_lists(spark):
+    occ = [row("s1", "d1", "c", "a.b c`d", [4, 2]), row("s1", "d1", "c", "a.b c`d", []), row("s1", "d1", "c", "t2", [7]), row("s2", "d2", "c", "t3", [1])]
+    _, oc = frames(spark, {"t2": "c"}, occ)
+    wide = evaluate.pivot_positions(oc, ["a.b c`d", "t2", "t_none"], {"a.b c`d": "x", "t2": "y_z", "t_none": "w"})
+    assert wide.columns == ["S_class", "S_dimension", "S_name", "a.b c`d_x", "t2_y_z", "t_none_w"]
+    got = {r.S_name: tuple(r)[3:] for r in wide.collect()}
+    assert got == {"s1": (["4, 2", "x"], ["7"], []), "s2": ([], [], [])}
+
+
+@pytest.mark.parametrize("seed", [3, 6])
+def test_long_windows_are_the_arrays(spark, seed):
+    dataset, occ = random_case(seed)
+    ds, oc = frames(spark, dataset, occ)
+    m = Mining.from_tables(ds, oc)
+    rows = {}
+    for r in evaluate.window_entries(m.seqs, m.hits, m.blocks, chunks=7).collect():
+        rows.setdefault((r.S_class, r.names, r.ords, r.T_name), []).append((r.place, r.entry, f"{r['rank']}_{r.p}"))
+    key = lambda r: (r.S_class, r.names, r.ords, r.T_name)
+    windows = {key(r): list(r.window) for r in evaluate.sequence_profile(m.seqs, m.hits, m.blocks).collect()}
+    ranked = {key(r): list(r.window) for r in evaluate.reranked_windows(m.seqs, m.hits, m.tmap, m.blocks).collect()}
+    assert {k: [e for _, e, _ in sorted(v)] for k, v in rows.items()} == windows
+    assert {k: [e for _, _, e in sorted(v)] for k, v in rows.items()} == ranked
+    assert all([p for p, _, _ in sorted(v)] == list(range(len(v))) for v in rows.values())
+    m.close()
+
+
+def test_a_long_window_is_sorted_by_many_tasks(spark):
+    """300,000 entries of one (variant, series): no task holds the window, no array is longer than a block."""
+    from pyspark.sql import functions as F
+
+    n = 150_000
+    wide = spark.range(2).select(F.format_string("s%d", "id").alias("S_name"), F.format_string("d%d", "id").alias("S_dimension"), F.lit("c").alias("S_class"), F.lit("t").alias("T_name"), F.expr(f"transform(sequence(0, {n - 1}), x -> 2L * x + id)").alias("ix"))
+    ds = spark.createDataFrame([("t", "c")], "T_name string, class_d string")
+    m = Mining.from_tables(ds, wide.withColumn("T_indice", F.lit("[0]")))
+    entries = evaluate.window_entries(m.seqs.filter("n_steps = 2"), m.hits.filter(F.col("set_key").contains("\x1e")), m.blocks, chunks=16)
+    pinned = entries.withColumn("task", F.spark_partition_id()).persist()
+    assert pinned.count() == 2 * n and pinned.select("place").distinct().count() == 2 * n
+    texts = sorted([f"0_{2 * x}" for x in range(n)] + [f"1_{2 * x + 1}" for x in range(n)])
+    some = {r.place: r.entry for r in pinned.filter("place % 997 = 0").collect()}
+    assert all(texts[k] == e for k, e in some.items()) and len(some) > 200
+    pinned.unpersist()
+    m.close()
