@@ -2,46 +2,37 @@
 
 from __future__ import annotations
 
-from .mixing import BLOCK, CELLS, MAX_PASSES, POINTS, STEP  # noqa: F401
-
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP1 = f"""
-with d as (
+with recursive
+d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size,
          md5('1:' || coalesce(doc_id::varchar, '')) as key from documents),
 s as materialized (
   select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from d group by source),
-r as (
-  select *, {MAX_PASSES}.0::double * source_size as ceiling, sum(source_size) over ()::double as total, sum(w) over ()::double as weights,
-         coalesce(sum(source_size) over before, 0)::double * {MAX_PASSES} as full_, coalesce(sum(w) over before, 0)::double as used
-  from s window before as (order by {MAX_PASSES}.0::double * source_size / w, source nulls last rows between unbounded preceding and 1 preceding)),
-l as (select *, (total - full_) / (weights - used) as level from r),
+total as (select sum(source_size)::double as total from s),
+-- sources above three times their size stop there, and the rest is shared again, until none is above
+share as (
+  select 0 as round, source, false as capped from s
+  union all
+  select round + 1, source, capped or level * w >= 3.0 * source_size from (
+    select share.*, s.w, s.source_size,
+      (total - coalesce(sum(3.0 * source_size) filter (capped) over (), 0)) / sum(w) filter (not capped) over () as level
+    from share join s on s.source is not distinct from share.source, total) q
+  where round < (select count(*) from s)),
+last as (select * from share where round = (select max(round) from share)),
 t as (
-  select *, least(ceiling, (select arg_min(level, used) from l where level * w <= ceiling) * w) as target from l),
-sh as (
-  select *, (sum(target) over o - target) / total as lo, sum(target) over o / total as hi, floor(target + 0.5)::bigint as goal
-  from t window o as (order by source nulls last rows between unbounded preceding and current row)),
-slots as (
-  select n, (n % {POINTS} * {STEP}) % {POINTS} / {POINTS}.0::double as u
-  from range((select case when sum(source_size) = 0 then 0 else ((sum(source_size) * 21 + {20 * BLOCK} - 1) // {20 * BLOCK} + 32 * count(*)) end::bigint from s)) as x(n)),
-ranked as (
-  select sh.source, row_number() over (partition by sh.source order by n) - 1 as block from slots join sh on u >= lo and u < hi),
+  select s.*, case when capped then 3.0 * source_size
+    else w * (total - coalesce(sum(3.0 * source_size) filter (capped) over (), 0)) / sum(w) filter (not capped) over () end::double as target
+  from last join s on s.source is not distinct from last.source, total),
 placed as (
-  select d.*, coalesce(sum(size) over (partition by source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from d),
-runs as (
-  select p.doc_id, p.source, p.start, pass * source_size + p.start as b, least(pass * source_size + p.start + p.size, goal) as e
-  from placed p join sh on p.source is not distinct from sh.source, range({MAX_PASSES}) as x(pass)
-  where p.size > 0 and pass * source_size + p.start < goal),
-cut as (
-  select doc_id, source, start, unnest(range(b // {BLOCK}, (e - 1) // {BLOCK} + 1)) as block, b, e from runs),
-taken as (
-  select c.source, c.start, sum(least(e, (c.block + 1) * {BLOCK}) - greatest(b, c.block * {BLOCK}))::bigint as taken
-  from cut c join ranked k on c.block = k.block and c.source is not distinct from k.source group by all)
-select p.doc_id, p.size, sh.source_size, sh.target, coalesce(taken.taken, 0)::bigint as taken
-from placed p join sh on p.source is not distinct from sh.source
-left join taken on p.size > 0 and taken.source is not distinct from p.source and taken.start = p.start
+  select d.*, coalesce(sum(size) over (partition by source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from d)
+-- the words that the mix takes of a source are the first of its stream, passed as often as needed
+select p.doc_id, p.size, t.source_size, t.target,
+  (greatest(0, least(p.size, g - p.start)) + greatest(0, least(p.size, g - t.source_size - p.start)) + greatest(0, least(p.size, g - 2 * t.source_size - p.start)))::bigint as taken
+from placed p join (select *, floor(target + 0.5)::bigint as g from t) t on p.source is not distinct from t.source
 """
 
 _OP2 = f"""
