@@ -23,7 +23,7 @@ A document's ids are those of the tokenizers library, then the end id (see
 ``Encoder`` for what is encoded once only).
 
 Edge cases: a null or empty text has the end id alone. Null doc_ids come first;
-rows of one doc_id go by the digest of their text, and equal rows are written
+rows of one doc_id go by the hash of their text, and equal rows are written
 each. An empty table has no shard and no row. Extra columns are ignored.
 """
 
@@ -175,7 +175,7 @@ def build(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     v = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     planes = []
     for b in range(bits - 1, -1, -1):
-        one = (v >> b).astype(np.uint8) & 1 > 0
+        one = (v & v.dtype.type(1 << b)) != 0
         planes.append(np.packbits(one, bitorder="little"))
         v = np.concatenate([v[~one], v[one]])
     return planes
@@ -343,9 +343,8 @@ class Shard:
 def write(docs: DataFrame, tokenizer: str, folder: str, id: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, by_word: bool = True) -> DataFrame:
     """Write the shards below ``folder``; returns the manifest: path, part, shard, n_docs,
     n_tokens, start (ids in earlier shards), in order of (part, shard)."""
-    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.withColumn("digest", digest).repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").drop("digest")
+    rows = rows.withColumn("digest", F.xxhash64("text")).repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").drop("digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder, part = encoder(tokenizer, by_word), TaskContext.get().partitionId()
@@ -386,9 +385,11 @@ def _each_shard(manifest: DataFrame, columns: list[str]) -> DataFrame:
     return manifest.select(*columns).repartition(max(1, manifest.count()))
 
 
-def read(manifest: DataFrame, kind: T.DataType | None = None) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids (little-endian 32-bit) of every document, from the files."""
+def read(manifest: DataFrame, kind: T.DataType | None = None, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and (``with_ids``) ids, little-endian 32-bit, of every
+    document, from the files."""
     names, types = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names, types = (names, types) if with_ids else (names[:4], types[:4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,15 +398,15 @@ def read(manifest: DataFrame, kind: T.DataType | None = None) -> DataFrame:
                     ids, held, weight, lo = shard.tokens(), [], 0, 0
                     for i, hi in zip(shard.doc_ids, shard.ends.tolist(), strict=True):
                         own = ids[lo:hi].astype("<u4").tobytes()
-                        held.append((i, start + lo, hi - lo, zlib.crc32(own), own))
-                        weight, lo = weight + len(own), hi
+                        held.append((i, start + lo, hi - lo, zlib.crc32(own), own)[: len(names)])
+                        weight, lo = weight + (len(own) if with_ids else 64), hi
                         if weight >= 1 << 21:
                             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
                             held, weight = [], 0
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
-    rows = _each_shard(manifest, ["path", "start"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    rows = _each_shard(manifest, ["path", "start"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     return rows.withColumn("doc_id", F.col("doc_id").cast(kind)) if kind is not None else rows
 
 
@@ -424,8 +425,8 @@ def occurrences(manifest: DataFrame, token: int) -> DataFrame:
     return _each_shard(manifest, ["path"]).mapInArrow(run, "doc_id long, place long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the shards of all documents and read them back."""
+def round_trip(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Write the shards of all documents and read them back (see ``read``)."""
     spark: SparkSession = docs.sparkSession
     manifest = write(docs, tokenizer, scratch_path(spark, "op13-shards"), id, text)
-    return read(manifest, docs.schema[id].dataType).withColumnRenamed("doc_id", id)
+    return read(manifest, docs.schema[id].dataType, with_ids).withColumnRenamed("doc_id", id)
