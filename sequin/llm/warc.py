@@ -6,9 +6,10 @@ the payload up to the chunk's end, so that the last chunk's is the record's.
 
 * ``records`` decides, from digests and lengths alone, which of equal payloads
   is the response and which revisit it.
-* ``write_archives`` streams each partition's pages to gzipped WARC files in the
-  shared folder, one gzip member a record, payload chunk by chunk, a new file
-  after ``FILE_BYTES`` of payload.
+* ``chunk_rows`` cuts the payloads before they leave the JVM; ``write_archives``
+  streams the chunk rows to gzipped WARC files in the shared folder, one gzip
+  member a record, a new file after ``FILE_BYTES`` of payload. A revisit names its
+  response by WARC-Refers-To.
 * ``read_chunks`` reads the archives back, one task a file, and emits the chunk
   table: memory is one chunk and one header, whatever the record's size.
 
@@ -63,39 +64,61 @@ def _header(kind: str, fields: list[tuple[str, object]], length: int) -> bytes:
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def _record(write, row: dict) -> None:
-    """One gzip member; the payload goes through the compressor chunk by chunk."""
-    payload = memoryview((row["html"] or "").encode()) if row["record_type"] == "response" else memoryview(b"")
-    fields = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", row["url"]), ("WARC-Payload-Digest", f"sha1:{row['digest']}"), ("X-Page-Id", row["page_id"]), ("X-Payload-Length", row["bytes"])]
-    if row["record_type"] == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", row["refers_to"])]
-    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-    write(packer.compress(_header(row["record_type"], fields, len(payload))))
-    for at in range(0, len(payload), CHUNK):
-        write(packer.compress(payload[at : at + CHUNK]))
-    write(packer.compress(b"\r\n\r\n"))
-    write(packer.flush())
+def record_id(page_id: object, digest: str) -> str:
+    """The id of the response that revisits of this payload refer to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}/sha1:{digest}')}>"
 
 
-def write_archives(rows: DataFrame, folder: str) -> DataFrame:
+def _begin(row: dict, least: int) -> bytes:
+    """The header of a record. Only payloads of at least ``least`` bytes are referred to, and
+    there is one response of each: its id follows from page and digest, any other is fresh."""
+    revisit, large = row["record_type"] == "revisit", row["bytes"] >= least
+    own = record_id(row["page_id"], row["digest"]) if large and not revisit else f"<urn:uuid:{uuid.uuid4()}>"
+    fields = [("WARC-Record-ID", own), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", row["url"]), ("WARC-Payload-Digest", f"sha1:{row['digest']}"), ("X-Page-Id", row["page_id"]), ("X-Payload-Length", row["bytes"])]
+    if revisit:
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(row["refers_to"], row["digest"])), ("X-Refers-To-Page-Id", row["refers_to"])]
+    return _header(row["record_type"], fields, 0 if revisit else row["bytes"])
+
+
+def chunk_rows(rows: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The records as rows of at most ``size`` bytes of payload, a record's in order and together;
+    a revisit and an empty payload have one empty chunk."""
+    response = F.col("record_type") == "response"
+    n = F.when(response, F.greatest(F.ceil(F.col("bytes") / size), F.lit(1))).otherwise(1).cast("int")
+    fields = ["page_id", "url", "digest", "bytes", "record_type", "refers_to"]
+    cut = rows.select(*fields, F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"), n.alias("chunks"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    data = F.when(response, F.substring(F.col("payload"), F.col("chunk") * size + 1, F.lit(size))).otherwise(F.lit(b""))
+    return cut.select(*fields, "chunk", (F.col("chunk") == F.col("chunks") - 1).alias("last"), data.alias("data"))
+
+
+def write_archives(rows: DataFrame, folder: str, least: int = MIN_REVISIT) -> DataFrame:
     """Write the records below ``folder`` (a path of the shared store); returns the files: path, records.
 
-    A file's name holds a fresh number, so a repeated or doubled task writes files
-    of its own and only those that its result names are read.
+    A task gets the records as chunk rows and never holds a whole payload. A file's name
+    holds a fresh number, so a repeated or doubled task writes files of its own and only
+    those that its result names are read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
-        stream, name, count, size = None, "", 0, 0
+        stream, packer, name, count, size = None, None, "", 0, 0
         done: list[tuple[str, int]] = []
         for batch in batches:
-            for i in range(batch.num_rows):  # one page's text at a time
-                row = {k: batch.column(j)[i].as_py() for j, k in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                row = {k: batch.column(j)[i] for j, k in enumerate(batch.schema.names)}
+                data = row.pop("data").as_buffer()
+                row = {k: v.as_py() for k, v in row.items()}
                 if stream is None:
                     name, count, size = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
                     fs.create_dir(base, recursive=True)
                     stream = fs.open_output_stream(os.path.join(base, name), compression=None)
-                _record(stream.write, row)
+                if row["chunk"] == 0:  # a gzip member for each record
+                    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
+                    stream.write(packer.compress(_begin(row, least)))
+                stream.write(packer.compress(data))
+                if not row["last"]:
+                    continue
+                stream.write(packer.compress(b"\r\n\r\n") + packer.flush())
                 count, size = count + 1, size + row["bytes"]
                 if size >= FILE_BYTES:
                     stream.close()
@@ -106,7 +129,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             done.append((name, count))
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n, _ in done], pa.string()), pa.array([c for _, c in done], pa.int64())], names=["path", "records"])
 
-    return rows.select("page_id", "url", "html", "digest", "bytes", "record_type", "refers_to").mapInArrow(run, "path string, records long")
+    return chunk_rows(rows).mapInArrow(run, "path string, records long")
 
 
 class _Inflated:
@@ -148,7 +171,7 @@ class _Inflated:
         return out
 
 
-_CHUNKS = "record_id string, record_type string, page_id string, refers_to string, target_uri string, stated_digest string, stated_bytes long, chunk int, last boolean, data binary, bytes_so_far long, sha1_so_far string"
+_CHUNKS = "record_id string, record_type string, page_id string, refers_to string, refers_to_record string, target_uri string, stated_digest string, stated_bytes long, chunk int, last boolean, data binary, bytes_so_far long, sha1_so_far string"
 
 
 def read_chunks(spark: SparkSession, paths: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -156,7 +179,7 @@ def read_chunks(spark: SparkSession, paths: DataFrame, size: int = CHUNK) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _CHUNKS.split(", ")]
-        types = [pa.string()] * 6 + [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.string()]
+        types = [pa.string()] * 7 + [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.string()]
         held: list[tuple] = []
         weight = 0
         for batch in batches:
@@ -178,7 +201,7 @@ def read_chunks(spark: SparkSession, paths: DataFrame, size: int = CHUNK) -> Dat
                             digest.update(data)
                             if not left and f["WARC-Type"] == "response" and digest.hexdigest() != stated:
                                 raise ValueError(f"a payload of {path} does not have its digest")
-                            held.append((f["WARC-Record-ID"], f["WARC-Type"], f.get("X-Page-Id"), f.get("X-Refers-To-Page-Id"), f.get("WARC-Target-URI"), stated, int(f["X-Payload-Length"]), chunk, left == 0, data, done, digest.hexdigest()))
+                            held.append((f["WARC-Record-ID"], f["WARC-Type"], f.get("X-Page-Id"), f.get("X-Refers-To-Page-Id"), f.get("WARC-Refers-To"), f.get("WARC-Target-URI"), stated, int(f["X-Payload-Length"]), chunk, left == 0, data, done, digest.hexdigest()))
                             weight += len(data) + 400
                             chunk += 1
                             if weight >= 1 << 21:
