@@ -495,6 +495,48 @@ def test_language_id(spark):
     assert {r.lang_pred for r in ecoc.predictions(docs(spark, EDGE), nothing).collect()} == {"und"}
 
 
+def plain_margins(model, text):
+    """The classifiers' margins of a text, n-gram by n-gram."""
+    folded = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in (text or "").encode())
+    cells = collections.Counter()
+    for k in (1, 2, 3):
+        for at in range(len(folded) - k + 1):
+            gram = int.from_bytes(folded[at : at + k], "big") + (k << 24)
+            cells[(gram * 2654435761 % 2**32) >> (32 - ecoc.BITS)] += 1
+    norm = max(math.sqrt(sum(cells.values())), 1e-9)
+    return [sum(math.sqrt(n) / norm * float(model.weights[c, b]) for c, n in cells.items()) + float(model.weights[-1, b]) for b in range(model.code.shape[1])]
+
+
+def test_language_decoding_is_the_plain_one(spark):
+    """Margins, loss-weighted decoding, score, ambiguity and the trust weights, one by one."""
+    rnd = random.Random(8)
+    letters = {"aa": "abcde fg", "bb": "efghij k", "cc": "ijklma é", "dd": "öüäbcd e", "ee": "aeiou xy"}
+    texts = [("".join(rnd.choice(own) for _ in range(rnd.randrange(20, 90))), lang) for lang, own in letters.items() for _ in range(25)]
+    model = ecoc.fit([t for t, _ in texts], [lang for _, lang in texts], steps=12)
+    assert model.langs == sorted(letters)
+    right = {lang: [0.0] * model.code.shape[1] for lang in letters}
+    for t, lang in texts:
+        for b, margin in enumerate(plain_margins(model, t)):
+            right[lang][b] += margin * model.code[model.langs.index(lang), b] > 0
+    for i, lang in enumerate(model.langs):
+        share = [n / 25 + 1e-3 for n in right[lang]]
+        assert np.allclose(model.trust[i], [x / sum(share) for x in share], atol=0.06)  # a margin of nearly 0 may round
+    rows = [(i, "".join(rnd.choice("abcdefghijklmxy öüä") for _ in range(rnd.randrange(1, 40))), "x", "s") for i in range(60)] + EDGE[:-1]
+    got = {(r.doc_id, i): r for i, r in enumerate(ecoc.predictions(docs(spark, rows).coalesce(1), model).collect())}
+    seen = set()
+    for (i, t, *_), r in zip(rows, got.values(), strict=True):
+        margins = plain_margins(model, t)
+        loss = [sum(float(w) * math.log1p(math.exp(-m * int(c))) for w, m, c in zip(model.trust[k], margins, model.code[k])) for k in range(5)]
+        first, second = sorted(loss)[:2]
+        known = any(c.isalpha() for c in t or "")
+        weights = [math.exp(-(x - first) * ecoc.SHARPNESS) for x in loss]
+        assert r.lang_pred == (model.langs[loss.index(first)] if known else "und") or second - first < 1e-5
+        assert math.isclose(r.score, 1 / sum(weights) if known else 0.0, abs_tol=1e-4)
+        assert r.ambiguous == (known and second - first < ecoc.MARGIN) or abs(second - first - ecoc.MARGIN) < 1e-5
+        seen.add((r.lang_pred, r.ambiguous))
+    assert len({a for a, _ in seen}) >= 4 and {b for _, b in seen} == {True, False}
+
+
 # --- 3 -------------------------------------------------------------------------------
 
 
@@ -584,4 +626,23 @@ def test_warc_round_trip(spark, monkeypatch):
         want.append((None if i is None else str(i), "response" if first else "revisit", None if first else str(max(same)), sha(t), (t or "") if first else None))
     order = lambda r: tuple(str(x) for x in r)
     assert sorted(got, key=order) == sorted(want, key=order)
+    # a revisit names a response's record, of the same payload
+    heads = {k: own[0] for k, own in by.items()}
+    for r in heads.values():
+        if r.record_type == "revisit":
+            of = heads[r.refers_to_record]
+            assert (of.record_type, of.page_id, of.stated_digest) == ("response", r.refers_to, r.stated_digest)
+        else:
+            assert r.refers_to_record is None
     assert warc.round_trip(table.limit(0)).count() == 0
+
+
+def test_payloads_leave_as_chunk_rows(spark):
+    pages = [(1, "u", "é" * 100), (2, "u", "a" * 50), (3, "u", None), (4, "u", "b" * 49)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"digest": F.lit("x"), "bytes": F.octet_length(F.coalesce("html", F.lit(""))).cast("long"), "record_type": F.when(F.col("page_id") == 2, "revisit").otherwise("response"), "refers_to": F.lit(None).cast("long")})
+    got = collections.defaultdict(list)
+    for r in warc.chunk_rows(rows, 49).collect():
+        got[r.page_id].append((r.chunk, r["last"], bytes(r.data)))
+    whole = ("é" * 100).encode()
+    assert got[1] == [(k, k == 4, whole[49 * k : 49 * k + 49]) for k in range(5)]
+    assert got[2] == [(0, True, b"")] and got[3] == [(0, True, b"")] and got[4] == [(0, True, b"b" * 49)]
