@@ -24,8 +24,8 @@ the query op2 and the pipeline's stage. Figures below are for 85.
   can have the overlap at all: two sets whose overlap is large enough share one
   of the rarest members of either (the prefix filter: of n members the
   n - ceil(0.85 n) + 1 rarest of the larger set, n - ceil(1.7 / 1.85 n) + 1 of
-  the smaller). A pair is looked at once, at the least of the keys that both have,
-  however many they share. What passes the size and distance bounds is confirmed.
+  the smaller, with room for the overlap behind the first one they share), where
+  the pair is met. What passes the size and distance bounds is confirmed.
   Rarity is read from a table of ``COUNTERS`` counters, a bounded broadcast; any
   order is correct, a good one leaves fewer pairs.
 * Components: alternating large-star and small-star steps until nothing changes.
@@ -80,6 +80,8 @@ _MULTIPLY = (_odd >> _U(32)).astype(np.uint32) | np.uint32(1)
 _ADD = _odd.astype(np.uint32)
 #: Cells, at most, of the filter of the texts that are needed again: 2^25 bits.
 FILTER_BITS = 25
+#: Members of a set that its rows hold, to meet another set once.
+HEAD = 16
 #: Counters of shingles by which rarity is judged (4 MB).
 COUNTERS = 1 << 20
 
@@ -274,7 +276,7 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """node, n, token: the rarest members of each set; ``short`` marks those that count as the smaller set."""
+    """node, n, token, place: the rarest members of each set, in order; ``short`` marks those that count as the smaller set."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,30 +287,37 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> Dat
                 long = n - -(-percent * n // 100) + 1
                 short = n - -(-2 * percent * n // (100 + percent)) + 1
                 token = x[np.lexsort((x, shared.value[_counter(x)]))[:long]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(long, node)), pa.array(np.full(long, n)), pa.array(token), pa.array(np.arange(long) < short)], names=["node", "n", "token", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(long, node)), pa.array(np.full(long, n)), pa.array(token), pa.array(np.arange(long) < short), pa.array(np.arange(long))], names=["node", "n", "token", "short", "place"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node long, n long, token long, short boolean")
+    return sets.select("node", "shingles").mapInArrow(run, "node long, n long, token long, short boolean, place long")
 
 
 def across(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share a key and could have the
-    overlap, each once: at the least of the keys that both have.
+    """Pairs (a, b) of classes in different components that share a key and could have the overlap.
 
-    ``open_``: node, root, keys (its keys that lie in several components).
+    ``open_``: node, root, keys (its keys that lie in several components). A pair is met at
+    the first rare member that both sets have; for that a row holds the first ``HEAD``
+    members of its set that lie in several components. Only pairs without a common member
+    among those may be met more than once.
     """
     own = sets.join(open_.select("node"), "node", "left_semi")
-    tokens = prefixes(own, rarity(own), percent)
-    held = tokens.join(open_.select("node", "root"), "node").groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("token")
+    tokens = prefixes(own, rarity(own), percent).join(open_.select("node", "root"), "node")
+    held = tokens.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("token")
+    tokens = stored(tokens.join(held, "token").select("token", "node", "n", "root", "short", "place"), "op2-tokens")
     # a set's prefix has some 15 % of its members
-    lists = tokens.join(held, "token").groupBy("node", "n").agg(F.collect_set("token").alias("long"), F.collect_set(F.when(F.col("short"), F.col("token"))).alias("short"))
-    rows = stored(open_.join(lists, "node"), "op2-open")
-    side = lambda s, prefix: rows.select(F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "keys")], F.col(prefix).alias(f"tokens_{s}"))
-    x, y = side("x", "long"), side("y", "short").filter(F.size("tokens_y") > 0)
+    first = lambda some: F.transform(F.slice(F.array_sort(F.collect_list(F.when(some, F.struct("place", "token")))), 1, HEAD), lambda x: x["token"])
+    heads = tokens.groupBy("node").agg(first(F.lit(True)).alias("head_x"), first(F.col("short")).alias("head_y")).join(open_.select("node", "keys"), "node")
+    tokens = stored(tokens.join(heads, "node"), "op2-tokens")
+    side = lambda rows, s: rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "keys", "place")], f"head_{s}")
+    x, y = side(tokens, "x"), side(tokens.filter("short"), "y")
+    met_before = F.array_intersect("head_x", "head_y")  # in the order of the first
+    once = (F.size(met_before) == 0) | (F.get(met_before, F.lit(0)) == x["token"])
     larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") > F.col("node_y")))
     sizes = F.col("n_y") * 100 >= F.col("n_x") * percent
-    once = x["key"] == F.array_min(F.array_intersect("keys_x", "keys_y"))
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("root_x") != F.col("root_y")) & larger & sizes & once & F.arrays_overlap("tokens_x", "tokens_y"))
-    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    # from their first common member on, the sets must have room for the overlap
+    room = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("root_x") != F.col("root_y")) & larger & sizes & room & once & F.arrays_overlap("keys_x", "keys_y"))
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def test_a_text_meets_its_class_by_id_and_text(spark):
 
 
 def test_pairs_come_once(spark):
-    """Two near sets share many keys and rare members, and are paired once."""
+    """Two near sets share many keys and rare members, and are met at the first of these."""
     base = said(200, 31).split()
     rows = [(i, " ".join(f"e{i}x{k}" if k == 20 * i + 10 else w for k, w in enumerate(base)), "en", "s") for i in range(6)]
     signed = minhash.signatures(docs(spark, rows), "doc_id", "text")
