@@ -81,7 +81,7 @@ _ADD = _odd.astype(np.uint32)
 #: Cells, at most, of the filter of the texts that are needed again: 2^25 bits.
 FILTER_BITS = 25
 #: Members of a set that its rows hold, to meet another set once.
-HEAD = 16
+HEAD = 8
 #: Counters of shingles by which rarity is judged (4 MB).
 COUNTERS = 1 << 20
 
@@ -303,11 +303,14 @@ def across(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     own = sets.join(open_.select("node"), "node", "left_semi")
     tokens = prefixes(own, rarity(own), percent).join(open_.select("node", "root"), "node")
     held = tokens.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("token")
-    tokens = stored(tokens.join(held, "token").select("token", "node", "n", "root", "short", "place"), "op2-tokens")
     # a set's prefix has some 15 % of its members
-    first = lambda some: F.transform(F.slice(F.array_sort(F.collect_list(F.when(some, F.struct("place", "token")))), 1, HEAD), lambda x: x["token"])
-    heads = tokens.groupBy("node").agg(first(F.lit(True)).alias("head_x"), first(F.col("short")).alias("head_y")).join(open_.select("node", "keys"), "node")
-    tokens = stored(tokens.join(heads, "node"), "op2-tokens")
+    own = tokens.join(held, "token").groupBy("node", "n", "root").agg(F.array_sort(F.collect_list(F.struct("place", "token", "short"))).alias("all"))
+    head = lambda some: F.transform(F.slice(some, 1, HEAD), lambda x: x["token"])
+    # 32 bits of a key: that two sets share one is asked to leave pairs out, not to let them in
+    short_keys = F.transform("keys", lambda k: F.hash(k))
+    own = own.join(open_.select("node", short_keys.alias("keys")), "node")
+    own = own.select("node", "n", "root", "keys", head(F.col("all")).alias("head_x"), head(F.filter("all", lambda x: x["short"])).alias("head_y"), F.explode("all").alias("t"))
+    tokens = stored(own.select("node", "n", "root", "keys", "head_x", "head_y", "t.token", "t.place", "t.short"), "op2-tokens")
     side = lambda rows, s: rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "keys", "place")], f"head_{s}")
     x, y = side(tokens, "x"), side(tokens.filter("short"), "y")
     met_before = F.array_intersect("head_x", "head_y")  # in the order of the first
