@@ -32,7 +32,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to a fresh table in the shared folder and read it back (lineage is cut)."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that no later step reads: what was made of them is itself stored."""
+    for t in tables:
+        spark = t.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Between large steps: let go of what finished plans hold.
+
+    Spark removes the shuffle files of a plan when the driver's collector finds the plan
+    unreachable, which with a large heap may be long after its result was stored."""
+    give_back()
+    spark._jvm.System.gc()
 
 
 def give_back() -> None:

@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import flat, parts, salted_lookup, stored
+from .common import flat, parts, salted_lookup, settle, spent, stored
 
 WORDS, PERCENT = 5, 85
 SYMBOLS = 64
@@ -292,13 +292,11 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> Dat
     return sets.select("node", "shingles").mapInArrow(run, "node long, n long, token long, short boolean, place long")
 
 
-def across(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share a key and could have the overlap.
+def rare_members(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rarest members of the sets in ``open_`` that sets of several components have.
 
-    ``open_``: node, root, keys (its keys that lie in several components). A pair is met at
-    the first rare member that both sets have; for that a row holds the first ``HEAD``
-    members of its set that lie in several components. Only pairs without a common member
-    among those may be met more than once.
+    ``open_``: node, root, keys (its keys that lie in several components). A row holds 32
+    bits of each of its set's keys and the first ``HEAD`` such members of its set.
     """
     own = sets.join(open_.select("node"), "node", "left_semi")
     tokens = prefixes(own, rarity(own), percent).join(open_.select("node", "root"), "node")
@@ -310,7 +308,17 @@ def across(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     short_keys = F.transform("keys", lambda k: F.hash(k))
     own = own.join(open_.select("node", short_keys.alias("keys")), "node")
     own = own.select("node", "n", "root", "keys", head(F.col("all")).alias("head_x"), head(F.filter("all", lambda x: x["short"])).alias("head_y"), F.explode("all").alias("t"))
-    tokens = stored(own.select("node", "n", "root", "keys", "head_x", "head_y", "t.token", "t.place", "t.short"), "op2-tokens")
+    return own.select("node", "n", "root", "keys", "head_x", "head_y", "t.token", "t.place", "t.short")
+
+
+def across(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a key and could have the overlap.
+
+    A pair is met at the first rare member that both sets have (``rare_members``). Only
+    pairs without a common member among the first ``HEAD`` may be met more than once.
+    """
+    tokens = stored(rare_members(open_, sets, percent), "op2-tokens")
+    settle(open_.sparkSession)
     side = lambda rows, s: rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "keys", "place")], f"head_{s}")
     x, y = side(tokens, "x"), side(tokens.filter("short"), "y")
     met_before = F.array_intersect("head_x", "head_y")  # in the order of the first
@@ -320,7 +328,10 @@ def across(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     # from their first common member on, the sets must have room for the overlap
     room = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
     met = x.join(y, (x["token"] == y["token"]) & (F.col("root_x") != F.col("root_y")) & larger & sizes & room & once & F.arrays_overlap("keys_x", "keys_y"))
-    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    pairs = stored(met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), "op2-pairs")
+    spent(tokens)
+    settle(open_.sparkSession)
+    return pairs
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -335,8 +346,9 @@ def components(links: DataFrame) -> DataFrame:
         # small star: u and its neighbours below move to the least of them
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         below = large.join(least, "hi").filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = stored(below.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "op2-edges")
+        before, edges = edges, stored(below.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "op2-edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        spent(before)
         if now == mark:
             break
         mark = now
@@ -362,8 +374,10 @@ def _decided(docs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
     entries = keys(classes, chunks_for(percent))
     many = entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     shared = stored(entries.join(many, "key"), "op2-shared")  # the keys that two classes or more have
+    settle(docs.sparkSession)
     needed = shared.select("node").distinct().join(classes.select("node", "id", "t", "s1", "s2"), "node")
     sets = stored(_sets(docs, needed, id, text), "op2-sets")
+    settle(docs.sparkSession)
 
     # round 1: every class with one leader, the one of most of its keys
     popular = shared.groupBy("node").agg(F.sum("m").alias("popular"))
@@ -373,14 +387,21 @@ def _decided(docs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
     first = votes.groupBy("node").agg(F.max(F.struct("m", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
     links = stored(confirmed(near(first, classes, percent), sets, percent), "op2-links")
     found = stored(components(links), "op2-components")
+    settle(docs.sparkSession)
 
     # round 2: pairs within a key and between components
     placed = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("key")
     # a class has at most SYMBOLS keys
     open_ = stored(placed.join(mixed, "key").groupBy("node", "root").agg(F.collect_set("key").alias("keys")), "op2-open")
-    more = stored(confirmed(near(across(open_, sets, percent), classes, percent), sets, percent), "op2-links")
+    spent(shared, found)
+    pairs = across(open_, sets, percent)
+    spent(open_)
+    more = stored(confirmed(near(pairs, classes, percent), sets, percent), "op2-links")
+    spent(pairs, sets)
     roots = components(links.union(more))
+    spent(links, more)
+    settle(docs.sparkSession)
 
     groups = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = groups.groupBy("root").agg(F.min("id").alias("component_id"), F.min("least").alias("least"))
