@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, ecoc, exact_dedup, kneser_ney, line_crf, line_windows, minhash, mixing, turn_repair, vector_codes, warc, wavelet
-from .common import id_mod, stored, table
+from .common import id_mod, settle, stored, table
 
 
 def vocabulary_path() -> str:
@@ -112,6 +112,7 @@ def op13_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- the pipeline's stages: (spark, docs, sf_dir) to documents, the last to tokens ------
+# each lets go of its predecessor's finished plans first
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -119,18 +120,22 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return exact_dedup.keep(docs)
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return minhash.keep(docs)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return mixing.repeat(docs)
 
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return bpe.digests(docs, vocabulary_path(), ids="ids")
 
 
