@@ -121,7 +121,9 @@ def occurrences(events: DataFrame, dataset: DataFrame) -> DataFrame:
     # one row: types x bands, however many events there are
     catalogue = shapelet_catalogue(events).agg(F.collect_list(F.struct("S_name", "S_dimension", "S_class", "band"))).scalar()
     pairs = dataset.select("T_name", F.explode(catalogue).alias("s")).select("T_name", "s.*")
-    return pairs.join(positions, ["T_name", "S_dimension", "band"], "left").select(
+    # both sides have as many rows as the result, but the plan takes the pairs for a catalogue's
+    # size and would broadcast them where a filter makes this an inner join
+    return pairs.join(positions.hint("merge"), ["T_name", "S_dimension", "band"], "left").select(
         "S_name",
         F.lit("events").alias("S_origin"),
         "S_dimension",
