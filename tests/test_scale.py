@@ -18,3 +18,50 @@ def test_occurrences_broadcast_neither_pairs_nor_positions(spark):
     # the pairs of all series and shapelets look as small as the catalogue that they are made of
     plan = physical(QUERIES["occurring_only"](spark, SF))
     assert "BroadcastHashJoin [T_name" not in plan and "SortMergeJoin [T_name" in plan
+
+
+def test_a_dealt_join_has_the_rows_of_the_join_and_cuts_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    from sequin.operators.joins import join_dealt
+
+    large = spark.range(300).select(F.when(F.col("id") < 200, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"), F.col("id").alias("a"))
+    small = spark.range(60).select(F.when(F.col("id") < 20, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 9)).alias("k"), F.col("id").alias("b"))
+    dealt = join_dealt(large, small, ["k"], ["a"], rows=100)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, large.join(small, "k").collect()))
+    tasks = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 20 and max(r["count"] for r in tasks) < 1000  # the hot key alone makes 4000
+
+
+def two_classes(spark):
+    """A series catalogued under two classes, two shapelets that share an order."""
+    from pyspark.sql import functions as F
+
+    from sequin.plans.queries import Mining
+
+    occ = [("s1", "d1", [3, 10, 2]), ("s2", "d2", [2, 30]), ("s3", "d3", [11])]
+    oc = spark.createDataFrame(occ, "S_name string, S_dimension string, ix array<bigint>")
+    oc = oc.withColumns({"S_class": F.lit("c"), "T_name": F.lit("t"), "T_indice": F.lit("[0]"), "ix": F.sort_array("ix")})
+    return Mining.from_tables(spark.createDataFrame([("t", "c"), ("t", "e")], "T_name string, class_d string"), oc)
+
+
+def test_windows_list_an_entry_once_and_in_text_order(spark):
+    from sequin.operators import evaluate
+
+    m = two_classes(spark)
+    windows = {r.ords: r.window for r in evaluate.sequence_profile(m.seqs, m.hits, m.blocks).collect()}
+    assert windows["2,2,11"] == ["11_11", "2_10", "2_2", "2_2", "2_3", "2_30"]
+    ranked = {r.ords: r.window for r in evaluate.reranked_windows(m.seqs, m.hits, m.tmap, m.blocks).collect()}
+    assert ranked["2,2,11"] == ["0_11", "1_10", "1_2", "2_2", "1_3", "2_30"]
+    firsts = {r.ords: r.first_entry for r in evaluate.first_entries(m.seqs, m.hits, m.tmap).collect()}
+    assert firsts["2,2,11"] == "11_11" and firsts["2,2"] == "2_10"
+    m.close()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["sequence_profile", "rerank_window", "tas_first_index", "verdict_profile"])
+def test_no_row_of_a_window_is_shuffled(spark, name):
+    # what lies above the join of variants and series neither groups nor exchanges its rows
+    plan = physical(QUERIES[name](spark, SF)).splitlines()
+    top = [x for x in plan[: next(i for i, x in enumerate(plan) if "Join [S_class" in x)]]
+    assert not any("Exchange" in x or "Aggregate" in x for x in top)
