@@ -59,9 +59,17 @@ def test_windows_list_an_entry_once_and_in_text_order(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["sequence_profile", "rerank_window", "tas_first_index", "verdict_profile"])
+@pytest.mark.parametrize("name", ["sequence_profile", "rerank_window", "tas_first_index", "verdict_profile", "sequence_profile_vetoed"])
 def test_no_row_of_a_window_is_shuffled(spark, name):
     # what lies above the join of variants and series neither groups nor exchanges its rows
     plan = physical(QUERIES[name](spark, SF)).splitlines()
     top = [x for x in plan[: next(i for i, x in enumerate(plan) if "Join [S_class" in x)]]
     assert not any("Exchange" in x or "Aggregate" in x for x in top)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["presence_matrix", "sequence_hits", "sequence_profile_vetoed"])
+def test_rows_of_series_are_dealt_by_the_rows_made(spark, name):
+    # tasks as many as asked for, not as few as the bytes read would need
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
