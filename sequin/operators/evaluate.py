@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entry_position, window_entry
 from ..functions.identity import LIST
-from ..session import pinned
+from ..session import keep, pinned
 from ..sources.fixture import rank_within
 from .encode import POSITION_BLOCK
 from .joins import join_bounded, join_dealt
@@ -414,28 +414,42 @@ def verdict_presence(
 
 
 def ordered_sequences(seqs: DataFrame) -> DataFrame:
-    """Distinct ordered sequences (ruling: the reference keeps duplicates)."""
-    return seqs.select(*SET_KEY, "names", "n_steps", "steps").dropDuplicates(["S_class", "names"])
+    """Distinct ordered sequences (ruling: the reference keeps duplicates): (S_class, names,
+    n_steps, prefix, S_name), told from the names alone; `S_name` is the last shapelet."""
+    keys = F.split("names", LIST)
+    prefix = F.array_join(F.slice(keys, F.lit(1), F.size(keys) - 1), LIST)
+    return seqs.select("S_class", "names").distinct().select(
+        "S_class", "names", F.size(keys).alias("n_steps"), prefix.alias("prefix"), F.element_at(keys, -1).alias("S_name")
+    )
 
 
 # Sequences that are handed to every task when a match is extended; more are shuffled.
-BROADCAST_SEQUENCES = 200_000
+BROADCAST_SEQUENCES = 500_000
+
+# Positions that the shapelets of a class may list in a series for its matches to be made
+# beside them; a longer series is looked up block by block.
+GATHERED = 4096
+
+# Series whose matches one task makes.
+TASK_SERIES = 2000
 
 
 @dataclass
 class Ordered:
-    """The search for ordered matches, by number: `sequences` (seq, S_class, names, n_steps),
-    `series` (ser, T_name, class_d), `matches` (seq, ser, own, tas); `own`: the series is of
-    the sequence's class. `rounds`: steps of the longest sequence."""
+    """The search for ordered matches: `sequences` (seq, S_class, names, n_steps), `matches`
+    (seq, T_name, class_d, own, tas); `own`: the series is of the sequence's class. `rounds`:
+    steps of the longest sequence. `bounded`: the sequences may be handed to every task."""
 
     sequences: DataFrame
-    series: DataFrame
     matches: DataFrame
     rounds: int
+    bounded: bool
 
-    def named(self) -> DataFrame:
-        """(S_class, names, n_steps, T_name, class_d, tas): the matches with their names."""
-        named = self.matches.join(self.sequences, "seq").join(self.series, "ser")
+    def named(self, shown: Callable[[DataFrame], DataFrame] = lambda sequences: sequences) -> DataFrame:
+        """(S_class, names, n_steps, T_name, class_d, tas): the matches with their names.
+        `shown` may render the sequences, before their matches are joined."""
+        sequences = shown(self.sequences)
+        named = self.matches.join(F.broadcast(sequences) if self.bounded else sequences, "seq")
         return named.select("S_class", "names", "n_steps", "T_name", "class_d", "tas")
 
     def combined(self) -> DataFrame:
@@ -445,6 +459,42 @@ class Ordered:
         return self.sequences.join(tas, "seq", "left").drop("seq").fillna(0, ["tp", "n_found"])
 
 
+def _gathered(cells: DataFrame, blocks: DataFrame, n_series: int) -> DataFrame:
+    """(T_name, class_d, own, by_place): one row per (class, series) with the positions of its
+    cells, kept and dealt by number of rows, as each makes many matches."""
+    listed = blocks.filter(F.size("pos") > 0).select("S_class", "S_name", "T_name", "pos")
+    met = cells.join(listed, ["S_class", "S_name", "T_name"])
+    tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_series // TASK_SERIES))
+    key = ["S_class", "T_name", "class_d", "own"]
+    dealt = met.select(*key, "shp", "place", "pos").repartition(tasks, "S_class", "T_name")
+    lists = dealt.groupBy(*key, "shp", "place").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    by_place = F.map_from_entries(F.collect_list(F.struct("place", F.struct("shp", "pos"))))
+    return keep(lists.groupBy(*key).agg(by_place.alias("by_place")).drop("S_class"))
+
+
+def _first_states(gathered: DataFrame) -> DataFrame:
+    """The matches of one step, with the lists of their series by place."""
+    listed = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("by_place"))), lambda i: F.col("by_place")[i]["pos"])
+    firsts = F.transform(F.map_values("by_place"), lambda e: F.struct(e["shp"].alias("seq"), F.array_min(e["pos"]).alias("cur")))
+    # an outer generator: the plain one would be given a filter that makes its array a second time
+    rows = gathered.select("T_name", "class_d", "own", listed.alias("listed"), F.inline_outer(firsts))
+    return rows.select("seq", "T_name", "class_d", "own", "cur", F.array("cur").alias("tas"), "listed", F.lit(True).alias("new"))
+
+
+def _grown_beside(state: DataFrame, added: DataFrame) -> DataFrame:
+    """The states and, `new`, those that they grow into: made beside the series' lists, with
+    the extensions (two numbers each) handed to every task; no state is shuffled."""
+    ways = added.groupBy("seq").agg(F.collect_list(F.struct(F.col("longer").alias("seq"), "place")).alias("_ways"))
+    reached = lambda w: F.array_min(F.filter(F.get("listed", w["place"]), lambda p: p >= F.col("cur")))
+    grown = F.transform("_ways", lambda w: F.struct(w["seq"].alias("seq"), reached(w).alias("cur"), F.lit(True).alias("new")))
+    grown = F.filter(grown, lambda x: x["cur"].isNotNull())
+    itself = F.array(F.struct("seq", "cur", F.lit(False).alias("new")))
+    every = F.concat(itself, F.coalesce(grown, F.slice(itself, 1, 0)))
+    out = state.drop("new").join(F.broadcast(ways), "seq", "left").withColumn("_every", every)
+    out = out.select("T_name", "class_d", "own", "tas", "listed", F.inline_outer("_every"))
+    return out.withColumns({"tas": F.when(F.col("new"), F.concat("tas", F.array("cur"))).otherwise(F.col("tas")), "listed": F.when(F.col("new"), F.col("listed"))})
+
+
 def search_ordered(
     seqs: DataFrame,
     tmap: DataFrame,
@@ -459,45 +509,65 @@ def search_ordered(
 
     Every prefix of an enumerated sequence is one itself, so the matches of
     length k are the states from which those of length k + 1 grow: each match
-    meets the sequences that add one shapelet, and the added shapelet's block of
-    the position reached, which holds the smallest position >= it or names the
-    one after. Prefixes are shared, a pair that fails is never seen again, and no
-    list of positions is longer than a block. A vetoed pair has no cell.
-
-    Sequences, shapelets (the sequences of one step) and series are numbered once,
-    in tables pinned in the shared folder, so that states carry and shuffle three
-    numbers; the blocks are bucketed by the key of the lookup, so that a round
-    exchanges its states alone. Each round's states are pinned, too: its plan is
-    two joins, whatever the round. `bound(states, sequences)` may say which sequences
-    (seq) are worth extending."""
-    names = F.transform("steps", lambda x: x["S_name"])
-    prefix = F.array_join(F.slice(names, F.lit(1), F.size("steps") - 1), LIST)
-    distinct = ordered_sequences(seqs).select("S_class", "names", "n_steps", prefix.alias("prefix"), F.element_at(names, -1).alias("S_name"))
-    numbered = pinned(distinct.withColumn("seq", F.monotonically_increasing_id()), "ordered-sequences")
+    meets the sequences that add one shapelet. Prefixes are shared, a pair that
+    fails is never seen again. A vetoed pair has no cell.
+
+    The positions of a (class, series) are gathered once, in one row, and its states
+    are made beside them, round by round in one pass (`_grown_beside`): only what the
+    series list is shuffled, never a state. Where that row would hold more than
+    `GATHERED` positions, or the sequences are too many to hand to every task, a state
+    meets the added shapelet's block of the position reached, which holds the smallest
+    position >= it or names the one after: no list is longer than a block; the blocks
+    are bucketed by the key of the lookup, so that a round exchanges its states alone,
+    and each round's states are pinned. Sequences and shapelets (the sequences of one
+    step) are numbered once, in tables pinned in the shared folder.
+    `bound(states, sequences)` may say which sequences (seq) are worth extending."""
+    numbered = pinned(ordered_sequences(seqs).withColumn("seq", F.monotonically_increasing_id()), "ordered-sequences")
     known = numbered.agg(F.count(F.lit(1)).alias("n"), F.max("n_steps").alias("longest")).first()
-    n_sequences, rounds = known["n"], known["longest"] or 0
+    bounded, rounds = known["n"] <= BROADCAST_SEQUENCES, known["longest"] or 0
     series = pinned(tmap.select("T_name", "class_d").distinct().withColumn("ser", F.monotonically_increasing_id()), "ordered-series")
 
-    single = numbered.filter("n_steps = 1").select("S_class", "S_name", F.col("seq").alias("shp"))
+    by_name = Window.partitionBy("S_class").orderBy("S_name")  # one row a shapelet
+    single = numbered.filter("n_steps = 1").select("S_class", "S_name", F.col("seq").alias("shp"), (F.row_number().over(by_name) - 1).alias("place"))
     parents = numbered.select("S_class", F.col("names").alias("prefix"), F.col("seq").alias("parent"))
     longer = numbered.filter("n_steps > 1").join(single, ["S_class", "S_name"]).join(parents, ["S_class", "prefix"])
-    longer = pinned(longer.select("parent", "seq", "shp", "n_steps"), "ordered-extensions")
+    longer = pinned(longer.select("parent", "seq", "shp", "place", "n_steps"), "ordered-extensions")
     own = F.coalesce(F.col("class_d") == F.col("S_class"), F.lit(False)).alias("own")
-    s = series.select(F.col("T_name").alias("_t"), F.col("class_d").alias("_c"), "ser")
     present = tmap.filter("present = 1 AND vetoed = 0").join(single, ["S_class", "S_name"])
-    present = present.join(s, (F.col("T_name") == F.col("_t")) & F.col("class_d").eqNullSafe(F.col("_c")))
-    cells = pinned(present.select("S_class", "S_name", "T_name", "shp", "ser", own, "pmin"), "ordered-cells")
-    key = ["shp", "ser", "blk"]
-    lookup = blocks.join(cells.select("S_class", "S_name", "T_name", "shp", "ser"), ["S_class", "S_name", "T_name"]).select(*key, "pos", "after")
-    lookup = pinned(lookup, "ordered-blocks", key)
-
-    state = cells.select(F.col("shp").alias("seq"), "ser", "own", F.col("pmin").alias("cur"), F.array("pmin").alias("tas"))
-    matches = state
+    cells = present.select("S_class", "S_name", "T_name", "class_d", "shp", "place", own, "pmin")
+
+    series_key = ["S_class", "T_name"]
+    if bounded:
+        long = blocks.groupBy(*series_key).agg(F.sum(F.size("pos")).alias("n")).filter(F.col("n") > GATHERED).select(*series_key)
+        long = pinned(long, "ordered-long")
+        has_long = not long.isEmpty()
+        short = cells.join(long, series_key, "left_anti") if has_long else cells
+        near = _first_states(_gathered(short.drop("pmin"), blocks, series.count()))
+    else:
+        long, has_long, near = None, True, None
+    if has_long:
+        s = series.select(F.col("T_name").alias("_t"), F.col("class_d").alias("_c"), "ser")
+        far_cells = cells if long is None else cells.join(long, series_key, "left_semi")
+        far_cells = far_cells.join(s, (F.col("T_name") == F.col("_t")) & F.col("class_d").eqNullSafe(F.col("_c")))
+        far_cells = pinned(far_cells.select("S_class", "S_name", "T_name", "shp", "ser", "own", "pmin"), "ordered-cells")
+        key = ["shp", "ser", "blk"]
+        lookup = blocks.join(far_cells.select("S_class", "S_name", "T_name", "shp", "ser"), ["S_class", "S_name", "T_name"]).select(*key, "pos", "after")
+        lookup = pinned(lookup, "ordered-blocks", key)
+        state = far_cells.select(F.col("shp").alias("seq"), "ser", "own", F.col("pmin").alias("cur"), F.array("pmin").alias("tas"))
+        far = state
+
     for k in range(2, rounds + 1):
-        added = longer.filter(F.col("n_steps") == k).select(F.col("parent").alias("seq"), F.col("seq").alias("longer"), "shp")
+        added = longer.filter(F.col("n_steps") == k).select(F.col("parent").alias("seq"), F.col("seq").alias("longer"), "shp", "place")
         if bound is not None:
-            added = added.join(bound(state, numbered), "seq", "left_semi")
-        if n_sequences <= BROADCAST_SEQUENCES:  # three numbers each
+            states = [x.select("seq", "own") for x in ([near.filter("new")] if bounded else []) + ([state] if has_long else [])]
+            states = states[0] if len(states) == 1 else states[0].unionByName(states[1])
+            # read by the later rounds, too, which make the earlier states again
+            added = pinned(added.join(bound(states, numbered), "seq", "left_semi"), "ordered-worth")
+        if bounded:
+            near = _grown_beside(near, added)
+        if not has_long:
+            continue
+        if bounded:
             probe = state.join(F.broadcast(added), "seq")
         else:
             probe = join_bounded(state, added, ["seq"], ["ser"], salts)
@@ -510,8 +580,12 @@ def search_ordered(
             .select(F.col("longer").alias("seq"), "ser", "own", "cur", F.concat("tas", F.array("cur")).alias("tas"))
         )
         state = pinned(grown, "ordered-states")  # read by the next round and by the result
-        matches = matches.unionByName(state)
-    return Ordered(numbered.select("seq", "S_class", "names", "n_steps"), series, matches.drop("cur"), rounds)
+        far = far.unionByName(state)
+
+    columns = ["seq", "T_name", "class_d", "own", "tas"]
+    parts = ([near.select(*columns)] if bounded else []) + ([far.join(series, "ser").select(*columns)] if has_long else [])
+    matches = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return Ordered(numbered.select("seq", "S_class", "names", "n_steps"), matches, rounds, bounded)
 
 
 def ordered_match(

@@ -536,9 +536,8 @@ def q_tas_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(combined.select("S_class", "names", F.col("tp").cast("bigint").alias("n_tp"), "tas"))
 
 
-@rendered
 def q_ordered_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = Mining(spark, sf_dir).ordered().named()
+    matches = Mining(spark, sf_dir).ordered().named(shown=plain)
     return _text(matches.select("S_class", "names", "T_name", "class_d", "tas"))
 
 

@@ -73,3 +73,27 @@ def test_rows_of_series_are_dealt_by_the_rows_made(spark, name):
     # tasks as many as asked for, not as few as the bytes read would need
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["tas_combine", "verdict_ordered", "ordered_match", "accurate_ordered"])
+def test_no_state_of_the_ordered_search_is_shuffled(spark, name):
+    # the series' lists meet the sequences that are handed to every task; what is exchanged is counts
+    from sequin import session
+
+    before = session.pinned_count()
+    plan = physical(QUERIES[name](spark, SF))
+    assert plan.count("Generate inline") >= 5
+    assert not any("ordered-states" in p or "ordered-blocks" in p for p, _ in session._paths[before:])
+
+
+@pytest.mark.parametrize("gathered", [0, 4, 10])
+@pytest.mark.parametrize("seed", [2, 11])
+def test_long_series_beside_short_ones(spark, monkeypatch, seed, gathered):
+    # series with more positions than a row may gather are looked up by block, the others are not
+    from sequin.operators import evaluate
+    from tests.test_semantics import check, random_case
+
+    dataset, occ = random_case(seed)
+    monkeypatch.setattr(evaluate, "GATHERED", gathered)
+    check(spark, dataset, occ)
