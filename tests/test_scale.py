@@ -97,3 +97,26 @@ def test_long_series_beside_short_ones(spark, monkeypatch, seed, gathered):
     dataset, occ = random_case(seed)
     monkeypatch.setattr(evaluate, "GATHERED", gathered)
     check(spark, dataset, occ)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["verdict_presence", "verdict_full", "accurate_sequences", "preview_verdict", "sequence_accuracy", "confusion_counts"])
+def test_sequences_look_up_their_verdict_and_are_not_shuffled(spark, name):
+    plan = physical(QUERIES[name](spark, SF))
+    above = plan.split("InMemoryTableScan")[0]  # of the sequences
+    assert "BroadcastHashJoin" in above and "SortMergeJoin" not in above and "Aggregate" not in above
+    # of an occurrence only what is read is kept
+    assert "sub_sequence" not in plan and "distance" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_item_rows_are_dealt_and_not_grouped(spark):
+    plan = physical(QUERIES["join_sequence_occurrence_rows"](spark, SF)).splitlines()
+    top = plan[: next(i for i, x in enumerate(plan) if "Join [S_class" in x)]
+    assert not any("Exchange" in x or "Aggregate" in x for x in top)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_windows_gather_no_lists(spark):
+    plan = physical(QUERIES["sequence_profile_windows"](spark, SF))
+    assert "collect_list(struct" not in plan.split("InMemoryTableScan")[0]
