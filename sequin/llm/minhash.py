@@ -49,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +82,8 @@ _ADD = _odd.astype(np.uint32)
 FILTER_BITS = 25
 #: Members of a set that its rows hold, to meet another set once.
 HEAD = 8
+#: Classes of one signature, at most, that stand beside a leader.
+TWINS = 16
 #: Counters of shingles by which rarity is judged (4 MB).
 COUNTERS = 1 << 20
 
@@ -334,6 +336,15 @@ def across(open_: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return pairs
 
 
+def twins(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) with, instead of a, each of up to ``TWINS`` other classes of a's signature."""
+    same = Window.partitionBy("sig").orderBy("s1", "s2")
+    few = classes.select("sig", "s1", "s2", "node").withColumn("_i", F.row_number().over(same)).filter(F.col("_i") <= TWINS + 1)
+    leaders = pairs.select("a").distinct().join(classes.select(F.col("node").alias("a"), "sig"), "a")
+    beside = leaders.join(few.select("sig", F.col("node").alias("twin")), "sig").filter("twin != a").select("a", "twin")
+    return pairs.join(beside, "a").filter("twin != b").select(F.col("twin").alias("a"), "b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) for the nodes of ``links`` (a, b)."""
     edges = stored(links.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "op2-edges")
@@ -385,7 +396,12 @@ def _decided(docs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
     leaders = ranked.groupBy("key").agg(F.max(F.struct("popular", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
     votes = shared.select("key", "node").join(leaders, "key").filter("leader != node").groupBy("node", "leader").agg(F.count("*").alias("m"))
     first = votes.groupBy("node").agg(F.max(F.struct("m", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
-    links = stored(confirmed(near(first, classes, percent), sets, percent), "op2-links")
+    first = stored(first, "op2-first")
+    led = stored(confirmed(near(first, classes, percent), sets, percent), "op2-links")
+    rest = twins(first.join(led, ["a", "b"], "left_anti"), classes)
+    beside = stored(confirmed(near(rest, classes, percent), sets, percent), "op2-links")
+    spent(first)
+    links = led.union(beside)
     found = stored(components(links), "op2-components")
     settle(docs.sparkSession)
 
@@ -400,7 +416,7 @@ def _decided(docs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
     more = stored(confirmed(near(pairs, classes, percent), sets, percent), "op2-links")
     spent(pairs, sets)
     roots = components(links.union(more))
-    spent(links, more)
+    spent(led, beside, more)
     settle(docs.sparkSession)
 
     groups = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -237,6 +237,26 @@ def test_a_group_of_thousands_stays_linear(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_a_leader_with_the_signature_of_the_original(spark, monkeypatch):
+    """Near copies are linked with the original alone; twelve others have its signature."""
+    base = said(150, 9).split()
+    edited = lambda *places: " ".join(f"new{i}x{places}".replace(" ", "") if i in places else w for i, w in enumerate(base))
+    signed = lambda text: minhash.signature(minhash.shingle_sets(pa.array([text]))[0]).tobytes()
+    same, rnd = [], random.Random(3)
+    while len(same) < 12:
+        text = " ".join(base[:k] + [f"w{rnd.randrange(10**9)}"] + base[k + 1 :]) if (k := rnd.randrange(12, 138)) else ""
+        if signed(text) == signed(" ".join(base)):
+            same.append(text)
+    copies = [edited(10 + i % 60, 80 + i // 5) for i in range(300)]
+    rows = [(i, text, "en", "s") for i, text in enumerate([" ".join(base), *same, *copies])]
+    met, across = [], minhash.across
+    monkeypatch.setattr(minhash, "across", lambda *a: met.append(across(*a).persist()) or met[0])
+    table = docs(spark, rows).repartition(7)
+    got = minhash.decisions(table).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, c) for i, _, c in components(rows))
+    assert {r.component_id for r in got} == {0} and met[0].count() < 300
+
+
 # --- 1 -------------------------------------------------------------------------------
 
 
