@@ -20,7 +20,7 @@ from .indices import (
     unreadable_number,
     unreadable_values,
 )
-from .window import entry_position, first_of_window, prefix_indices, rerank, window_entry
+from .window import entry_position, first_of_window, prefix_indices, prefixed, rerank, window_entry
 
 __all__ = [
     "checked_distances",
@@ -39,6 +39,7 @@ __all__ = [
     "parse_indices",
     "parse_values",
     "prefix_indices",
+    "prefixed",
     "render_indices",
     "rerank",
     "unreadable_distances",

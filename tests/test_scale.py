@@ -120,3 +120,33 @@ def test_item_rows_are_dealt_and_not_grouped(spark):
 def test_windows_gather_no_lists(spark):
     plan = physical(QUERIES["sequence_profile_windows"](spark, SF))
     assert "collect_list(struct" not in plan.split("InMemoryTableScan")[0]
+
+
+def made_per_row(spark, name) -> str:
+    """What a query works out for each row of its result, above the join that makes the rows."""
+    plan = physical(QUERIES[name](spark, SF)).splitlines()
+    top = plan[: next(i for i, x in enumerate(plan) if "Join [S_class" in x)]
+    return "".join(top[: max((i for i, x in enumerate(top) if "Generate inline" in x), default=len(top))])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_entries_of_a_veto_are_made_once_for_all_sets_of_a_run(spark):
+    made = made_per_row(spark, "sequence_profile_vetoed")
+    assert "concat_ws" in made and "lambda" not in made and "sort_array" not in made
+
+
+@pytest.mark.parametrize("seed", [3, 6, 8])
+def test_vetoed_windows_by_loop_and_in_short_runs(spark, monkeypatch, seed):
+    from sequin.operators import factorised, joins
+    from sequin.plans.queries import Mining
+    from tests.test_semantics import frames, random_case
+
+    m = Mining.from_tables(*frames(spark, *random_case(seed)))
+    rows = lambda text: sorted(map(tuple, factorised.vetoed_windows(m.seqs, m.windows, m.profiles, m.keyed, text=text).collect()))
+    want = rows(False)
+    assert want and all(w == sorted(w) and "x" in w for *_, w in want)
+    monkeypatch.setattr(joins, "COMPILED_PARTS", 1)
+    monkeypatch.setattr(factorised, "SET_RUN", 2)
+    assert rows(False) == want
+    assert rows(True) == [(*key, ",".join(w)) for *key, w in want]
+    m.close()
