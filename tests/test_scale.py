@@ -150,3 +150,41 @@ def test_vetoed_windows_by_loop_and_in_short_runs(spark, monkeypatch, seed):
     assert rows(False) == want
     assert rows(True) == [(*key, ",".join(w)) for *key, w in want]
     m.close()
+
+
+def mined(spark, seed):
+    from sequin.plans.queries import Mining
+    from tests.test_semantics import frames, random_case
+
+    return Mining.from_tables(*frames(spark, *random_case(seed)))
+
+
+def same_by_loop_and_in_short_runs(monkeypatch, rows) -> None:
+    """`rows(text)` does not depend on the length of a run nor on how the parts are read."""
+    from sequin.operators import evaluate, joins
+
+    want = rows(False)
+    for short in ("VARIANT_RUN", "RUN"):
+        monkeypatch.setattr(evaluate, short, 2)
+    assert rows(False) == want != []
+    monkeypatch.setattr(joins, "COMPILED_PARTS", 1)
+    assert [(*key, ",".join(w)) if isinstance(w, list) else (*key, w) for *key, w in want] == rows(True)
+
+
+def of_variants(df, last):
+    return sorted(map(tuple, df.select("S_class", "names", "ords", "T_name", last).collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_entries_of_a_prefix_are_made_once_for_all_variants_of_a_run(spark):
+    made = made_per_row(spark, "sequence_profile")
+    assert "concat_ws" in made and "lambda" not in made and "sort_array" not in made
+
+
+def test_windows_by_loop_and_in_short_runs(spark, monkeypatch):
+    from sequin.operators import evaluate
+
+    m = mined(spark, 5)
+    same_by_loop_and_in_short_runs(monkeypatch, lambda text: of_variants(evaluate.sequence_profile(m.seqs, m.hits, m.blocks, text=text), "window"))
+    m.close()
+
