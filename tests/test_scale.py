@@ -188,3 +188,17 @@ def test_windows_by_loop_and_in_short_runs(spark, monkeypatch):
     same_by_loop_and_in_short_runs(monkeypatch, lambda text: of_variants(evaluate.sequence_profile(m.seqs, m.hits, m.blocks, text=text), "window"))
     m.close()
 
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_ranked_entries_are_made_once_for_all_variants_of_a_run(spark):
+    made = made_per_row(spark, "rerank_window")
+    assert "concat_ws" in made and "lambda" not in made and "sort_array" not in made
+
+
+def test_ranked_windows_by_loop_and_in_short_runs(spark, monkeypatch):
+    from sequin.operators import evaluate
+
+    m = mined(spark, 5)
+    same_by_loop_and_in_short_runs(monkeypatch, lambda text: of_variants(evaluate.reranked_windows(m.seqs, m.hits, m.tmap, m.blocks, text=text), "window"))
+    m.close()
