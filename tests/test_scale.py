@@ -202,3 +202,20 @@ def test_ranked_windows_by_loop_and_in_short_runs(spark, monkeypatch):
     m = mined(spark, 5)
     same_by_loop_and_in_short_runs(monkeypatch, lambda text: of_variants(evaluate.reranked_windows(m.seqs, m.hits, m.tmap, m.blocks, text=text), "window"))
     m.close()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_first_entries_are_made_once_for_all_variants_of_a_run(spark):
+    made = made_per_row(spark, "tas_first_index")
+    assert "coalesce" in made and "lambda" not in made and "array_min" not in made
+
+
+def test_first_entries_by_loop_and_in_short_runs(spark, monkeypatch):
+    from sequin.operators import evaluate
+
+    m = mined(spark, 5)
+    windows = of_variants(evaluate.sequence_profile(m.seqs, m.hits, m.blocks), "window")
+    firsts = lambda _: of_variants(evaluate.first_entries(m.seqs, m.hits, m.tmap), "first_entry")
+    assert firsts(False) == [(*key, w[0]) for *key, w in windows]
+    same_by_loop_and_in_short_runs(monkeypatch, firsts)
+    m.close()
