@@ -219,3 +219,28 @@ def test_first_entries_by_loop_and_in_short_runs(spark, monkeypatch):
     assert firsts(False) == [(*key, w[0]) for *key, w in windows]
     same_by_loop_and_in_short_runs(monkeypatch, firsts)
     m.close()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_a_window_is_made_once_for_all_sequences_of_a_variant(spark):
+    made = made_per_row(spark, "verdict_profile")
+    assert "Generate inline(sources" in made and "lambda" not in made and "sort_array" not in made
+
+
+def test_windows_beside_verdicts_by_loop_and_in_short_runs(spark, monkeypatch):
+    from sequin.operators import evaluate
+
+    m = mined(spark, 5)
+    windows = {tuple(key): w for *key, w in of_variants(evaluate.sequence_profile(m.seqs, m.hits, m.blocks), "window")}
+    series = {}
+    for key in windows:
+        series.setdefault(key[:3], []).append(key[3])
+    want = sorted((r.S_class, r.sid, t, windows[r.S_class, r.names, r.ords, t]) for r in m.seqs.collect() for t in series.get((r.S_class, r.names, r.ords), []))
+
+    def rows(text):
+        made = evaluate.verdict_profile(m.keyed_verdicts, m.seqs, m.hits, m.blocks, text=text)
+        return sorted(map(tuple, made.select("S_class", "sid", "T_name", "window").collect()))
+
+    assert rows(False) == want
+    same_by_loop_and_in_short_runs(monkeypatch, rows)
+    m.close()
