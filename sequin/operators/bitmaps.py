@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fixture import rank_within
-from .evaluate import SET_KEY, confusion, distinct_sets, set_items
+from .evaluate import SET_KEY, confusion
 
 
 def series_numbers(dataset: DataFrame) -> DataFrame:
@@ -37,7 +37,9 @@ def shapelet_bitmaps(tmap: DataFrame, numbers: DataFrame) -> DataFrame:
 
 def set_counts(seqs: DataFrame, index: DataFrame) -> DataFrame:
     """(S_class, set_key, tp, n_found) of every set with a row somewhere, by bit counts."""
-    blocks = index.join(set_items(distinct_sets(seqs)).drop("set_size"), ["S_class", "S_name"])
+    names = F.array_sort(F.transform("steps", lambda x: x["S_name"]))
+    items = seqs.select(*SET_KEY, names.alias("names")).distinct().select(*SET_KEY, F.explode("names").alias("S_name"))
+    blocks = index.join(items, ["S_class", "S_name"])
     merged = blocks.groupBy(*SET_KEY, "class_d", "block").agg(
         F.bitmap_count(F.bitmap_or_agg("rows")).alias("n_rows"), F.bitmap_count(F.bitmap_or_agg("vetoes")).alias("n_vetoed")
     )
